@@ -104,8 +104,12 @@ def storage_audit(listed: DataFrame, registered: DataFrame, name: str = "path")
 
 
 def consumer_lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
-    """Messages each group has not read, summed over partitions; nothing committed counts from 0."""
-    joined = ends.join(committed, ["topic", "partition"], "left")
+    """Messages each group has not read, summed over the partitions of its topics.
+
+    A partition the group never committed counts from offset 0.
+    """
+    reads = committed.select("group_id", "topic").distinct().join(ends, "topic")
+    joined = reads.join(committed, ["group_id", "topic", "partition"], "left")
     behind = F.col("end_offset") - F.coalesce("committed_offset", F.lit(0))
     return joined.groupBy("group_id").agg(
         F.sum(behind).cast("bigint").alias("lag"), F.count(F.lit(1)).alias("partitions")
