@@ -23,7 +23,8 @@ def hex_text(value: Column) -> Column:
 
 
 def base64_text(value: Column) -> Column:
-    return F.base64(F.encode(value, "UTF-8"))
+    """One line of base64; Spark breaks lines after 76 characters when it is so configured."""
+    return F.translate(F.base64(F.encode(value, "UTF-8")), "\r\n", "")
 
 
 def json_field(document: Column, path: str) -> Column:

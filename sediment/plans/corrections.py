@@ -116,8 +116,10 @@ def physical_removal_check(spark: SparkSession, folder: str) -> DataFrame:
     count = F.count(F.lit(1))
     before = compliance.matching(events, ids).groupBy("user_id").agg(count.alias("rows_before"))
     superseded = compliance.stored_rows_of(table, ids).groupBy("user_id").agg(count.alias("rows_in_files"))
-    superseded = superseded.persist()
-    superseded.count()
+    # Written, not cached: a cached plan over the same folder would also answer the count below.
+    kept = scratch_path(spark, "superseded")
+    superseded.write.parquet(kept)
+    superseded = spark.read.parquet(kept)
     table.vacuum()
     live = compliance.matching(table.read(), ids).groupBy("user_id").agg(count.alias("rows_live"))
     left = compliance.stored_rows_of(table, ids).groupBy("user_id").agg(count.alias("rows_left"))

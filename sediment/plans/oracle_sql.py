@@ -51,15 +51,15 @@ latest AS (
 
 CLICKS = """
 drawn AS (
-  SELECT event_id, epoch_us(ts) // 1000000 AS at, md5('clicks:' || CAST(event_id AS VARCHAR)) AS h FROM events),
+  SELECT event_id, epoch_us(ts) // 1000000 AS sec, md5('clicks:' || CAST(event_id AS VARCHAR)) AS h FROM events),
 made AS (
-  SELECT event_id, at,
+  SELECT event_id, sec,
          CAST('0x' || substr(h, 1, 8) AS BIGINT) % 10000 + 1 AS uid,
          CASE WHEN CAST('0x' || substr(h, 9, 8) AS BIGINT) % 201 < 100 THEN 'https://www.example.org/'
               WHEN CAST('0x' || substr(h, 9, 8) AS BIGINT) % 201 < 155 THEN 'https://docs.example.org/'
               WHEN CAST('0x' || substr(h, 9, 8) AS BIGINT) % 201 < 189 THEN 'https://www.example.org/blog'
               ELSE 'https://www.example.org/community' END AS site,
-         at - (CAST('0x' || substr(h, 17, 8) AS BIGINT) % 1801) * (CAST('0x' || substr(h, 25, 8) AS BIGINT) % 4) AS vtime
+         sec - (CAST('0x' || substr(h, 17, 8) AS BIGINT) % 1801) * (CAST('0x' || substr(h, 25, 8) AS BIGINT) % 4) AS vtime
   FROM drawn)"""
 
 BY_DAY = """SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total_cents"""
@@ -125,12 +125,12 @@ ORACLES["files_to_load"] = (
     _with(CANONICAL, FILES)
     + """,
 loaded AS (
-  SELECT path, CAST(event_date + 1 AS TIMESTAMP) AS at FROM files WHERE bucket % 5 NOT IN (0, 1)
+  SELECT path, CAST(event_date + 1 AS TIMESTAMP) AS loaded_at FROM files WHERE bucket % 5 NOT IN (0, 1)
   UNION ALL SELECT path, CAST(event_date + 2 AS TIMESTAMP) FROM files WHERE bucket % 10 = 0)
 SELECT 'once' AS mode, path FROM files WHERE path NOT IN (SELECT path FROM loaded)
 UNION ALL
 SELECT 'seven days', path FROM files
-WHERE path NOT IN (SELECT path FROM loaded WHERE at >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY)"""
+WHERE path NOT IN (SELECT path FROM loaded WHERE loaded_at >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY)"""
 )
 
 ORACLES["failed_files_recent"] = (
@@ -144,7 +144,7 @@ ORACLES["generate_clicks"] = (
     _with(CLICKS)
     + """
 SELECT site, count(*) AS n_clicks, count(DISTINCT uid) AS n_users,
-       max(at - vtime) AS most_late, min(at - vtime) AS least_late FROM made GROUP BY site"""
+       max(sec - vtime) AS most_late, min(sec - vtime) AS least_late FROM made GROUP BY site"""
 )
 
 ORACLES["split_good_bad"] = """
@@ -493,8 +493,8 @@ FROM grid"""
 )
 
 ORACLES["ingest_rate"] = """
-WITH s AS (SELECT epoch_us(ts) // 1000000 AS at FROM events),
-minutes AS (SELECT at - at % 60 AS bucket_start, count(*) AS n_rows FROM s GROUP BY 1)
+WITH s AS (SELECT epoch_us(ts) // 1000000 AS sec FROM events),
+minutes AS (SELECT sec - sec % 60 AS bucket_start, count(*) AS n_rows FROM s GROUP BY 1)
 SELECT bucket_start, n_rows, round(n_rows / CAST(60 AS DOUBLE), 6) AS rows_per_second,
        round(n_rows / CAST(60 AS DOUBLE) * 10 / 6, 6) AS rows_per_flush FROM minutes"""
 
@@ -628,7 +628,7 @@ ORACLES["stream_equals_batch"] = (
 stored AS (
   SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_date + 1 ELSE event_date END AS event_date,
          CASE WHEN event_id % 7 = 0 THEN cents + 100 ELSE cents END AS cents
-  FROM ce WHERE event_id % 7 = 0 OR event_id % 50 <> 0)
+  FROM ce WHERE user_id > 0 AND (event_id % 7 = 0 OR event_id % 50 <> 0))
 """
     + BY_DAY
     + """, 'stored' AS kind FROM stored GROUP BY event_date
