@@ -26,11 +26,11 @@ def approximate_distinct_by(
     rows: DataFrame, by: Sequence[str], of: str, error: float = 0.02, precision: int = 14
 ) -> DataFrame:
     """Two approximations of different cost next to the exact count."""
-    approx = rows.groupBy(*by).agg(
+    return rows.groupBy(*by).agg(
         F.approx_count_distinct(of, error).alias("approx_users"),
         sketches.sketch_count(sketches.user_sketch(F.col(of), precision)).alias("sketch_users"),
+        F.count_distinct(of).alias("exact_users"),
     )
-    return approx.join(rows.groupBy(*by).agg(F.count_distinct(of).alias("exact_users")), list(by))
 
 
 def count_by_bucket(

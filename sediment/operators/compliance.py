@@ -79,28 +79,24 @@ def pseudonymize(rows: DataFrame, condition: Column, salt: str | None = None) ->
     return update_where(out, condition, {"user_id": F.lit(None).cast("bigint")})
 
 
-def delete_impact(rows: DataFrame, ids: DataFrame, day: str, bucket: Column) -> tuple[DataFrame, DataFrame]:
-    """Storage units (day and bucket) a batch of deletes rewrites: per user, and for the batch.
+def delete_impact(rows: DataFrame, ids: DataFrame, day: str, bucket: Column) -> DataFrame:
+    """Storage units (day and bucket) rewritten by deletes: per user, one by one, and as a batch.
 
     Handled one user after another, a unit that several users share is rewritten several times; as
     one batch it is rewritten once.
     """
-    units = (
-        matching(rows, ids)
-        .groupBy("user_id", day, bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    per_user = units.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("units"),
-        F.count_distinct(day).alias("days"),
-        F.sum("n").alias("matching_rows"),
-    )
+    units = matching(rows, ids).select("user_id", day, bucket.alias("bucket")).distinct()
+    per_user = units.groupBy("user_id").agg(F.count(F.lit(1)).alias("units"))
     shared = units.groupBy(day, "bucket").agg(F.count(F.lit(1)).alias("users"))
-    batch = shared.agg(
-        F.coalesce(F.sum("users"), F.lit(0)).alias("units_one_by_one"),
-        F.count(F.lit(1)).alias("units_as_batch"),
+    totals = shared.agg(
+        F.coalesce(F.sum("users"), F.lit(0)).alias("serial"), F.count(F.lit(1)).alias("merged")
+    )
+    lines = F.array(
+        F.struct(F.lit("one by one").alias("scope"), F.col("serial").alias("units")),
+        F.struct(F.lit("as a batch").alias("scope"), F.col("merged").alias("units")),
     )
-    return per_user, batch
+    users = per_user.select(F.concat(F.lit("user "), F.col("user_id")).alias("scope"), "units")
+    return users.unionByName(totals.select(F.inline(lines)))
 
 
 def stored_rows_of(table: DayTable, ids: DataFrame) -> DataFrame:

@@ -120,60 +120,89 @@ def with_hourly_readings(
     return joined.withColumn("readings", F.coalesce("readings", F.lit(0)))
 
 
-def hot_keys(rows: DataFrame, key: Sequence[str], buckets: int) -> DataFrame:
-    """Keys with more than a quarter of an even bucket's share; at most ``4 * buckets`` exist."""
+def hot_keys(rows: DataFrame, key: Sequence[str], buckets: int) -> DataFrame | None:
+    """Keys with more than a quarter of an even bucket's share of the rows, or None.
+
+    At most ``4 * buckets`` such keys can exist, so the list is small whatever the data.
+    """
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    return counts.where(F.col("_n") > total / (4 * buckets)).select(*key)
+    found = counts.where(F.col("_n") > total / (4 * buckets)).select(*key)
+    for name in key:
+        found = found.where(F.col(name).isNotNull())
+    hot = found.collect()
+    return rows.sparkSession.createDataFrame(hot, found.schema) if hot else None
+
+
+def save_bucketed(rows: DataFrame, table: str, path: str, key: Sequence[str], buckets: int) -> None:
+    """Write a bucketed catalog table. A bucket too big for one task is written by several."""
+    bucket = F.pmod(F.hash(*key), F.lit(buckets))
+    (
+        rows.withColumn("_bucket", bucket)
+        .hint("rebalance", "_bucket")
+        .drop("_bucket")
+        .write.format("parquet")
+        .bucketBy(buckets, *key)
+        .sortBy(*key)
+        .option("path", path)
+        .mode("overwrite")
+        .saveAsTable(table)
+    )
 
 
 class BucketedPair:
     """Two tables bucketed by the same key into the same number of buckets.
 
-    Joining them needs no shuffle. Rows of hot keys would make one bucket as large as the key, so
-    they are stored apart and joined with a broadcast of the few lookup rows they need.
+    Joining them needs no shuffle. A bucket is read by one task, so rows of hot keys are stored
+    apart and joined with a broadcast of the few lookup rows they need.
     """
 
     def __init__(self, spark: SparkSession, buckets: int, key: Sequence[str]):
         self.spark, self.buckets, self.key = spark, buckets, list(key)
         self.prefix = f"sediment_{uuid.uuid4().hex[:12]}"
         self.root = scratch_path(spark, "bucketed")
+        self.hot: DataFrame | None = None
 
     def _save(self, rows: DataFrame, name: str) -> None:
-        (
-            rows.repartition(self.buckets, *self.key)
-            .write.format("parquet")
-            .bucketBy(self.buckets, *self.key)
-            .sortBy(*self.key)
-            .option("path", f"{self.root}/{name}")
-            .saveAsTable(f"{self.prefix}_{name}")
-        )
+        save_bucketed(rows, f"{self.prefix}_{name}", f"{self.root}/{name}", self.key, self.buckets)
 
-    def write(self, rows: DataFrame, lookup: DataFrame) -> BucketedPair:
+    def _lookup(self) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_lookup")
+
+    def _join_hot(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
+        needed = self._lookup().join(F.broadcast(hot), self.key, "left_semi")
+        return rows.join(F.broadcast(needed), self.key)
+
+    def write_lookup(self, lookup: DataFrame) -> BucketedPair:
         """``lookup`` has one row per key."""
-        hot = hot_keys(rows, self.key, self.buckets).persist()
-        try:
-            self.has_hot = hot.count() > 0
-            if self.has_hot:
-                few = F.broadcast(hot)
-                self._save(rows.join(few, self.key, "left_anti"), "rows")
-                rows.join(few, self.key, "left_semi").write.parquet(f"{self.root}/hot_rows")
-                lookup.join(few, self.key, "left_semi").write.parquet(f"{self.root}/hot_lookup")
-            else:
-                self._save(rows, "rows")
-            self._save(lookup, "lookup")
-        finally:
-            hot.unpersist()
+        self._save(lookup, "lookup")
         return self
 
+    def write(self, rows: DataFrame, lookup: DataFrame) -> BucketedPair:
+        self.hot = hot_keys(rows, self.key, self.buckets)
+        if self.hot is not None:
+            few = F.broadcast(self.hot)
+            rows.join(few, self.key, "left_semi").write.parquet(f"{self.root}/hot_rows")
+            rows = rows.join(few, self.key, "left_anti")
+        self._save(rows, "rows")
+        return self.write_lookup(lookup)
+
     def join(self) -> DataFrame:
         rows = self.spark.table(f"{self.prefix}_rows")
-        lookup = self.spark.table(f"{self.prefix}_lookup")
-        joined = rows.join(lookup.hint("merge"), self.key)
-        if self.has_hot:
+        joined = rows.join(self._lookup().hint("merge"), self.key)
+        if self.hot is not None:
             hot_rows = self.spark.read.parquet(f"{self.root}/hot_rows")
-            hot_lookup = self.spark.read.parquet(f"{self.root}/hot_lookup")
-            joined = joined.unionByName(hot_rows.join(F.broadcast(hot_lookup), self.key))
+            joined = joined.unionByName(self._join_hot(hot_rows, self.hot))
+        return joined
+
+    def join_shuffled(self, rows: DataFrame) -> DataFrame:
+        """Join rows that are not bucketed: only they are shuffled, into the lookup's buckets."""
+        hot = hot_keys(rows, self.key, self.buckets)
+        cold = rows if hot is None else rows.join(F.broadcast(hot), self.key, "left_anti")
+        joined = cold.repartition(self.buckets, *self.key).join(self._lookup().hint("merge"), self.key)
+        if hot is not None:
+            hot_rows = rows.join(F.broadcast(hot), self.key, "left_semi")
+            joined = joined.unionByName(self._join_hot(hot_rows, hot))
         return joined
 
     def drop(self) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.functions import times
+from sediment.operators.joins import save_bucketed
 from sediment.sources.day_table import DayTable
 
 # Three buckets per compute node of a seven-node cluster; days kept and pre-created.
@@ -77,24 +78,11 @@ def compact(table: DayTable, days: Sequence[str] | None = None, small_bytes: int
     return chosen
 
 
-def write_bucketed(rows: DataFrame, table: str, path: str, key: Sequence[str], buckets: int) -> None:
-    """A catalog table hashed into buckets and sorted in each."""
-    (
-        rows.repartition(buckets, *key)
-        .write.format("parquet")
-        .bucketBy(buckets, *key)
-        .sortBy(*key)
-        .option("path", path)
-        .mode("overwrite")
-        .saveAsTable(table)
-    )
-
-
 def rebucket(
     spark: SparkSession, source: str, target: str, path: str, key: Sequence[str], buckets: int
 ) -> DataFrame:
     """Copy a bucketed table to another bucket count; raises if the row count changed."""
-    write_bucketed(spark.table(source), target, path, key, buckets)
+    save_bucketed(spark.table(source), target, path, key, buckets)
     copied = spark.table(target)
     before, after = spark.table(source).count(), copied.count()
     if before != after:

@@ -24,8 +24,11 @@ def daily_rollup(events: DataFrame, dims: Sequence[str] = ("event_date",)) -> Da
 
 def rollup_with_sketch(events: DataFrame, dims: Sequence[str]) -> DataFrame:
     """The rollup with a user sketch, so that coarser groups can estimate distinct users."""
-    sketch = events.groupBy(*dims).agg(sketches.user_sketch(F.col("user_id"), 14).alias("users"))
-    return daily_rollup(events, dims).join(sketch, list(dims))
+    return events.groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.count_distinct("user_id").alias("unique_users"),
+        sketches.user_sketch(F.col("user_id"), 14).alias("users"),
+    )
 
 
 def refresh_rollup(rollup: DayTable, base: DayTable, days: Iterable[str]) -> None:

@@ -17,6 +17,14 @@ def _blocks(rows: DataFrame, at: str, block: str) -> DataFrame:
     return rows.withColumn("_block", F.date_trunc(block, F.col(at)))
 
 
+def _carry(rows: DataFrame, carried: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Join the carried value of each block; rows without a key or a time match their own block."""
+    names = [*key, "_block"]
+    other = carried.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names]
+    return rows.join(other, same).drop(*[f"_of_{n}" for n in names])
+
+
 def running_total(
     rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
 ) -> DataFrame:
@@ -31,7 +39,7 @@ def running_total(
         .drop("_sum")
     )
     local = blocked.withColumn("_local", F.sum(value).over(inside))
-    joined = local.join(carried, [*key, "_block"])
+    joined = _carry(local, carried, key)
     return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_block", "_local", "_before")
 
 
@@ -53,7 +61,7 @@ def difference_to_previous(
         "_first", F.row_number().over(inside) == 1
     )
     previous = F.when(F.col("_first"), F.col("_previous_block")).otherwise(F.col("_lag"))
-    joined = local.join(carried, [*key, "_block"])
+    joined = _carry(local, carried, key)
     return joined.withColumn(name, F.coalesce(F.col(value) - previous, F.lit(0))).drop(
         "_block", "_lag", "_first", "_previous_block"
     )

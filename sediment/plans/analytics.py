@@ -153,6 +153,16 @@ def colocated_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def bucket_shuffle_join(spark: SparkSession, folder: str) -> DataFrame:
+    """One side stored in buckets, the other shuffled into them."""
+    lines, orders = _lines_and_orders(spark, folder)
+    pair = joins.BucketedPair(spark, 21, ["orderkey"]).write_lookup(orders)
+    return pair.join_shuffled(lines).groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("quantity").alias("sum_qty")
+    )
+
+
 @query
 def storage_audit(spark: SparkSession, folder: str) -> DataFrame:
     events = inputs.canonical_events(spark, folder)

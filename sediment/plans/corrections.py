@@ -99,11 +99,7 @@ def pseudonymize(spark: SparkSession, folder: str) -> DataFrame:
 def delete_impact_plan(spark: SparkSession, folder: str) -> DataFrame:
     events, staging = _events_and_staging(spark, folder)
     ids = compliance.staged_ids(staging, inputs.AS_OF)
-    per_user, batch = compliance.delete_impact(events, ids, "event_date", F.col("user_id") % 7)
-    users = per_user.select(F.concat(F.lit("user "), F.col("user_id")).alias("scope"), "units")
-    return users.unionByName(
-        batch.select(F.lit("one by one").alias("scope"), F.col("units_one_by_one").alias("units"))
-    ).unionByName(batch.select(F.lit("as a batch").alias("scope"), F.col("units_as_batch").alias("units")))
+    return compliance.delete_impact(events, ids, "event_date", F.col("user_id") % 7)
 
 
 @query

@@ -165,17 +165,13 @@ def generate_clicks(spark: SparkSession, folder: str) -> DataFrame:
     """One generated click per event; the shares of the sites and the lateness follow the feed's rule."""
     events = inputs.table(spark, folder, "events")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    made = messages.click_messages(events.withColumn("_at", seconds), "event_id", F.col("_at"))
-    late = events.select("event_id", seconds.alias("_at"))
-    return (
-        made.join(late, "event_id")
-        .groupBy("site")
-        .agg(
-            F.count(F.lit(1)).alias("n_clicks"),
-            F.count_distinct("uid").alias("n_users"),
-            F.max(F.col("_at") - F.col("vtime")).alias("most_late"),
-            F.min(F.col("_at") - F.col("vtime")).alias("least_late"),
-        )
+    made = messages.click_messages(events, "event_id", seconds)
+    return made.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_clicks"),
+        F.count_distinct("uid").alias("n_users"),
+        F.sum("vtime").alias("sum_vtime"),
+        F.max("late_seconds").alias("most_late"),
+        F.min("late_seconds").alias("least_late"),
     )
 
 
@@ -205,17 +201,19 @@ def load_job_counters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def strict_cast_rejects(spark: SparkSession, folder: str) -> DataFrame:
     readings = inputs.readings(inputs.canonical_events(spark, folder))
-    raw = readings.select(F.to_date("ts").cast("string").alias("day"), "metric", F.lit(None).cast("string").alias("_error"))
-    strict = decode.cast_fields(raw, "metric DOUBLE", strict=True)
-    lenient = decode.cast_fields(raw, "metric DOUBLE", strict=False)
-    checked = strict.groupBy("day").agg(
+    raw = readings.select(
+        F.to_date("ts").cast("string").alias("day"),
+        "metric",
+        F.col("metric").alias("loose"),
+        F.lit(None).cast("string").alias("_error"),
+    )
+    lenient = decode.cast_fields(raw, "loose DOUBLE", strict=False)
+    return decode.cast_fields(lenient, "metric DOUBLE", strict=True).groupBy("day").agg(
         F.count_if(F.col("_error").isNull()).alias("accepted_rows"),
         F.count_if(F.col("_error").isNotNull()).alias("rejected_rows"),
+        F.count(F.lit(1)).alias("lenient_rows"),
+        F.count_if(F.col("loose").isNull()).alias("lenient_nulls"),
     )
-    loose = lenient.groupBy("day").agg(
-        F.count(F.lit(1)).alias("lenient_rows"), F.count_if(F.col("metric").isNull()).alias("lenient_nulls")
-    )
-    return checked.join(loose, "day")
 
 
 @query
@@ -245,9 +243,10 @@ def table_row_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def consumer_lag(spark: SparkSession, folder: str) -> DataFrame:
     """Each event type stands for a group that committed its own last message of a partition."""
-    log = inputs.messages(inputs.canonical_events(spark, folder)).select(
-        "topic", "partition", "offset", F.get_json_object("value", "$.event_type").alias("group_id")
-    )
+    sent = inputs.messages(inputs.canonical_events(spark, folder))
+    topic = F.concat_ws("-", "topic", (F.col("partition") % 2).cast("string"))
+    group = F.get_json_object("value", "$.event_type")
+    log = sent.select(topic.alias("topic"), "partition", "offset", group.alias("group_id"))
     ends = log.groupBy("topic", "partition").agg(F.max("offset").alias("end_offset"))
     committed = (
         log.groupBy("group_id", "topic", "partition")

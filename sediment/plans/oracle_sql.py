@@ -143,7 +143,7 @@ WHERE bucket % 5 = 0 AND bucket % 10 <> 0 ORDER BY files.last_modified DESC, pat
 ORACLES["generate_clicks"] = (
     _with(CLICKS)
     + """
-SELECT site, count(*) AS n_clicks, count(DISTINCT uid) AS n_users,
+SELECT site, count(*) AS n_clicks, count(DISTINCT uid) AS n_users, CAST(sum(vtime) AS BIGINT) AS sum_vtime,
        max(sec - vtime) AS most_late, min(sec - vtime) AS least_late FROM made GROUP BY site"""
 )
 
@@ -366,6 +366,7 @@ ORACLES["colocated_join"] = """
 SELECT o_orderpriority, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_qty
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"""
 ORACLES["salted_lookup_join"] = ORACLES["colocated_join"]
+ORACLES["bucket_shuffle_join"] = ORACLES["colocated_join"]
 
 ORACLES["storage_audit"] = (
     _with(CANONICAL)

@@ -67,7 +67,7 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
 def _click_stream(spark: SparkSession, folder: str) -> DataFrame:
     source = spark.readStream.schema(inputs.table(spark, folder, "events").schema).parquet(f"{folder}/events*.parquet")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    made = messages.click_messages(source.withColumn("_at", seconds), "event_id", F.col("_at"))
+    made = messages.click_messages(source, "event_id", seconds)
     return made.withColumn("visited_at", F.timestamp_seconds("vtime"))
 
 
@@ -89,7 +89,9 @@ def stream_hourly_clicks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """The click stream unioned with itself; the repeats are dropped."""
-    source = _click_stream(spark, folder)
-    once = ingest.first_arrivals(source.unionByName(_click_stream(spark, folder)), ["event_id"], "visited_at")
+    copies = [_click_stream(spark, folder).withColumn("copy", F.lit(n)) for n in (1, 2)]
+    once = ingest.first_arrivals(
+        copies[0].unionByName(copies[1]), ["event_id"], "visited_at", spread=["event_id", "copy"]
+    )
     kept = _collect_stream(spark, once, "first")
     return kept.groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators import aggregates, dedup, layout, retention
+from sediment.operators import aggregates, dedup, joins, layout, retention
 from sediment.plans import inputs
 from sediment.plans.registry import query
 from sediment.session import scratch_path
@@ -195,7 +195,7 @@ def rebucket(spark: SparkSession, folder: str) -> DataFrame:
     events = stored_columns(inputs.canonical_events(spark, folder))
     root = scratch_path(spark, "rebucket")
     name = "sediment_" + root[-12:]
-    layout.write_bucketed(events, f"{name}_old", f"{root}/old", ["event_id"], 7)
+    joins.save_bucketed(events, f"{name}_old", f"{root}/old", ["event_id"], 7)
     copied = layout.rebucket(spark, f"{name}_old", f"{name}_new", f"{root}/new", ["event_id"], 21)
     return by_day(copied)
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A list of up to this many ids reaches the Parquet row-group filter as it is.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 _local_roots: dict[str, str] = {}

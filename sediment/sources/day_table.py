@@ -26,6 +26,7 @@ from sediment.operators.dedup import keep_latest_arrival, upsert_rows
 
 COMMIT = "_commit"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+FEW_IDS = 1_000
 
 
 class Conflict(RuntimeError):
@@ -292,7 +293,15 @@ class DayTable:
         return {r["d"] for r in found}
 
     def days_with(self, ids: DataFrame, on: Sequence[str]) -> set[str]:
-        """Days that hold a row matching ``ids``; reads only the id and day columns."""
+        """Days that hold a row matching ``ids``; reads only the id and day columns.
+
+        A short list of ids goes into the scan as a filter: with files sorted by the id, row groups
+        without any of them are skipped. A longer list is joined.
+        """
+        if len(on) == 1:
+            few = [r[0] for r in ids.select(*on).limit(FEW_IDS + 1).collect()]
+            if len(few) <= FEW_IDS:
+                return self.days_of(self.read().where(F.col(on[0]).isin(few))) if few else set()
         return self.days_of(self.read().join(ids, list(on), "left_semi"))
 
     def sizes(self) -> list[tuple[str, int, int]]:

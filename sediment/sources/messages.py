@@ -125,12 +125,13 @@ def click_messages(rows: DataFrame, row_id: str, at_seconds: Column, seed: str =
     site = F.coalesce(*bounds)
     late = draw(2, feeds.CLICK_MAX_JITTER + 1) * draw(3, feeds.CLICK_JITTER_FACTORS)
     return (
-        rows.withColumn("_digest", digest)
+        rows.select(F.col(row_id), at_seconds.alias("_at"), digest.alias("_digest"))
         .withColumn("_pick", draw(1, total))
         .select(
-            F.col(row_id),
+            row_id,
             (draw(0, feeds.CLICK_USERS) + 1).alias("uid"),
             site.alias("site"),
-            (at_seconds - late).alias("vtime"),
+            (F.col("_at") - late).alias("vtime"),
+            late.alias("late_seconds"),
         )
     )

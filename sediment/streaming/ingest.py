@@ -142,9 +142,20 @@ def one_stream(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def first_arrivals(rows: DataFrame, key: Sequence[str], at: str, delay: str = "7 days") -> DataFrame:
-    """Drop repeats within the watermark. Keeps the first copy, where an upsert keeps the last."""
-    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(key))
+def first_arrivals(
+    rows: DataFrame, key: Sequence[str], at: str, delay: str = "7 days", spread: Sequence[str] = (), salts: int = 16
+) -> DataFrame:
+    """Drop repeats within the watermark. Keeps the first copy, where an upsert keeps the last.
+
+    ``spread`` names columns that differ between copies of a key (partition and offset). The copies
+    are then first reduced in ``salts`` groups, so that a key with very many copies does not send
+    them all to one task.
+    """
+    marked = rows.withWatermark(at, delay)
+    if spread:
+        salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+        marked = marked.withColumn("_salt", salt).dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    return marked.dropDuplicatesWithinWatermark(list(key))
 
 
 def hourly_counts(clicks: DataFrame, at: str, by: Sequence[str] = (), delay: str = "90 minutes") -> DataFrame:
