@@ -127,13 +127,20 @@ def update_users(table: DayTable, updates: DataFrame, token: tuple[str, int] | N
 
 def nightly_batch(
     table: DayTable, staging: DayTable, evidence: DayTable, batch_date: str, physical: bool = True
-) -> dict[str, int]:
-    """Staged deletes and updates, removal of old files, check, evidence, then empty the staging."""
+) -> list[str]:
+    """Staged deletes and updates, removal of old files, check, evidence, then empty the staging.
+
+    Returns the days that were rewritten. Run again after a failure it does the same work or none.
+    """
     staged = staging.read()
     ids = staged_ids(staged, batch_date).persist()
+    updates = staged_updates(staged, batch_date).persist()
     try:
-        deleted = delete_users(table, ids)
-        updated = update_users(table, staged_updates(staged, batch_date))
+        table.fold()
+        affected = ids.union(updates.select("user_id")).distinct()
+        touched = table.days_with(affected, ["user_id"])
+        # One rewrite of each day for both kinds of request.
+        table.rewrite(lambda rows: update_from(survivors(rows, ids), updates), touched)
         if physical:
             table.vacuum()
         left = matching(table.read(), ids).count()
@@ -147,11 +154,13 @@ def nightly_batch(
             now.alias("deleted_at"),
             (now if physical else F.lit(None).cast("timestamp")).alias("removed_at"),
         )
-        evidence.append(entries, ("nightly", int(batch_date.replace("-", ""))))
+        known = evidence.read().select("batch_date", "user_id")
+        evidence.append(entries.join(known, ["batch_date", "user_id"], "left_anti"))
         staging.truncate()
     finally:
         ids.unpersist()
-    return {"deleted_from_days": len(deleted), "updated_days": len(updated)}
+        updates.unpersist()
+    return sorted(touched)
 
 
 EVIDENCE_SCHEMA = (

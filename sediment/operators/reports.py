@@ -30,6 +30,23 @@ def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Files and bytes behind each table, from file metadata columns; no data column is read."""
+    sizes = []
+    for name, rows in tables.items():
+        files = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
+        total = F.coalesce(F.sum("s"), F.lit(0))
+        sizes.append(
+            files.agg(F.count(F.lit(1)).alias("files"), total.alias("data_bytes")).select(
+                F.lit(name).alias("table_name"), "files", "data_bytes", numbers.readable_size(F.col("data_bytes")).alias("size")
+            )
+        )
+    out = sizes[0]
+    for one in sizes[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def partition_report(rows: DataFrame, day: str, size: Column) -> DataFrame:
     """Name, rows and size of each partition in name order."""
     grouped = rows.groupBy(day).agg(

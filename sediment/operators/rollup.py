@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions import sketches
+from sediment.operators.aggregates import merge_states
 from sediment.sources.day_table import DayTable
 
 ROLLUP_SCHEMA = (
@@ -38,6 +39,15 @@ def refresh_rollup(rollup: DayTable, base: DayTable, days: Iterable[str]) -> Non
     rollup.rewrite(lambda _old: fresh, set(days))
 
 
+def add_states(
+    table: DayTable, new: DataFrame, dims: Sequence[str], token: tuple[str, int] | None = None
+) -> list[str]:
+    """Merge new aggregate states into a stored table of states; only their days are rewritten."""
+    touched = table.days_of(new)
+    table.rewrite(lambda old: merge_states(old, new, dims), touched, token)
+    return sorted(touched)
+
+
 class RollupRouter:
     """Reads the rollup when it covers the question, else the base table.
 

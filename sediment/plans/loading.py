@@ -183,12 +183,10 @@ def _broken_props(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_good_bad(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides counted in one pass over the messages."""
     decoded = decode.decode_json(_broken_props(spark, folder), "k BIGINT")
-    good, bad = decode.split_good_bad(decoded)
-    total = F.coalesce(F.sum("k"), F.lit(0)).alias("sum_k")
-    n = F.count(F.lit(1)).alias("n_rows")
-    return good.agg(n, total).select(F.lit("good").alias("side"), "n_rows", "sum_k").unionByName(
-        bad.agg(n, total).select(F.lit("bad").alias("side"), "n_rows", "sum_k")
+    return decoded.groupBy(decode.side().alias("side")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("sum_k")
     )
 
 

@@ -52,6 +52,12 @@ def cast_fields(
     return rows.select(*others, *[c.alias(n) for n, c in converted.items()], reason.alias("_error"))
 
 
+def _parse_once(rows: DataFrame, parsed: Column) -> DataFrame:
+    """Add ``_doc``. Parsing is the costly step; from a generator it runs once per message, while a
+    later filter on ``_error`` would be pushed below a projection and parse again for each test."""
+    return rows.select("*", F.explode(F.array(parsed)).alias("_doc"))
+
+
 def _text_struct(paths: Mapping[str, str]) -> T.StructType:
     """All-text schema that holds every plain dotted path once."""
     tree: dict = {}
@@ -93,7 +99,7 @@ def decode_json(
         items = F.from_json("_json", T.ArrayType(T.StringType()))
         whole = whole.withColumn("_json", F.explode_outer(items))
     parsed = F.from_json("_json", _parse_schema(plain), {"columnNameOfCorruptRecord": "_bad"})
-    whole = whole.withColumn("_doc", parsed)
+    whole = _parse_once(whole, parsed)
     text = {}
     for name, path in where.items():
         if name in plain:
@@ -131,7 +137,7 @@ def decode_csv(
     names = [name or f"_skip{i}" for i, name in enumerate(positions)]
     all_text = ", ".join(f"`{n}` STRING" for n in [*names, "_bad"])
     options = {"sep": separator, "quote": quote, "columnNameOfCorruptRecord": "_bad"}
-    parsed = messages.withColumn("_doc", F.from_csv(value, all_text, options))
+    parsed = _parse_once(messages, F.from_csv(value, all_text, options))
     broken = F.col("_doc").isNull() | F.col("_doc._bad").isNotNull()
     marked = parsed.withColumn("_error", F.when(broken, F.lit(MALFORMED)))
     kept = [n for n in positions if n]
@@ -143,6 +149,10 @@ def decode_csv(
     return cast_fields(flat, schema, strict)
 
 
+def side() -> Column:
+    return F.when(F.col("_error").isNull(), "good").otherwise("bad")
+
+
 def split_good_bad(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without and with an error. Persist ``decoded`` first if both sides are used."""
     return decoded.where(F.col("_error").isNull()).drop("_error"), decoded.where(F.col("_error").isNotNull())

@@ -106,6 +106,12 @@ def publish_rows(
     )
 
 
+def live_clicks(spark: SparkSession, per_second: int = 5, seed: str = "clicks") -> DataFrame:
+    """Endless stream of generated clicks at a fixed rate."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", str(per_second)).load()
+    return click_messages(ticks, "value", F.unix_seconds("timestamp"), seed)
+
+
 def click_messages(rows: DataFrame, row_id: str, at_seconds: Column, seed: str = "clicks") -> DataFrame:
     """One click per input row: user, weighted site and a visit time up to 90 minutes back.
 

@@ -6,6 +6,7 @@ from a job, so a batch that is run again after a failure changes nothing twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -73,13 +74,17 @@ def dead_letters(bad: DataFrame, job_name: str, task: str) -> DataFrame:
 
 @dataclass
 class Ingest:
-    """A load job with its sinks. ``start`` can be called again after ``stop`` or a failure."""
+    """A load job with its sinks. ``start`` can be called again after ``stop`` or a failure.
+
+    With an upsert table in ``read`` mode, the deltas are merged after every ``fold_after`` batches.
+    """
 
     job: LoadJob
     table: DayTable
     letters: DayTable
     checkpoint: str
     status: DayTable | None = None
+    fold_after: int = 100
     query: StreamingQuery | None = field(default=None, repr=False)
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -100,6 +105,8 @@ class Ingest:
             rows = self.job.to_rows(good.where(selected))
             if table.key:
                 table.upsert(rows, self.job.arrival, token)
+                if len(table.state()["deltas"]) >= self.fold_after:
+                    table.fold()
             else:
                 table.append(rows, token)
             if self.status is not None:
@@ -168,6 +175,22 @@ def hourly_counts(clicks: DataFrame, at: str, by: Sequence[str] = (), delay: str
     )
 
 
+def kafka_offsets(spark: SparkSession, group: str, progress: dict) -> tuple[DataFrame, DataFrame]:
+    """End offsets and read offsets of a batch's Kafka sources, as ``reports.consumer_lag`` takes them."""
+
+    def rows(field: str) -> list[tuple[str, int, int]]:
+        found = []
+        for source in progress["sources"]:
+            value = source.get(field) or {}
+            offsets = json.loads(value) if isinstance(value, str) else value
+            found += [(t, int(p), int(o)) for t, parts in offsets.items() for p, o in parts.items()]
+        return found
+
+    ends = spark.createDataFrame(rows("latestOffset"), "topic STRING, partition INT, end_offset BIGINT")
+    read = spark.createDataFrame(rows("endOffset"), "topic STRING, partition INT, committed_offset BIGINT")
+    return ends, read.withColumn("group_id", F.lit(group))
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Recent batches of a running or finished query with their rates."""
     rows = [

@@ -52,6 +52,32 @@ def test_merged_states_equal_one_pass(spark):
     assert values(merged, "g") == values(once, "g")
 
 
+def test_states_are_added_to_the_stored_table_once(spark, folder):
+    schema = "event_date DATE, n BIGINT, total BIGINT, low BIGINT, high BIGINT, users BINARY"
+    table = DayTable(spark, folder, schema)
+    day = F.to_date(F.lit("2024-01-01")).alias("event_date")
+
+    def states(*ids):
+        rows = spark.createDataFrame([(i,) for i in ids], "v long").select(day, "v")
+        return aggregates.aggregate_states(rows, ["event_date"], F.col("v"), "v")
+
+    rollup.add_states(table, states(1, 2), ["event_date"], ("load", 0))
+    rollup.add_states(table, states(2, 9), ["event_date"], ("load", 1))
+    rollup.add_states(table, states(2, 9), ["event_date"], ("load", 1))
+    got = aggregates.read_states(table.read(), ["event_date"]).drop("event_date")
+    assert values(got) == [(4, 14, 1, 9, 3)]
+
+
+def test_sizes_defaults_and_timestamps(spark, folder):
+    spark.range(10).repartition(2).write.parquet(folder)
+    got = reports.table_sizes({"t": spark.read.parquet(folder)}).first()
+    assert got["files"] == 2 and got["data_bytes"] > 0 and got["size"].endswith("iB") or got["size"].endswith(" B")
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1), None)], "event_ts timestamp, at timestamp")
+    filled = layout.with_defaults(rows, {"at": F.current_timestamp()})
+    assert filled.where("at IS NULL").count() == 0
+    assert layout.as_millis(rows, "event_ts").first()["event_ts"] == 1_704_067_200_000
+
+
 def test_aggregates_combine_before_the_shuffle(spark):
     plan = plan_of(aggregates.count_by(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], "n", 1))
     assert "TakeOrderedAndProject" in plan and plan.index("Exchange") < plan.index("partial_count")
@@ -137,8 +163,17 @@ def test_nightly_batch(spark, folder):
     got = table.read().select("user_id", F.col("eviction_date").cast("string")).distinct()
     assert values(got, "user_id") == [(1, "2024-09-09"), (2, "2024-01-01")]
     assert staging.read().count() == 0
+    again = spark.createDataFrame([(0,), (2,)], "user_id long").select(
+        F.lit("2024-02-01").cast("date").alias("batch_date"), F.lit("DELETE").alias("operation"), "user_id", F.lit(None).cast("date").alias("new_eviction_date")
+    )
+    first_entry = evidence.read().first()
+    staging.append(again)
+    compliance.nightly_batch(table, staging, evidence, "2024-02-01")
+    assert evidence.read().where("user_id = 0").first() == first_entry
+    assert values(evidence.read().select("user_id"), "user_id") == [(0,), (2,)]
+    assert values(table.read().select("user_id").distinct()) == [(1,)]
     report = compliance.sla_report(evidence.read())
-    assert values(report.select("user_id", "within_sla")) == [(0, False)]
+    assert values(report.select("user_id", "within_sla"), "user_id") == [(0, False), (2, False)]
 
 
 def test_sla_boundary(spark):

@@ -1,10 +1,12 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
 from sediment.functions import times
+from sediment.operators import reports
 from sediment.plans.tables import STORED
 from sediment.sources import decode, messages
 from sediment.sources.day_table import DayTable
@@ -113,6 +115,35 @@ def test_interval_change_and_stop(spark, folder):
     assert ingest.progress_rows(spark, query).agg(F.sum("input_rows")).first()[0] == 1
 
 
+def test_deltas_are_merged_after_some_batches(spark, folder):
+    job = load(spark, folder, "read")
+    job.fold_after = 2
+    for n in range(3):
+        put(spark, f"{folder}/log{n}", [body(1, cents=n), body(10 + n)], first=10 * n)
+        job.run_batch(messages.stored_messages(spark, f"{folder}/log{n}"), n)
+        assert len(job.table.state()["deltas"]) == (n + 1) % 2
+    assert values(job.table.read().select("event_id", "cents"), "event_id") == [(1, 2), (10, 0), (11, 0), (12, 0)]
+
+
+def test_lag_from_kafka_progress(spark):
+    progress = {"sources": [{"endOffset": {"events": {"0": 5, "1": 7}}, "latestOffset": '{"events": {"0": 9, "1": 7, "2": 3}}'}]}
+    ends, read = ingest.kafka_offsets(spark, "g", progress)
+    assert values(reports.consumer_lag(ends, read)) == [("g", 7, 3)]
+
+
+def test_live_clicks(spark, folder):
+    query = (
+        messages.live_clicks(spark, 50).writeStream.format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/cp").trigger(processingTime="1 seconds").start()
+    )
+    deadline = time.time() + 30
+    while time.time() < deadline and sum(p["numInputRows"] for p in query.recentProgress) < 50:
+        time.sleep(0.5)
+    query.stop()
+    clicks = spark.read.parquet(f"{folder}/out")
+    assert clicks.count() >= 50 and clicks.where("uid NOT BETWEEN 1 AND 10000").count() == 0
+
+
 def test_topic_and_files_as_one_stream(spark, folder):
     put(spark, f"{folder}/log", [body(1), body(2)])
     put(spark, f"{folder}/log2", [body(2, cents=9), body(3)], first=100)
