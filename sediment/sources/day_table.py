@@ -9,7 +9,8 @@ same number collide and one fails: one writer per table is assumed.
 
 With a key the table is an upsert table in one of two modes. ``write``: each batch rewrites the days
 it touches, reads are plain. ``read``: a batch is only appended as a delta, reads put the newest row
-first, and ``fold`` merges the deltas later; this is the mode for small batches into large days.
+first, and ``fold`` merges the deltas later; this is the mode for small batches into large days. A
+delta is not split by day, so a batch with rows for many days is still a few files.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ class DayTable:
     def state(self) -> dict:
         versions = self._versions()
         if not versions:
-            return {"version": 0, "base": {}, "deltas": {}, "tokens": {}}
+            return {"version": 0, "base": {}, "deltas": [], "tokens": {}}
         return self._load(versions[-1])
 
     def _publish(self, state: dict, base=None, deltas=None, token: tuple[str, int] | None = None) -> None:
@@ -123,8 +124,11 @@ class DayTable:
 
     # Files
 
+    def _new_commit(self, version: int) -> str:
+        return f"{COMMIT}={version:010d}-{uuid.uuid4().hex[:8]}"
+
     def _write(self, rows: DataFrame, version: int) -> tuple[str, list[str]]:
-        commit = f"{COMMIT}={version:010d}-{uuid.uuid4().hex[:8]}"
+        commit = self._new_commit(version)
         columns = [f.name for f in self.schema.fields]
         # REBALANCE puts a day's rows together, splits a day that is too big for one task and
         # merges small ones, so file sizes follow spark.sql.adaptive.advisoryPartitionSizeInBytes.
@@ -138,6 +142,14 @@ class DayTable:
             raise ValueError(f"rows without {self.day}")
         return commit, days
 
+    def _write_delta(self, rows: DataFrame, version: int) -> str:
+        commit = self._new_commit(version)
+        columns = [f.name for f in self.schema.fields]
+        dated = F.coalesce(self.day, F.raise_error(F.lit(f"rows without {self.day}")).cast("date"))
+        placed = rows.select(*columns).withColumn(self.day, dated).hint("rebalance")
+        placed.write.parquet(f"{self.root}/{commit}")
+        return commit
+
     def _scan(self, paths: Iterable[str]) -> DataFrame:
         fields = [f for f in self.schema.fields if f.name != self.day]
         by_name = {f.name: f for f in self.schema.fields}
@@ -155,9 +167,9 @@ class DayTable:
         )
 
     def _newest_delta(self, state: dict, arrival: Sequence[str]) -> DataFrame:
-        deltas = self._scan(
-            f"{self.root}/{c}/{self.day}={d}" for c, ds in state["deltas"].items() for d in ds
-        )
+        full = T.StructType([*self.schema.fields, T.StructField(COMMIT, T.StringType())])
+        paths = [f"{self.root}/{c}" for c in state["deltas"]]
+        deltas = self.spark.read.schema(full).option("basePath", self.root).parquet(*paths)
         return keep_latest_arrival(deltas, self.key, [COMMIT, *arrival])
 
     # Reading
@@ -201,8 +213,8 @@ class DayTable:
         newest = keep_latest_arrival(batch, self.key, arrival)
         state = self.state()
         if self.mode == "read":
-            commit, days = self._write(newest, state["version"] + 1)
-            self._publish(state, deltas={**state["deltas"], commit: days}, token=token)
+            commit = self._write_delta(newest, state["version"] + 1)
+            self._publish(state, deltas=[*state["deltas"], commit], token=token)
             return True
         newest = newest.persist()
         try:
@@ -220,10 +232,10 @@ class DayTable:
         state = self.state()
         if not state["deltas"]:
             return []
-        keys = self._newest_delta(state, ()).select(*self.key)
-        stored = self._base(state).join(keys, self.key, "left_semi")
-        touched = {d for ds in state["deltas"].values() for d in ds} | self.days_of(stored)
-        self._replace(self.read(touched), touched, None, deltas={})
+        newest = self._newest_delta(state, ())
+        stored = self._base(state).join(newest.select(*self.key), self.key, "left_semi")
+        touched = self.days_of(newest) | self.days_of(stored)
+        self._replace(self.read(touched), touched, None, deltas=[])
         return sorted(touched)
 
     def rewrite(
@@ -261,17 +273,17 @@ class DayTable:
         return gone
 
     def truncate(self) -> None:
-        self._publish(self.state(), base={}, deltas={})
+        self._publish(self.state(), base={}, deltas=[])
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete folders that none of the newest ``keep`` published lists names."""
         versions = self._versions()
         lists = [self._load(v) for v in versions[-keep:]]
         used = {(c, d) for s in lists for d, cs in s["base"].items() for c in cs}
-        used |= {(c, d) for s in lists for c, ds in s["deltas"].items() for d in ds}
+        deltas = {c for s in lists for c in s["deltas"]}
         removed = []
         for commit in self._children(self.root):
-            if not commit.startswith(f"{COMMIT}="):
+            if not commit.startswith(f"{COMMIT}=") or commit in deltas:
                 continue
             names = [n for n in self._children(f"{self.root}/{commit}") if n.startswith(f"{self.day}=")]
             keep_names = {n for n in names if (commit, n.split("=", 1)[1]) in used}

@@ -193,3 +193,21 @@ def test_rows_without_a_user_survive_and_stay_nullable(spark, folder):
     assert t.read().where("user_id IS NULL").count() == 2
     compliance.delete_users(t, spark.createDataFrame([(201,)], "user_id long"))
     assert t.read().count() == 3
+
+
+def test_delta_without_a_day_is_refused(spark, folder):
+    t = table(spark, folder, "read")
+    with pytest.raises(Exception, match="rows without event_date"):
+        t.upsert(rows(spark, (1, 1, None, "2025-04-15", "x", 1)), ["seq"])
+    assert t.read().count() == 0
+
+
+def test_vacuum_keeps_unmerged_deltas(spark, folder):
+    t = table(spark, folder, "read")
+    t.upsert(rows(spark, *FIRST), ["seq"])
+    t.upsert(rows(spark, (2, 200, "2025-01-16", "2025-04-15", "moved", 5)), ["seq"])
+    assert t.vacuum() == []
+    assert t.read().count() == 4
+    t.fold()
+    assert len(t.vacuum()) == 2
+    assert values(t.read().select("event_id"), "event_id") == [(2,), (3,), (4,), (5,)]
