@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +110,23 @@ def stored_rows_of(table: DayTable, ids: DataFrame) -> DataFrame:
     return matching(found, ids)
 
 
+def _spread(table: DayTable) -> str | None:
+    """A column that differs between rows of one user."""
+    return table.key[0] if table.key else None
+
+
 def delete_users(table: DayTable, ids: DataFrame, token: tuple[str, int] | None = None) -> list[str]:
     """Delete users from a table. Only days that hold them are rewritten, all users at once."""
     table.fold()
     touched = table.days_with(ids, ["user_id"])
-    table.rewrite(lambda rows: survivors(rows, ids), touched, token)
+    table.rewrite(lambda rows: survivors(rows, ids, _spread(table)), touched, token)
     return sorted(touched)
 
 
 def update_users(table: DayTable, updates: DataFrame, token: tuple[str, int] | None = None) -> list[str]:
     table.fold()
     touched = table.days_with(updates.select("user_id"), ["user_id"])
-    table.rewrite(lambda rows: update_from(rows, updates), touched, token)
+    table.rewrite(lambda rows: update_from(rows, updates, _spread(table)), touched, token)
     return sorted(touched)
 
 
@@ -140,12 +145,13 @@ def nightly_batch(
         affected = ids.union(updates.select("user_id")).distinct()
         touched = table.days_with(affected, ["user_id"])
         # One rewrite of each day for both kinds of request.
-        table.rewrite(lambda rows: update_from(survivors(rows, ids), updates), touched)
+        spread = _spread(table)
+        table.rewrite(lambda rows: update_from(survivors(rows, ids, spread), updates, spread), touched)
         if physical:
             table.vacuum()
-        left = matching(table.read(), ids).count()
+        left = table.days_with(ids, ["user_id"])
         if left:
-            raise RuntimeError(f"{left} rows of deleted users are still visible")
+            raise RuntimeError(f"deleted users are still visible on {sorted(left)}")
         now = F.current_timestamp()
         entries = ids.select(
             F.lit(batch_date).cast("date").alias("batch_date"),
@@ -174,7 +180,3 @@ def sla_report(evidence: DataFrame, hours: int = SLA_HOURS) -> DataFrame:
     return evidence.withColumn("hours_taken", F.round(took, 6)).withColumn(
         "within_sla", F.coalesce(F.col("hours_taken") <= hours, F.lit(False))
     )
-
-
-def touched_days(rows: DataFrame, ids: DataFrame, day: str, key: Sequence[str] = ("user_id",)) -> DataFrame:
-    return lookup_join(rows, ids, list(key), "left_semi").select(day).distinct()

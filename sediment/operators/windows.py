@@ -1,8 +1,9 @@
 """Row-order functions that do not put a whole key into one task.
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Here a key is cut into time
-blocks: the function runs inside each block, a second window runs over one summary row per block,
-and the carried value is joined back. The result is that of the plain window.
+blocks. A second, small window runs over one summary row per block and gives the value that each
+block inherits; that value goes in front of the block's rows as a marker row, and one window per
+block then yields the result of the plain window. Rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -13,58 +14,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _blocks(rows: DataFrame, at: str, block: str) -> DataFrame:
-    return rows.withColumn("_block", F.date_trunc(block, F.col(at)))
+def _per_block(
+    rows: DataFrame,
+    key: Sequence[str],
+    at: str,
+    ties: Sequence[str],
+    value: str,
+    block: str,
+    summary: Column,
+    inherited: Column,
+) -> tuple[DataFrame, Window]:
+    """Rows with a leading marker row per block, and the window to use on them.
 
-
-def _carry(rows: DataFrame, carried: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Join the carried value of each block; rows without a key or a time match their own block."""
-    names = [*key, "_block"]
-    other = carried.withColumnsRenamed({n: f"_of_{n}" for n in names})
-    same = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names]
-    return rows.join(other, same).drop(*[f"_of_{n}" for n in names])
+    ``summary`` reduces a block to one value, ``inherited`` is a window-function input over the
+    summaries of a key in block order.
+    """
+    blocked = rows.withColumn("_block", F.date_trunc(block, F.col(at))).withColumn("_mark", F.lit(1))
+    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    markers = (
+        blocked.groupBy(*key, "_block")
+        .agg(summary.alias("_summary"))
+        .select(*key, "_block", inherited.over(across).alias(value), F.lit(0).alias("_mark"))
+    )
+    inside = Window.partitionBy(*key, "_block").orderBy("_mark", at, *ties)
+    return blocked.unionByName(markers, allowMissingColumns=True), inside
 
 
 def running_total(
     rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
 ) -> DataFrame:
     """Sum of ``value`` from the key's first row to this one, in the order ``at, ties``."""
-    blocked = _blocks(rows, at, block)
-    inside = Window.partitionBy(*key, "_block").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*key, "_block")
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(across), F.lit(0)))
-        .drop("_sum")
-    )
-    local = blocked.withColumn("_local", F.sum(value).over(inside))
-    joined = _carry(local, carried, key)
-    return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_block", "_local", "_before")
+    marked, inside = _per_block(rows, key, at, ties, value, block, F.sum(value), F.sum("_summary"))
+    running = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn(name, running).where("_mark = 1").drop("_block", "_mark")
 
 
 def difference_to_previous(
     rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
 ) -> DataFrame:
     """``value`` minus the value of the key's previous row; 0 for the first row."""
-    blocked = _blocks(rows, at, block)
-    inside = Window.partitionBy(*key, "_block").orderBy(at, *ties)
-    across = Window.partitionBy(*key).orderBy("_block")
     last = F.max_by(F.col(value), F.struct(at, *ties))
-    carried = (
-        blocked.groupBy(*key, "_block")
-        .agg(last.alias("_last"))
-        .withColumn("_previous_block", F.lag("_last").over(across))
-        .drop("_last")
-    )
-    local = blocked.withColumn("_lag", F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    previous = F.when(F.col("_first"), F.col("_previous_block")).otherwise(F.col("_lag"))
-    joined = _carry(local, carried, key)
-    return joined.withColumn(name, F.coalesce(F.col(value) - previous, F.lit(0))).drop(
-        "_block", "_lag", "_first", "_previous_block"
-    )
+    marked, inside = _per_block(rows, key, at, ties, value, block, last, F.last("_summary"))
+    difference = F.coalesce(F.col(value) - F.lag(value).over(inside), F.lit(0))
+    return marked.withColumn(name, difference).where("_mark = 1").drop("_block", "_mark")
 
 
 def job_alerts(checks: DataFrame, wanted_tasks: Column | int) -> DataFrame:

@@ -110,18 +110,14 @@ class Ingest:
             else:
                 table.append(rows, token)
             if self.status is not None:
-                now = F.current_timestamp()
-                line = load_counters(decoded, selected).select(
-                    F.to_date(now).alias("checked_on"),
-                    F.lit(self.job.name).alias("job_name"),
-                    F.lit(batch_id).cast("bigint").alias("batch_id"),
-                    "total_rows",
-                    "loaded_rows",
-                    "unselected_rows",
-                    "error_rows",
-                    now.alias("checked_at"),
+                line = spark.createDataFrame(
+                    [(self.job.name, batch_id, *counts)],
+                    "job_name STRING, batch_id BIGINT, total_rows BIGINT, loaded_rows BIGINT, "
+                    "unselected_rows BIGINT, error_rows BIGINT",
                 )
-                self.status.with_session(spark).append(line, token)
+                now = F.current_timestamp()
+                dated = line.withColumns({"checked_at": now, "checked_on": F.to_date(now)})
+                self.status.with_session(spark).append(dated, token)
         finally:
             decoded.unpersist()
 
