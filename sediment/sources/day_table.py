@@ -232,10 +232,13 @@ class DayTable:
         state = self.state()
         if not state["deltas"]:
             return []
-        newest = self._newest_delta(state, ())
-        stored = self._base(state).join(newest.select(*self.key), self.key, "left_semi")
-        touched = self.days_of(newest) | self.days_of(stored)
-        self._replace(self.read(touched), touched, None, deltas=[])
+        newest = self._newest_delta(state, ()).persist()
+        try:
+            stored = self._base(state).join(newest.select(*self.key), self.key, "left_semi")
+            touched = self.days_of(newest) | self.days_of(stored)
+            self._replace(self.read(touched), touched, None, deltas=[])
+        finally:
+            newest.unpersist()
         return sorted(touched)
 
     def rewrite(
