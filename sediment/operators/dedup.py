@@ -36,9 +36,18 @@ def keep_latest_version(
     return _first_per_key(rows, [*within, *key], [F.col(version).desc_nulls_last(), *ties])
 
 
-def keep_latest_arrival(rows: DataFrame, key: Sequence[str], arrival: Sequence[str]) -> DataFrame:
-    """One row per key: the one that arrived last."""
-    return _first_per_key(rows, key, [F.col(a).desc_nulls_last() for a in arrival])
+def keep_latest_arrival(
+    rows: DataFrame, key: Sequence[str], arrival: Sequence[str], unique: bool = False
+) -> DataFrame:
+    """One row per key: the one that arrived last.
+
+    Rows with equal arrival are ordered by content, so that a rerun keeps the same one; ``unique``
+    says that key and arrival identify a row and saves reading the content for that.
+    """
+    order = [F.col(a).desc_nulls_last() for a in arrival]
+    if not unique:
+        order.append(F.xxhash64(*rows.columns).desc())
+    return _first_per_key(rows, key, order)
 
 
 def upsert_rows(
@@ -48,9 +57,8 @@ def upsert_rows(
 
     The key is global: a stored row is replaced even if the new one belongs to another day.
     """
-    newest = keep_latest_arrival(batch, key, arrival)
-    kept = stored.join(newest.select(*key), list(key), "left_anti")
-    return kept.unionByName(newest)
+    kept = stored.join(batch.select(*key).distinct(), list(key), "left_anti")
+    return kept.unionByName(keep_latest_arrival(batch, key, arrival))
 
 
 def duplicate_rate(rows: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -90,6 +98,11 @@ def live_ledger(ledger: DataFrame, as_of: Column, last: int = 1000, days: int =
     return recent.orderBy(*order).limit(last)
 
 
+LEDGER_SCHEMA = (
+    "accepted_on DATE, accepted_at TIMESTAMP, batch_rows BIGINT, hash_xor BIGINT, hash_sum STRING"
+)
+
+
 def unseen_batches(incoming: DataFrame, live: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Incoming batches not in the live ledger; of repeats within ``incoming`` the first arrival."""
     first = _first_per_key(incoming, FINGERPRINT, [F.col(a).asc() for a in arrival])

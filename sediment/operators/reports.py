@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import numbers
 from sediment.operators.layout import partition_name
+from sediment.sources.day_table import DayTable
 
 # Sizes in bytes per row and days of retention of the planning grid, share of the data
 # that is cached, and room left above the cache.
@@ -73,11 +74,29 @@ def layout_summary(parts: DataFrame, by: Sequence[str], compaction_lag: int = 20
     return grouped.withColumn("compaction_lagging", F.col("max_versions") > compaction_lag)
 
 
+def _pressure(files: Column, slow: int, stop: int) -> Column:
+    return F.when(files >= stop, "stop").when(files >= slow, "slow").otherwise("ok")
+
+
 def part_pressure(files: DataFrame, by: Sequence[str], slow: int = SLOW_AT, stop: int = STOP_AT) -> DataFrame:
     """Files per partition with the level at which loading slows down or stops."""
     counted = files.groupBy(*by).agg(F.count_distinct("file").alias("files"))
-    level = F.when(F.col("files") >= stop, "stop").when(F.col("files") >= slow, "slow").otherwise("ok")
-    return counted.withColumn("level", level)
+    return counted.withColumn("level", _pressure(F.col("files"), slow, stop))
+
+
+def day_table_report(table: DayTable, slow: int = SLOW_AT, stop: int = STOP_AT) -> DataFrame:
+    """Rows, bytes, files and file pressure of each stored day."""
+    spark, day = table.spark, table.day
+    sizes = spark.createDataFrame(table.sizes(), "day STRING, data_bytes BIGINT, files BIGINT")
+    rows = table.read().groupBy(F.col(day).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("row_count"))
+    return sizes.join(rows, "day", "left").select(
+        partition_name(F.col("day").cast("date")).alias("partition_name"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        "data_bytes",
+        numbers.gibibytes(F.col("data_bytes")).alias("data_gb"),
+        "files",
+        _pressure(F.col("files"), slow, stop).alias("level"),
+    ).orderBy("partition_name")
 
 
 def capacity_grid(rates: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sediment.operators.dedup import keep_latest_arrival, upsert_rows
+from sediment.operators.dedup import keep_latest_arrival
 
 COMMIT = "_commit"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
@@ -166,11 +166,10 @@ class DayTable:
             f"{self.root}/{c}/{self.day}={d}" for d in wanted for c in state["base"][d]
         )
 
-    def _newest_delta(self, state: dict, arrival: Sequence[str]) -> DataFrame:
+    def _delta_rows(self, state: dict) -> DataFrame:
         full = T.StructType([*self.schema.fields, T.StructField(COMMIT, T.StringType())])
         paths = [f"{self.root}/{c}" for c in state["deltas"]]
-        deltas = self.spark.read.schema(full).option("basePath", self.root).parquet(*paths)
-        return keep_latest_arrival(deltas, self.key, [COMMIT, *arrival])
+        return self.spark.read.schema(full).option("basePath", self.root).parquet(*paths)
 
     # Reading
 
@@ -184,8 +183,11 @@ class DayTable:
         wanted = None if days is None else sorted(set(days))
         rows = self._base(state, wanted)
         if state["deltas"]:
-            newest = self._newest_delta(state, ())
-            rows = rows.join(newest.select(*self.key), self.key, "left_anti").unionByName(newest)
+            deltas = self._delta_rows(state)
+            # A delta holds a key once, so the commit decides.
+            newest = keep_latest_arrival(deltas, self.key, [COMMIT], unique=True)
+            known = deltas.select(*self.key).distinct()
+            rows = rows.join(known, self.key, "left_anti").unionByName(newest)
             if wanted is not None:
                 rows = rows.where(F.col(self.day).cast("string").isin(wanted))
         return rows.select(*columns)
@@ -221,7 +223,8 @@ class DayTable:
             touched = self.days_of(newest) | self.days_with(newest.select(*self.key), self.key)
             columns = [f.name for f in self.schema.fields]
             stored = self.read(touched)
-            merged = upsert_rows(stored, newest.select(*columns), self.key, self.key)
+            replaced = stored.join(newest.select(*self.key), self.key, "left_anti")
+            merged = replaced.unionByName(newest.select(*columns))
             self._replace(merged, touched, token)
         finally:
             newest.unpersist()
@@ -232,13 +235,11 @@ class DayTable:
         state = self.state()
         if not state["deltas"]:
             return []
-        newest = self._newest_delta(state, ()).persist()
-        try:
-            stored = self._base(state).join(newest.select(*self.key), self.key, "left_semi")
-            touched = self.days_of(newest) | self.days_of(stored)
-            self._replace(self.read(touched), touched, None, deltas=[])
-        finally:
-            newest.unpersist()
+        deltas = self._delta_rows(state)
+        known = deltas.select(*self.key).distinct()
+        stored = self._base(state).join(known, self.key, "left_semi")
+        touched = self.days_of(deltas) | self.days_of(stored)
+        self._replace(self.read(touched), touched, None, deltas=[])
         return sorted(touched)
 
     def rewrite(
@@ -267,7 +268,7 @@ class DayTable:
         self._publish(state, base=base, deltas=deltas, token=token)
 
     def drop_days(self, days: Iterable[str]) -> list[str]:
-        """Remove whole days; no data is read."""
+        """Remove whole days. No data is read, unless deltas have to be merged first."""
         self.fold()
         state = self.state()
         gone = sorted(set(days) & set(state["base"]))

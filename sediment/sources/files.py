@@ -11,10 +11,19 @@ FORMATS = ("parquet", "orc", "json", "csv")
 LEDGER_SCHEMA = "path STRING, state STRING, loaded_at TIMESTAMP, last_modified TIMESTAMP, error STRING"
 
 
-def _format_options(fmt: str, header: bool, separator: str) -> dict[str, str]:
+def _format_options(
+    fmt: str, header: bool, separator: str, quote: str, line_separator: str | None, outer_array: bool
+) -> dict[str, str]:
     if fmt not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
-    return {"header": str(header).lower(), "sep": separator} if fmt == "csv" else {}
+    options = {}
+    if fmt == "csv":
+        options = {"header": str(header).lower(), "sep": separator, "quote": quote}
+    if fmt == "json" and outer_array:
+        options = {"multiLine": "true"}
+    if line_separator is not None:
+        options["lineSep"] = line_separator
+    return options
 
 
 def file_stream(
@@ -27,12 +36,15 @@ def file_stream(
     recursive: bool = True,
     header: bool = False,
     separator: str = ",",
+    quote: str = '"',
+    line_separator: str | None = None,
+    outer_array: bool = False,
 ) -> DataFrame:
-    """Stream of new files, oldest first, with the file each row came from in ``_file``."""
+    """Stream of new files, oldest first. ``_file`` and ``_modified`` tell where a row came from."""
     reader = (
         spark.readStream.format(fmt)
         .schema(schema)
-        .options(**_format_options(fmt, header, separator))
+        .options(**_format_options(fmt, header, separator, quote, line_separator, outer_array))
         .option("latestFirst", "false")
         .option("recursiveFileLookup", str(recursive).lower())
     )
@@ -40,7 +52,24 @@ def file_stream(
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    return reader.load(path).select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_modification_time").alias("_modified"),
+    )
+
+
+def as_messages(rows: DataFrame, topic: str = "files") -> DataFrame:
+    """Rows of a file stream in the columns of a message stream, so that one job can take both."""
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("_file", "_modified")]))
+    return rows.select(
+        F.col("_file").alias("key"),
+        body.alias("value"),
+        F.lit(topic).alias("topic"),
+        F.lit(-1).alias("partition"),
+        F.lit(0).cast("bigint").alias("offset"),
+        F.col("_modified").alias("timestamp"),
+    )
 
 
 def read_files(
@@ -50,8 +79,12 @@ def read_files(
     schema: str | None = None,
     header: bool = False,
     separator: str = ",",
+    quote: str = '"',
+    line_separator: str | None = None,
+    outer_array: bool = False,
 ) -> DataFrame:
-    reader = spark.read.format(fmt).options(**_format_options(fmt, header, separator))
+    options = _format_options(fmt, header, separator, quote, line_separator, outer_array)
+    reader = spark.read.format(fmt).options(**options)
     if schema:
         reader = reader.schema(schema)
     return reader.load(list(paths))
@@ -119,37 +152,36 @@ def load_new_files(
     loading and the ledger entry loads the same files again. ``only`` retries named files.
     """
     now = as_of if as_of is not None else F.current_timestamp()
-    done = 0
-    tried: list[str] = []
-    while True:
-        ledger = read_ledger(spark, ledger_path)
-        listing = list_files(spark, path, glob)
-        if only is not None:
-            chosen = listing.where(F.col("path").isin(list(only)))
-        else:
-            chosen = files_to_load(listing, ledger, now, forget_after_days)
-        chosen = chosen.join(
-            spark.createDataFrame([(p,) for p in tried], "path STRING"), "path", "left_anti"
-        )
-        batch = chosen.orderBy("path").limit(per_commit)
-        paths = [r["path"] for r in batch.select("path").collect()]
-        if not paths:
-            return done
-        tried.extend(paths)
-        try:
-            load(paths)
-            state, error = "LOADED", None
-            done += len(paths)
-        except Exception as problem:
-            state, error = "ERROR", str(problem)[:4096]
-        entries = listing.where(F.col("path").isin(paths)).select(
-            "path",
-            F.lit(state).alias("state"),
-            now.cast("timestamp").alias("loaded_at"),
-            "last_modified",
-            F.lit(error).cast("string").alias("error"),
-        )
-        entries.coalesce(1).write.mode("append").parquet(ledger_path)
+    listing = list_files(spark, path, glob)
+    if only is not None:
+        pending = listing.where(F.col("path").isin(list(only)))
+    else:
+        pending = files_to_load(listing, read_ledger(spark, ledger_path), now, forget_after_days)
+    pending = pending.persist()
+    done, last = 0, ""
+    try:
+        while True:
+            batch = pending.where(F.col("path") > last).orderBy("path").limit(per_commit)
+            paths = [r["path"] for r in batch.select("path").collect()]
+            if not paths:
+                return done
+            last = paths[-1]
+            try:
+                load(paths)
+                state, error = "LOADED", None
+                done += len(paths)
+            except Exception as problem:
+                state, error = "ERROR", str(problem)[:4096]
+            entries = pending.where(F.col("path").isin(paths)).select(
+                "path",
+                F.lit(state).alias("state"),
+                now.cast("timestamp").alias("loaded_at"),
+                "last_modified",
+                F.lit(error).cast("string").alias("error"),
+            )
+            entries.coalesce(1).write.mode("append").parquet(ledger_path)
+    finally:
+        pending.unpersist()
 
 
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:

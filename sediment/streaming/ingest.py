@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sediment.functions import text
+from sediment.operators import dedup
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import load_counters, split_good_bad
 
@@ -77,13 +78,20 @@ class Ingest:
     """A load job with its sinks. ``start`` can be called again after ``stop`` or a failure.
 
     With an upsert table in ``read`` mode, the deltas are merged after every ``fold_after`` batches.
+    With a ``ledger``, a batch whose content equals one of the last 1,000 batches of seven days is
+    skipped, whatever its number; an append-only table needs this against messages sent twice.
     """
 
+    def _fingerprint(self, batch: DataFrame) -> DataFrame:
+        content = [c for c in ("key", "value", "topic") if c in batch.columns]
+        return dedup.batch_fingerprints(batch, [], content).withColumn("accepted_at", F.current_timestamp())
+
     job: LoadJob
     table: DayTable
     letters: DayTable
     checkpoint: str
     status: DayTable | None = None
+    ledger: DayTable | None = None
     fold_after: int = 100
     query: StreamingQuery | None = field(default=None, repr=False)
 
@@ -91,6 +99,12 @@ class Ingest:
         spark = batch.sparkSession
         table, letters = self.table.with_session(spark), self.letters.with_session(spark)
         token = (self.job.name, batch_id)
+        ledger = self.ledger.with_session(spark) if self.ledger is not None else None
+        if ledger is not None:
+            entry = self._fingerprint(batch)
+            live = dedup.live_ledger(ledger.read(), F.current_timestamp())
+            if dedup.unseen_batches(entry, live, ["accepted_at"]).isEmpty():
+                return
         selected = self.job.where if self.job.where is not None else F.lit(True)
         decoded = self.job.decode(batch).persist()
         try:
@@ -109,6 +123,8 @@ class Ingest:
                     table.fold()
             else:
                 table.append(rows, token)
+            if ledger is not None:
+                ledger.append(entry.withColumn("accepted_on", F.to_date("accepted_at")), token)
             if self.status is not None:
                 line = spark.createDataFrame(
                     [(self.job.name, batch_id, *counts)],

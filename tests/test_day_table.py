@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
-from sediment.operators import compliance, layout, retention
+from sediment.operators import compliance, layout, reports, retention
 from sediment.sources.day_table import Conflict, DayTable
 
 SCHEMA = "event_id BIGINT, user_id BIGINT, event_date DATE, eviction_date DATE, payload STRING"
@@ -167,6 +167,27 @@ def test_compaction_keeps_rows_and_reduces_files(spark, folder):
     assert layout.compact(t, days=["2025-01-15"]) == ["2025-01-15"]
 
 
+def test_report_of_stored_days(spark, folder):
+    t = DayTable(spark, folder, SCHEMA)
+    t.append(rows(spark, *FIRST))
+    t.append(rows(spark, (9, 1, "2025-01-16", "2025-04-15", "x", 1), (8, 1, "2025-01-15", "2025-04-15", "x", 1)))
+    got = reports.day_table_report(t, slow=2, stop=3)
+    assert values(got.select("partition_name", "row_count", "files", "level")) == [
+        ("p20250115", 5, 2, "slow"),
+        ("p20250116", 1, 1, "ok"),
+    ]
+
+
+def test_equal_arrivals_give_the_same_row_every_time(spark, folder):
+    items = [(1, 1, "2025-01-15", "2025-04-15", p, 1) for p in "abcdef"]
+    found = set()
+    for order in (items, items[::-1]):
+        t = table(spark, f"{folder}{len(found)}{order[0][4]}")
+        t.upsert(rows(spark, *order), ["seq"])
+        found.add(t.read().first()["payload"])
+    assert len(found) == 1
+
+
 def test_update_where_and_from_staging(spark, folder):
     t = table(spark, folder)
     t.upsert(rows(spark, *FIRST), ["seq"])

@@ -85,6 +85,14 @@ def test_file_stream_reads_every_file_once(spark, folder):
         assert out.select("_file").distinct().count() == 2
 
 
+def test_json_files_with_an_outer_array_and_own_line_ends(spark, folder):
+    put(f"{folder}/a.json", ['[{"a": 1},', ' {"a": 2}]'])
+    assert values(files.read_files(spark, [f"{folder}/a.json"], "json", "a INT", outer_array=True), "a") == [(1,), (2,)]
+    put(f"{folder}/b.csv", ["a;b|1;'x;y'|2;z"])
+    got = files.read_files(spark, [f"{folder}/b.csv"], "csv", "a INT, b STRING", header=True, separator=";", quote="'", line_separator="|")
+    assert [r for r in values(got.where("a IS NOT NULL"), "a")] == [(1, "x;y"), (2, "z\n")]
+
+
 def test_kafka_options():
     got = messages.kafka_options("a:1,b:2", "events", {0: 5, 1: -2}, max_rows=500_000, min_partitions=6)
     assert got["startingOffsets"] == '{"events": {"0": 5, "1": -2}}'

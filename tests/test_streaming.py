@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import time
 
 import pytest
@@ -6,9 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import values
 from sediment.functions import times
-from sediment.operators import reports
+from sediment.operators import dedup, reports
 from sediment.plans.tables import STORED
-from sediment.sources import decode, messages
+from sediment.sources import decode, files, messages
 from sediment.sources.day_table import DayTable
 from sediment.streaming import ingest
 
@@ -115,6 +116,28 @@ def test_interval_change_and_stop(spark, folder):
     assert ingest.progress_rows(spark, query).agg(F.sum("input_rows")).first()[0] == 1
 
 
+def test_content_sent_twice_is_skipped_by_the_ledger(spark, folder):
+    put(spark, f"{folder}/log", [body(1), body(2)])
+    put(spark, f"{folder}/again", [body(2), body(1)], first=50)
+    job = load(spark, folder)
+    job.table = DayTable(spark, f"{folder}/plain", STORED)
+    job.ledger = DayTable(spark, f"{folder}/ledger", dedup.LEDGER_SCHEMA, day="accepted_on")
+    for number, path in enumerate(["log", "again"]):
+        job.run_batch(messages.stored_messages(spark, f"{folder}/{path}"), number)
+    assert job.table.read().count() == 2 and job.ledger.read().count() == 1
+
+
+def test_files_and_topic_feed_one_table(spark, folder):
+    put(spark, f"{folder}/log", [body(1), body(2)])
+    os.makedirs(f"{folder}/in")
+    with open(f"{folder}/in/a.json", "w") as f:
+        f.write(body(2, cents=7) + "\n" + body(4) + "\n")
+    from_files = files.as_messages(files.file_stream(spark, f"{folder}/in", "json", FIELDS))
+    job = load(spark, folder)
+    job.start(ingest.one_stream(messages.replay_messages(spark, f"{folder}/log"), from_files)).awaitTermination()
+    assert values(job.table.read().select("event_id", "cents"), "event_id") == [(1, 0), (2, 7), (4, 0)]
+
+
 def test_deltas_are_merged_after_some_batches(spark, folder):
     job = load(spark, folder, "read")
     job.fold_after = 2
