@@ -120,16 +120,17 @@ def with_hourly_readings(
     return joined.withColumn("readings", F.coalesce("readings", F.lit(0)))
 
 
-def hot_keys(rows: DataFrame, key: Sequence[str], buckets: int) -> DataFrame | None:
+def hot_keys(rows: DataFrame, key: Sequence[str], buckets: int, nulls: bool = False) -> DataFrame | None:
     """Keys with more than a quarter of an even bucket's share of the rows, or None.
 
-    At most ``4 * buckets`` such keys can exist, so the list is small whatever the data.
+    At most ``4 * buckets`` such keys can exist, so the list is small whatever the data. Keys with a
+    NULL, which join with nothing, are left out unless ``nulls`` is set.
     """
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     found = counts.where(F.col("_n") > total / (4 * buckets)).select(*key)
-    for name in key:
-        found = found.where(F.col(name).isNotNull())
+    if not nulls:
+        found = found.na.drop(subset=list(key))
     hot = found.collect()
     return rows.sparkSession.createDataFrame(hot, found.schema) if hot else None
 

@@ -1,18 +1,21 @@
-"""Row-order functions that do not put a whole key into one task.
+"""Row-order functions that do not put a hot key into one task.
 
-A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Here a key is cut into time
-blocks. A second, small window runs over one summary row per block and gives the value that each
-block inherits; that value goes in front of the block's rows as a marker row, and one window per
-block then yields the result of the plain window. Rows are shuffled once.
+A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Keys with too many rows for
+that are found by a count first and cut into time blocks. For them a second, small window runs over
+one summary row per block and gives the value that each block inherits; that value goes in front of
+the block's rows as a marker row. One window per key and block then yields the result of the plain
+window. Rows are shuffled once; the other keys keep a single block and need no markers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sediment.operators.joins import hot_keys
+
 
 def _per_block(
     rows: DataFrame,
@@ -23,21 +26,34 @@ def _per_block(
     block: str,
     summary: Column,
     inherited: Column,
-) -> tuple[DataFrame, Window]:
-    """Rows with a leading marker row per block, and the window to use on them.
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows with a leading marker row per block of a hot key, and the window to use on them.
 
     ``summary`` reduces a block to one value, ``inherited`` is a window-function input over the
     summaries of a key in block order.
     """
-    blocked = rows.withColumn("_block", F.date_trunc(block, F.col(at))).withColumn("_mark", F.lit(1))
+    spark = rows.sparkSession
+    hot = hot_keys(rows, key, int(spark.conf.get("spark.sql.shuffle.partitions")), nulls=True)
+    inside = Window.partitionBy(*key, "_block").orderBy("_mark", at, *ties)
+    if hot is None:
+        whole = rows.withColumns({"_block": F.lit(None).cast("timestamp"), "_mark": F.lit(1)})
+        return whole, Window.partitionBy(*key).orderBy(at, *ties)
+    few = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in key}).withColumn("_hot", F.lit(True)))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
+    blocked = (
+        rows.join(few, same, "left")
+        .drop(*[f"_hot_{k}" for k in key])
+        .withColumn("_block", F.when(F.col("_hot"), F.date_trunc(block, F.col(at))))
+        .withColumn("_mark", F.lit(1))
+    )
     across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     markers = (
-        blocked.groupBy(*key, "_block")
+        blocked.where("_hot")
+        .groupBy(*key, "_block")
         .agg(summary.alias("_summary"))
         .select(*key, "_block", inherited.over(across).alias(value), F.lit(0).alias("_mark"))
     )
-    inside = Window.partitionBy(*key, "_block").orderBy("_mark", at, *ties)
-    return blocked.unionByName(markers, allowMissingColumns=True), inside
+    return blocked.drop("_hot").unionByName(markers, allowMissingColumns=True), inside
 
 
 def running_total(

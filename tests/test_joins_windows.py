@@ -86,6 +86,16 @@ def test_block_windows_equal_plain_windows(spark):
     assert values(diff.select("id", "diff"), "id") == [(i, d) for i, _, d in expected]
 
 
+def test_only_hot_keys_are_cut_into_blocks(spark):
+    even = spark.range(1000).select("id", F.col("id").alias("user"), F.timestamp_seconds("id").alias("at"), F.lit(1).alias("amount"))
+    assert "Union" not in plan_of(windows.running_total(even, ["user"], "at", ["id"], "amount", "t"))
+    hot = even.withColumn("user", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("user")))
+    cut = windows.running_total(hot, ["user"], "at", ["id"], "amount", "t", block="minute")
+    assert "Union" in plan_of(cut)
+    assert values(cut.where("user IS NULL").select("t"), "t") == [(n,) for n in range(1, 335)]
+    assert cut.where("user IS NOT NULL AND t <> 1").count() == 0
+
+
 def test_alert_levels(spark):
     checks = spark.createDataFrame(
         [("j", 1, 0, "RUNNING", 6), ("j", 2, 1, "RUNNING", 6), ("j", 3, 2, "RUNNING", 6), ("j", 4, 2, "RUNNING", 5),
