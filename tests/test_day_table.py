@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from conftest import plan_of, values
 from sediment.operators import compliance, layout, reports, retention
 from sediment.sources.day_table import Conflict, DayTable
 
@@ -232,3 +233,53 @@ def test_vacuum_keeps_unmerged_deltas(spark, folder):
     t.fold()
     assert len(t.vacuum()) == 2
     assert values(t.read().select("event_id"), "event_id") == [(2,), (3,), (4,), (5,)]
+
+
+def test_files_are_sorted_and_ids_and_days_reach_the_scan(spark, folder):
+    t = table(spark, folder)
+    items = [(i, (i * 37) % 101, f"2025-01-{15 + i % 2}", "2025-04-15", "x", i) for i in range(200)]
+    t.upsert(rows(spark, *items), ["seq"])
+    for day in t.days():
+        users = [r["user_id"] for r in t.read([day]).coalesce(1).select("user_id").collect()]
+        assert users == sorted(users)
+    found = t.read().where(F.col("user_id").isin([5, 7]) & (F.col("event_date") == "2025-01-15"))
+    plan = plan_of(found.select("event_id"))
+    assert "In(user_id, [5,7])" in plan and "PartitionFilters: [isnotnull(event_date" in plan
+    assert "payload" not in plan.split("ReadSchema")[1]
+    assert t.days_with(spark.createDataFrame([(5,)], "user_id long"), ["user_id"]) == {
+        f"2025-01-{15 + i % 2}" for i in range(200) if (i * 37) % 101 == 5
+    }
+    assert t.days_with(spark.createDataFrame([], "user_id long"), ["user_id"]) == set()
+
+
+def test_long_id_list_finds_the_same_days(spark, folder, monkeypatch):
+    t = table(spark, folder)
+    t.upsert(rows(spark, *FIRST, (9, 9, "2025-01-17", "2025-04-15", "x", 9)), ["seq"])
+    ids = spark.createDataFrame([(9,), (77,)], "user_id long")
+    assert t.days_with(ids, ["user_id"]) == {"2025-01-17"}
+    monkeypatch.setattr("sediment.sources.day_table.FEW_IDS", 1)
+    assert t.days_with(ids, ["user_id"]) == {"2025-01-17"}
+
+
+@pytest.mark.parametrize("mode", ["write", "read"])
+def test_random_changes_agree_with_a_dictionary(spark, folder, mode):
+    draw = random.Random(11)
+    t, model, seq = table(spark, folder, mode), {}, 0
+    for step in range(6):
+        batch = []
+        for _ in range(12):
+            seq += 1
+            batch.append((draw.randint(1, 15), draw.randint(1, 4), f"2025-01-0{draw.randint(1, 4)}", "2025-04-15", f"p{seq}", seq))
+        t.upsert(rows(spark, *batch), ["seq"], ("job", step))
+        model.update({b[0]: (b[1], b[2], b[4]) for b in batch})
+        if step == 3:
+            t.fold()
+        if step == 4:
+            compliance.delete_users(t, spark.createDataFrame([(2,)], "user_id long"))
+            model = {k: v for k, v in model.items() if v[0] != 2}
+        got = t.read().select("event_id", "user_id", F.col("event_date").cast("string"), "payload")
+        assert values(got, "event_id") == [(k, *model[k]) for k in sorted(model)]
+    t.fold()
+    t.vacuum()
+    assert t.read().count() == len(model)
+    assert set(t.days()) == {v[1] for v in model.values()}
