@@ -64,18 +64,24 @@ def outside_window(day: Column, as_of: str, back: int = KEEP_DAYS, ahead: int =
 
 
 def compact(table: DayTable, days: Sequence[str] | None = None, small_bytes: int | None = None) -> list[str]:
-    """Rewrite days into well-sized files. With ``small_bytes`` only days whose files are smaller on
-    average (small compaction); without it every named day (full compaction)."""
+    """Rewrite days into well-sized files; returns the days changed.
+
+    With ``small_bytes`` only folders whose files are smaller than that on average are merged, where
+    a day has several such files (small compaction: rows that sit in large files are not rewritten).
+    Without it the named days are rewritten whole (full compaction).
+    """
     table.fold()
-    chosen = []
-    for day, size, files in table.sizes():
-        if days is not None and day not in days:
-            continue
-        if small_bytes is None or (files > 1 and size / files < small_bytes):
-            chosen.append(day)
+    chosen: dict[str, list[str]] = {}
+    files_of: dict[str, int] = {}
+    for day, commit, size, files in table.segments(days):
+        if small_bytes is None or size < small_bytes * files:
+            chosen.setdefault(day, []).append(commit)
+            files_of[day] = files_of.get(day, 0) + files
+    if small_bytes is not None:
+        chosen = {day: commits for day, commits in chosen.items() if files_of[day] > 1}
     if chosen:
-        table.rewrite(lambda rows: rows, chosen)
-    return chosen
+        table.merge_segments(chosen)
+    return sorted(chosen)
 
 
 def rebucket(

@@ -30,6 +30,21 @@ NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 FEW_IDS = 1_000
 
 
+def _between_bounds(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows between the smallest and largest key, before a join with the keys.
+
+    The bounds reach the scan, so row groups and files outside them are skipped. Keys that grow with
+    time leave only the recent days.
+    """
+    bounds = keys.agg(*[f(n) for n in on for f in (F.min, F.max)]).first()
+    for i, name in enumerate(on):
+        low, high = bounds[2 * i], bounds[2 * i + 1]
+        if low is None:
+            return rows.where(F.lit(False))
+        rows = rows.where(F.col(name).between(F.lit(low), F.lit(high)))
+    return rows
+
+
 class Conflict(RuntimeError):
     """Another writer published first."""
 
@@ -237,7 +252,7 @@ class DayTable:
             return []
         deltas = self._delta_rows(state)
         known = deltas.select(*self.key).distinct()
-        stored = self._base(state).join(known, self.key, "left_semi")
+        stored = _between_bounds(self._base(state), known, self.key).join(known, self.key, "left_semi")
         touched = self.days_of(deltas) | self.days_of(stored)
         self._replace(self.read(touched), touched, None, deltas=[])
         return sorted(touched)
@@ -318,16 +333,36 @@ class DayTable:
             few = [r[0] for r in ids.select(*on).limit(FEW_IDS + 1).collect()]
             if len(few) <= FEW_IDS:
                 return self.days_of(self.read().where(F.col(on[0]).isin(few))) if few else set()
-        return self.days_of(self.read().join(ids, list(on), "left_semi"))
+        found = _between_bounds(self.read(), ids, on).join(ids, list(on), "left_semi")
+        return self.days_of(found)
 
-    def sizes(self) -> list[tuple[str, int, int]]:
-        """Day, bytes and files of the current folders, from file metadata."""
+    def segments(self, days: Iterable[str] | None = None) -> list[tuple[str, str, int, int]]:
+        """Day, commit, bytes and files of the current folders, from file metadata."""
         state, out = self.state(), []
-        for day, commits in sorted(state["base"].items()):
-            size = files = 0
-            for commit in commits:
+        for day in sorted(state["base"] if days is None else set(days) & set(state["base"])):
+            for commit in state["base"][day]:
                 fs, target = self._fs(f"{self.root}/{commit}/{self.day}={day}")
                 summary = fs.getContentSummary(target)
-                size, files = size + summary.getLength(), files + summary.getFileCount()
-            out.append((day, size, files))
+                out.append((day, commit, summary.getLength(), summary.getFileCount()))
         return out
+
+    def sizes(self) -> list[tuple[str, int, int]]:
+        """Day, bytes and files."""
+        totals: dict[str, list[int]] = {}
+        for day, _, size, files in self.segments():
+            total = totals.setdefault(day, [0, 0])
+            total[0], total[1] = total[0] + size, total[1] + files
+        return [(day, size, files) for day, (size, files) in totals.items()]
+
+    def most_segments(self) -> int:
+        return max((len(c) for c in self.state()["base"].values()), default=0)
+
+    def merge_segments(self, chosen: dict[str, list[str]]) -> None:
+        """Rewrite the chosen folders of each day into one; the others stay as they are."""
+        state = self.state()
+        paths = [f"{self.root}/{c}/{self.day}={d}" for d, cs in chosen.items() for c in cs]
+        commit, days = self._write(self._scan(paths), state["version"] + 1)
+        base = dict(state["base"])
+        for day, commits in chosen.items():
+            base[day] = [*[c for c in base[day] if c not in commits], *([commit] if day in days else [])]
+        self._publish(state, base=base)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from sediment.functions import text
-from sediment.operators import dedup
+from sediment.operators import dedup, layout
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import load_counters, split_good_bad
 
@@ -77,7 +77,8 @@ def dead_letters(bad: DataFrame, job_name: str, task: str) -> DataFrame:
 class Ingest:
     """A load job with its sinks. ``start`` can be called again after ``stop`` or a failure.
 
-    With an upsert table in ``read`` mode, the deltas are merged after every ``fold_after`` batches.
+    With an upsert table in ``read`` mode, the deltas are merged after every ``fold_after`` batches; in
+    a table that is appended to, the small files of a day are merged when it has that many folders.
     With a ``ledger``, a batch whose content equals one of the last 1,000 batches of seven days is
     skipped, whatever its number; an append-only table needs this against messages sent twice.
     """
@@ -93,6 +94,7 @@ class Ingest:
     status: DayTable | None = None
     ledger: DayTable | None = None
     fold_after: int = 100
+    small_bytes: int = 128 * 1024 * 1024
     query: StreamingQuery | None = field(default=None, repr=False)
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -125,6 +127,7 @@ class Ingest:
                 table.append(rows, token)
             if ledger is not None:
                 ledger.append(entry.withColumn("accepted_on", F.to_date("accepted_at")), token)
+                self._tidy(ledger)
             if self.status is not None:
                 line = spark.createDataFrame(
                     [(self.job.name, batch_id, *counts)],
@@ -133,10 +136,18 @@ class Ingest:
                 )
                 now = F.current_timestamp()
                 dated = line.withColumns({"checked_at": now, "checked_on": F.to_date(now)})
-                self.status.with_session(spark).append(dated, token)
+                status = self.status.with_session(spark)
+                status.append(dated, token)
+                self._tidy(status)
+            for sink in (table, letters):
+                self._tidy(sink)
         finally:
             decoded.unpersist()
 
+    def _tidy(self, sink: DayTable) -> None:
+        if sink.most_segments() >= self.fold_after:
+            layout.compact(sink, small_bytes=self.small_bytes)
+
     def start(self, messages: DataFrame, **trigger) -> StreamingQuery:
         """Start or resume from the checkpoint. Without a trigger: drain what is there and end."""
         writer = messages.writeStream.queryName(self.job.name).option("checkpointLocation", self.checkpoint)

@@ -166,6 +166,12 @@ def test_compaction_keeps_rows_and_reduces_files(spark, folder):
     assert t.sizes()[0][2] == 1
     assert values(t.read(), "event_id") == before
     assert layout.compact(t, days=["2025-01-15"]) == ["2025-01-15"]
+    large = t.segments()[0]
+    for item in FIRST[:2]:
+        t.append(rows(spark, (item[0] + 100, 5, *item[2:])))
+    assert layout.compact(t, small_bytes=large[2]) == ["2025-01-15"]
+    assert len(t.segments()) == 2 and large in t.segments()
+    assert t.read().count() == 6
 
 
 def test_report_of_stored_days(spark, folder):

@@ -148,6 +148,17 @@ def test_deltas_are_merged_after_some_batches(spark, folder):
     assert values(job.table.read().select("event_id", "cents"), "event_id") == [(1, 2), (10, 0), (11, 0), (12, 0)]
 
 
+def test_small_folders_of_appended_tables_are_merged(spark, folder):
+    job = load(spark, folder, max_error_ratio=1.0)
+    job.table = DayTable(spark, f"{folder}/plain", STORED)
+    job.fold_after = 3
+    for n in range(4):
+        put(spark, f"{folder}/log{n}", [body(n), "{broken"], first=10 * n)
+        job.run_batch(messages.stored_messages(spark, f"{folder}/log{n}"), n)
+    for sink in (job.table, job.letters, job.status):
+        assert sink.most_segments() == 2 and sink.read().count() == 4
+
+
 def test_lag_from_kafka_progress(spark):
     progress = {"sources": [{"endOffset": {"events": {"0": 5, "1": 7}}, "latestOffset": '{"events": {"0": 9, "1": 7, "2": 3}}'}]}
     ends, read = ingest.kafka_offsets(spark, "g", progress)
