@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import simhash_dups
+from sediment.llm import packing, quality_rules, simhash_dups, token_files
 from sediment.llm.common import table
 from sediment.session import prepare
 
@@ -19,6 +19,25 @@ def query(function):
     return function
 
 
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), ids=False)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_texts(docs, labels))
+    return quality_rules.judge(docs, ratios).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    rows = token_files.round_trip(table(spark, folder, "documents"))
+    return token_files.checksums(rows).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_simhash_dups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dups.near_duplicates(table(spark, folder, "documents"))
