@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from sediment.llm.license_scan import RULES, SENTENCES
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rule(licence: str, how: str, wanted: tuple[str, ...]) -> str:
+    between = "," if how == "next" else ",(?:.*,)?"
+    pattern = "," + between.join(w.replace(".", r"\.").replace("-", r"\-") for w in wanted) + ","
+    return f"CASE WHEN regexp_matches(line, {_quoted(pattern)}) THEN {_quoted(licence)} END"
+
+
+_KNOWN = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in SENTENCES.items())
+_RULES = ", ".join(_rule(*r) for r in RULES)
+
+ORACLES: dict[str, str] = {
+    "op6_url_filter": r"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parsed AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
+pairs AS (SELECT DISTINCT host, path FROM parts),
+hits AS (SELECT host, path, rule_host || rule_path AS rule, verdict,
+  row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC) AS n
+  FROM pairs JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h ON p.host = h.host AND p.path = h.path AND h.n = 1""",
+    # RE2 has no look-ahead: a mark for the end of a sentence is put in first, then the text is cut there.
+    "op7_license_scan": rf"""
+WITH known(sentence, ident) AS (VALUES {_KNOWN}),
+parts AS (SELECT row_number() OVER () AS r, doc_id,
+  string_split(replace(regexp_replace(coalesce(text, ''), '[.!?;]+(\s)', chr(10) || '\1', 'g'), chr(10), chr(1)), chr(1)) AS cut FROM documents),
+sentences AS (SELECT r, unnest(cut) AS s, unnest(range(len(cut))) AS pos FROM parts),
+cleaned AS (SELECT r, pos, trim(regexp_replace(regexp_replace(' ' || regexp_replace(lower(s), '[^\p{{L}}\p{{N}}.\-]+', ' ', 'g') || ' ',
+  ' [.\-]+|[.\-]+ ', ' ', 'g'), ' +', ' ', 'g')) AS sentence FROM sentences
+  WHERE regexp_matches(lower(s), 'licen|permission|warranty|version|redistribution|rights|obtain')),
+ids AS (SELECT r, string_agg(ident, ',' ORDER BY pos) AS sentences FROM cleaned JOIN known USING (sentence) GROUP BY r),
+lines AS (SELECT p.doc_id, coalesce(i.sentences, '') AS sentences, ',' || coalesce(i.sentences, '') || ',' AS line FROM parts p LEFT JOIN ids i USING (r)),
+found AS (SELECT doc_id, sentences, list_filter([{_RULES}], lambda x: x IS NOT NULL) AS l FROM lines),
+firsts AS (SELECT doc_id, sentences, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM found)
+SELECT doc_id, sentences, array_to_string(l, ',') AS licenses,
+  CASE WHEN len(l) > 0 THEN l[1] WHEN sentences <> '' THEN 'unknown' ELSE 'none' END AS license FROM firsts""",
+}

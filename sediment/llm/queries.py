@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import packing, quality_rules, simhash_dups, token_files
+from sediment.llm import license_scan, packing, quality_rules, simhash_dups, token_files, url_filter
 from sediment.llm.common import table
 from sediment.session import prepare
 
@@ -38,6 +38,28 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(rows).withColumnRenamed("id", "doc_id")
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = url_filter.filter_urls(table(spark, folder, "pages").select("page_id", "url"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_simhash_dups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dups.near_duplicates(table(spark, folder, "documents"))
