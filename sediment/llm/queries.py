@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import license_scan, packing, quality_rules, simhash_dups, token_files, url_filter
-from sediment.llm.common import table
+from sediment.llm import (
+    language_id,
+    license_scan,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash_dups,
+    token_files,
+    url_filter,
+)
+from sediment.llm.common import fold_of, table
 from sediment.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +28,17 @@ def query(function):
     return function
 
 
+def _held_out(id_col: str):
+    return F.coalesce(fold_of(F.col(id_col)) == 2, F.lit(False)).alias("held_out")
+
+
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, language_id.learn(docs), spans=False)
+    return found.select(F.col("id").alias("doc_id"), _held_out("id"), "lang_pred", "score")
+
+
 @query
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), ids=False)
@@ -60,6 +80,13 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    found = quality_model.classify(docs, quality_model.learn(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), _held_out("id"), "score", "predicted")
+
+
 @query
 def op10_simhash_dups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dups.near_duplicates(table(spark, folder, "documents"))
