@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import (
+    decontaminate,
     language_id,
     license_scan,
     packing,
@@ -32,6 +33,12 @@ def _held_out(id_col: str):
     return F.coalesce(fold_of(F.col(id_col)) == 2, F.lit(False)).alias("held_out")
 
 
+@query
+def op1_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "hamming", "similarity")
+
+
 @query
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
