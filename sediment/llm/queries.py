@@ -14,6 +14,7 @@ from sediment.llm import (
     packing,
     quality_model,
     quality_rules,
+    sanitise,
     simhash_dups,
     token_files,
     url_filter,
@@ -94,6 +95,11 @@ def op8_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), _held_out("id"), "score", "predicted")
 
 
+@query
+def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.digest(sanitise.find(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_simhash_dups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dups.near_duplicates(table(spark, folder, "documents"))
