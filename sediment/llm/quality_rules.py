@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import free_name, numbered_words, steps, texts_of
+from sediment.llm.common import numbered_words, steps, texts_of
 
 #: Hash buckets of n-grams, and what is added to each bucket's count before the ratio is taken.
 BUCKETS, SMOOTHING = 1 << 14, 1.0
@@ -94,10 +93,26 @@ def log_ratios(raw: DataFrame, trusted: DataFrame, text_col: str = "text", bucke
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of documents with a label of quality 1."""
+    """Texts of documents with a label of quality 1.
+
+    Both sides are dealt by id and sorted, whatever the labels' size, so a task holds no table of labels.
+    """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col))
-    return rows.join(good, F.col("id") == F.col("good"), "left_semi").select(text_col)
+    return rows.join(good.hint("merge"), F.col("id") == F.col("good"), "left_semi").select(text_col)
+
+
+def verdicts(texts: list[bytes | None], ratios: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Base counts (a row for each text), base_failed, score and kept."""
+    words, numbers, ends = numbered_words(texts)
+    grams, text = ngrams(words, numbers, ends, len(ratios))
+    sums, sizes = np.bincount(text, ratios[grams], len(texts)), np.bincount(text, minlength=len(texts))
+    scores = sums / np.maximum(sizes, 1)
+    bounds = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    rows = [base_counts(t, numbers[a:b]) for t, (a, b) in zip(texts, bounds, strict=True)]
+    base = np.array(rows, np.int64).reshape(-1, 5)
+    failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEATED_PERCENT * base[:, 0])
+    return base, failed, scores, ~failed & (scores >= threshold)
 
 
 def judge(
@@ -114,24 +129,13 @@ def judge(
     ``threshold`` or more. Null and empty texts have no words and fail. Repeated rows each have a
     result. Only the two named columns are read.
     """
-    buckets = len(ratios)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                texts = texts_of(part.column(1))
-                words, numbers, ends = numbered_words(texts)
-                grams, text = ngrams(words, numbers, ends, buckets)
-                sums = np.bincount(text, ratios[grams], len(texts))
-                sizes = np.bincount(text, minlength=len(texts))
-                scores = sums / np.maximum(sizes, 1)
-                bounds = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-                rows = [base_counts(t, numbers[a:b]) for t, (a, b) in zip(texts, bounds, strict=True)]
-                base = np.array(rows, np.int64).reshape(-1, 5)
-                failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEATED_PERCENT * base[:, 0])
-                kept = ~failed & (scores >= threshold)
-                columns = [part.column(0), *map(pa.array, base.T.copy()), pa.array(failed), pa.array(scores), pa.array(kept)]
+                base, *rest = verdicts(texts_of(part.column(1)), ratios, threshold)
+                columns = [part.column(0), *map(pa.array, [*base.T.copy(), *rest])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", *counts, "base_failed", "score", "kept"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -147,23 +151,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def only_kept(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows pass by in one scan: their text is judged next to them, so nothing is joined."""
-
-    def verdict(texts: pd.Series) -> pd.Series:
-        kept = []
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        for part in steps(batch, 0):
-            own = texts_of(part.column(0))
-            words, numbers, ends = numbered_words(own)
-            grams, text = ngrams(words, numbers, ends, len(ratios))
-            scores = np.bincount(text, ratios[grams], len(own)) / np.maximum(np.bincount(text, minlength=len(own)), 1)
-            for k, score in enumerate(scores):
-                n = ends[k + 1] - ends[k]
-                repeated = window_repeats(numbers[ends[k] : ends[k + 1]])
-                failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
-                kept.append(not failed and score >= threshold)
-        return pd.Series(kept, dtype=bool)
-
-    judged = F.pandas_udf(verdict, "boolean")
-    flag = free_name(docs, "kept")
-    return docs.withColumn(flag, judged(F.col(text_col).cast("string"))).where(flag).drop(flag)
+    """Rows are judged as they pass with all their columns, so nothing is joined afterwards."""
+    column = docs.columns.index(text_col)
+
+    def pass_good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, column):
+                *_, kept = verdicts(texts_of(part.column(column)), ratios, threshold)
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(pass_good, docs.schema)
