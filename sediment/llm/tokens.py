@@ -17,12 +17,13 @@ import types
 import numpy as np
 
 #: Words that a worker remembers; when there are more, it starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 #: Words encoded with one call.
 CALL = 512
 TOKENIZER = "word_bpe_49k.json"
 #: What one token can't cross in a word of ASCII and Latin-1 letters, digits and marks, lower-cased.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+MARKS = b".,;:!?|"
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -36,7 +37,7 @@ def worker_memo() -> types.ModuleType:
 
 
 class Words(dict):
-    """Numbers words; the text ids of word k are ``flat[starts[k]:starts[k] + sizes[k]]``."""
+    """Numbers words; the ids of word k are ``flat[starts[k]:starts[k] + sizes[k]]``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,6 +48,8 @@ class Words(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        marks = {c: self._encode([chr(c)])[0] for c in MARKS}
+        self.marks = {c: ids[0] for c, ids in marks.items() if len(ids) == 1}
         self.fresh: list[bytes] = []
         self.reset()
 
@@ -69,33 +72,85 @@ class Words(dict):
         """Encode the words seen since the last call."""
         if not self.fresh:
             return
-        words = [w.decode() for w in self.fresh]
-        found: list[list[int] | np.ndarray] = [[]] * len(words)
-        plain, pieces, other = [], [], []
-        for k, word in enumerate(words):
-            if PLAIN.fullmatch(word) and "<|" not in word:
-                plain.append(k)
-                pieces.append(len(PIECE.findall(word.lower())))
+        known = len(self.starts)
+        plain, pieces, other, like, bases, tails = [], [], [], [], [], []
+        for number, word in enumerate(self.fresh, known):
+            if word.isalpha():  # ASCII letters
+                low = word.lower()
+                base = self.get(low, number)
+                if base != number:  # the same but for A-Z
+                    like.append(number)
+                    bases.append(base)
+                    tails.append(-1)
+                else:
+                    plain.append(number)
+                    pieces.append(1)
+                continue
+            if (tail := self.marks.get(word[-1], -1)) >= 0 and word[:-1].isalpha():
+                base = self.get(word[:-1].lower(), -1)
+                if base >= 0:
+                    like.append(number)
+                    bases.append(base)
+                    tails.append(tail)
+                else:
+                    plain.append(number)
+                    pieces.append(2)
+                continue
+            text = word.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                plain.append(number)
+                pieces.append(len(PIECE.findall(text.lower())))
             else:
-                other.append(k)
-        for k, ids in zip(other, self._encode([words[k] for k in other]), strict=True):
-            found[k] = ids
-        calls = [plain[at : at + CALL] for at in range(0, len(plain), CALL)]
-        for at, (call, ids) in enumerate(zip(calls, self._encode([" ".join(words[k] for k in c) for c in calls]), strict=True)):
+                other.append(number)
+        self._place(known, [*self._joined(plain, pieces, known), (other, self._encode([self.fresh[k - known].decode() for k in other]))])
+        self._extend(np.array(like, np.int64), np.array(bases, np.int64), np.array(tails, np.int64))
+        self.fresh.clear()
+
+    def _joined(self, words: list[int], pieces: list[int], known: int) -> list[tuple]:
+        """``(words, ids of all of them, sizes)`` of plain words, encoded ``CALL`` at a time."""
+        calls = [words[at : at + CALL] for at in range(0, len(words), CALL)]
+        found = []
+        encoded = self._encode([" ".join([self.fresh[k - known].decode() for k in call]) for call in calls])
+        for at, (call, ids) in enumerate(zip(calls, encoded, strict=True)):
             ids = np.asarray(ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             lasts = np.cumsum(pieces[at * CALL : at * CALL + len(call)])
             if lasts[-1] == len(stops):
-                for k, part in zip(call, np.split(ids, stops[lasts[:-1] - 1]), strict=True):
-                    found[k] = part
+                found.append((call, ids, np.diff(stops[lasts - 1], prepend=0)))
             else:  # a word had other pieces than thought
-                for k, part in zip(call, self._encode([words[k] for k in call]), strict=True):
-                    found[k] = part
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *[np.asarray(f, np.uint32) for f in found]])
-        self.fresh.clear()
+                found.append((call, self._encode([self.fresh[k - known].decode() for k in call])))
+        return found
+
+    def _place(self, known: int, found: list[tuple]) -> None:
+        grown = known + len(self.fresh)
+        self.starts, self.sizes = (np.concatenate([a, np.zeros(grown - known, np.int64)]) for a in (self.starts, self.sizes))
+        flats, at = [self.flat], len(self.flat)
+        for words, ids, *sizes in found:
+            if not words:
+                continue
+            size = sizes[0] if sizes else np.fromiter(map(len, ids), np.int64, len(ids))
+            flats.append(ids if sizes else np.concatenate([np.asarray(x, np.uint32) for x in ids]))
+            self.sizes[words] = size
+            self.starts[words] = at + np.cumsum(size) - size
+            at += len(flats[-1])
+        self.flat = np.concatenate(flats)
+
+    def _extend(self, words: np.ndarray, bases: np.ndarray, tails: np.ndarray) -> None:
+        """Words that are another one in lower case, perhaps with one more mark at the end."""
+        if not len(words):
+            return
+        marked = tails >= 0
+        self.sizes[words] = self.sizes[bases] + marked
+        sizes = self.sizes[words]
+        stops = np.cumsum(sizes)
+        out = np.empty(int(stops[-1]), np.uint32)
+        own = sizes - marked
+        row = np.repeat(np.arange(len(words)), own)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+        out[(stops - sizes)[row] + nth] = self.flat[self.starts[bases][row] + nth]
+        out[stops[marked] - 1] = tails[marked]
+        self.starts[words] = len(self.flat) + stops - sizes
+        self.flat = np.concatenate([self.flat, out])
 
 
 class Encoder:
