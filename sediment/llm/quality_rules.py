@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from sediment.llm.common import numbered_words, steps, texts_of
 
-#: Hash buckets of n-grams, and what is added to each bucket's count before the ratio is taken.
-BUCKETS, SMOOTHING = 1 << 14, 1.0
+#: Hash buckets of n-grams, and the n-grams that are added to both sides of each bucket's ratio: few
+#: observations, as of a rare word or in a small corpus, then say little against a text.
+BUCKETS, SMOOTHING = 1 << 16, 100.0
 #: The least mean log ratio of a text that is kept.
-THRESHOLD = -0.045
+THRESHOLD = -0.035
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,17 +80,19 @@ def gram_counts(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 
 
 def log_ratios(raw: DataFrame, trusted: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | raw), from all rows of both; ``buckets`` numbers.
+    """log p(bucket | trusted) / p(bucket | raw), from all rows of both; ``buckets`` numbers.
 
-    The driver gets ``buckets`` counts from each side, whatever their size.
+    The trusted count of a bucket is held against the count that the raw corpus lets expect among as
+    many n-grams. The driver gets ``buckets`` counts from each side, whatever their size.
     """
     both = []
     for side in (trusted, raw):
-        counts = np.full(buckets, SMOOTHING)
+        counts = np.zeros(buckets)
         for row in gram_counts(side, text_col, buckets).collect():
-            counts[row["bucket"]] += row["n"]
-        both.append(np.log(counts) - np.log(counts.sum()))
-    return both[0] - both[1]
+            counts[row["bucket"]] = row["n"]
+        both.append(counts)
+    seen, expected = both[0], both[1] * (both[0].sum() / max(both[1].sum(), 1))
+    return np.log((seen + SMOOTHING) / (expected + SMOOTHING))
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
