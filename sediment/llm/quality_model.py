@@ -16,7 +16,7 @@ from sediment.llm.quality_rules import SYMBOLS, window_repeats
 
 #: Hash buckets of words, factors of each feature, and the most labelled rows the model is fitted on.
 BUCKETS, FACTORS, SAMPLE = 1 << 14, 8, 8_000
-EPOCHS, BATCH, RATE, DECAY = 12, 500, 0.02, 1e-4
+STEPS, BATCH, RATE, DECAY = 60, 400, 0.02, 1e-4
 CLASS_AT = 0.7
 STATISTICS = 12
 
@@ -84,7 +84,7 @@ def scores(model: Model, buckets: list[np.ndarray], values: list[np.ndarray], de
 
 
 def fit(buckets: list[np.ndarray], values: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Adam steps on the logistic loss over batches of rows, in a fixed order."""
+    """At least ``STEPS`` Adam steps on the logistic loss over batches of rows, in a fixed order."""
     random = np.random.default_rng(seed)
     mean, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-6)
     hashed = BUCKETS + np.arange(dense.shape[1])
@@ -93,7 +93,7 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], dense: np.ndarray,
     size = BUCKETS + dense.shape[1]
     theta = np.concatenate([np.zeros((size, 1)), random.normal(0, 0.01, (size, FACTORS))], axis=1)
     bias, first, second, step = 0.0, np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // len(rows))):
         order = random.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
