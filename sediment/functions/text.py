@@ -29,8 +29,3 @@ def base64_text(value: Column) -> Column:
 
 def json_field(document: Column, path: str) -> Column:
     return F.get_json_object(document, path)
-
-
-def clipped(value: Column, limit: int) -> Column:
-    """A bounded text column of the error table: the first ``limit`` characters."""
-    return F.substring(value, 1, limit)

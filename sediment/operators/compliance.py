@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -133,9 +134,12 @@ def update_users(table: DayTable, updates: DataFrame, token: tuple[str, int] | N
 def nightly_batch(
     table: DayTable, staging: DayTable, evidence: DayTable, batch_date: str, physical: bool = True
 ) -> list[str]:
-    """Staged deletes and updates, removal of old files, check, evidence, then empty the staging.
+    """The date's staged deletes and updates, removal of old files, check, evidence, then unstage the date.
 
-    Returns the days that were rewritten. Run again after a failure it does the same work or none.
+    With ``physical`` every file below the table is searched for the deleted users, and a find raises;
+    the evidence has the times at which rows went and at which the files were found clean. Requests
+    of other dates stay staged. Returns the days that were rewritten. Run again after a failure it
+    does the same work or none.
     """
     staged = staging.read()
     ids = staged_ids(staged, batch_date).persist()
@@ -147,28 +151,42 @@ def nightly_batch(
         # One rewrite of each day for both kinds of request.
         spread = _spread(table)
         table.rewrite(lambda rows: update_from(survivors(rows, ids, spread), updates, spread), touched)
-        if physical:
-            table.vacuum()
         left = table.days_with(ids, ["user_id"])
         if left:
             raise RuntimeError(f"deleted users are still visible on {sorted(left)}")
-        now = F.current_timestamp()
+        deleted_at = _now()
+        if physical:
+            table.vacuum()
+            kept = stored_rows_of(table, ids).select("file").distinct().limit(5).collect() if table.holds_files() else []
+            if kept:
+                raise RuntimeError(f"deleted users are still in files: {[r['file'] for r in kept]}")
+        removed_at = _now() if physical else None
         entries = ids.select(
             F.lit(batch_date).cast("date").alias("batch_date"),
             "user_id",
             F.lit(batch_date).cast("timestamp").alias("requested_at"),
-            now.alias("deleted_at"),
-            (now if physical else F.lit(None).cast("timestamp")).alias("removed_at"),
+            F.lit(deleted_at).cast("timestamp").alias("deleted_at"),
+            F.lit(removed_at).cast("timestamp").alias("removed_at"),
         )
         known = evidence.read().select("batch_date", "user_id")
         evidence.append(entries.join(known, ["batch_date", "user_id"], "left_anti"))
-        staging.truncate()
+        if staging.day == "batch_date":
+            staging.drop_days([batch_date])
+        else:
+            day = F.lit(batch_date).cast("date")
+            staging.rewrite(lambda rows: rows.where(~F.col("batch_date").eqNullSafe(day)), staging.days())
+        if physical:
+            staging.vacuum()
     finally:
         ids.unpersist()
         updates.unpersist()
     return sorted(touched)
 
 
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC)
+
+
 EVIDENCE_SCHEMA = (
     "batch_date DATE, user_id BIGINT, requested_at TIMESTAMP, deleted_at TIMESTAMP, removed_at TIMESTAMP"
 )

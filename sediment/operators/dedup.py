@@ -89,11 +89,13 @@ def batch_fingerprints(rows: DataFrame, batch: Sequence[str], content: Sequence[
 FINGERPRINT = ["batch_rows", "hash_xor", "hash_sum"]
 
 
-def live_ledger(ledger: DataFrame, as_of: Column, last: int = 1000, days: int = 7) -> DataFrame:
-    """Ledger entries that still block a repeat: the newest ``last``, none older than ``days``."""
+def live_ledger(ledger: DataFrame, as_of: Column, last: int | None = None, days: int = 7) -> DataFrame:
+    """Ledger entries that still block a repeat: none older than ``days``; on request the newest ``last``."""
     recent = ledger.where(
         (F.col("accepted_at") <= as_of) & (F.col("accepted_at") > as_of - F.expr(f"INTERVAL {days} DAYS"))
     )
+    if last is None:
+        return recent
     order = [F.col("accepted_at").desc(), *[F.col(c) for c in FINGERPRINT]]
     return recent.orderBy(*order).limit(last)
 

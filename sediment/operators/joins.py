@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.functions import numbers, times
 from sediment.session import scratch_path
@@ -16,9 +17,20 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and text bytes of a side (one distributed aggregate) against the limits."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    found = side.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    """Count rows and bytes of a side (one distributed aggregate) against the limits.
+
+    Only columns of varying size are read for it; the others count as 8 bytes each.
+    """
+    size, fixed = F.lit(0), 0
+    for field in side.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            fixed += 8
+    found = side.agg(F.count(F.lit(1)).alias("n"), F.sum(size + fixed).alias("bytes")).first()
     return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 

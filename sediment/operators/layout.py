@@ -58,8 +58,8 @@ def partition_calendar(
     )
 
 
-def outside_window(day: Column, as_of: str, back: int = KEEP_DAYS, ahead: int = AHEAD_DAYS) -> Column:
-    today = F.lit(as_of).cast("date")
+def outside_window(day: Column, as_of: str | Column, back: int = KEEP_DAYS, ahead: int = AHEAD_DAYS) -> Column:
+    today = (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("date")
     return ~day.between(F.date_sub(today, back), F.date_add(today, ahead))
 
 

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Keys with too many rows for
 that are found by a count first and cut into time blocks. For them a second, small window runs over
 one summary row per block and gives the value that each block inherits; that value goes in front of
-the block's rows as a marker row. One window per key and block then yields the result of the plain
+the block's rows as a marker row, in a column of its own, so that the caller's columns keep their
+types. One window per key and block then yields the result of the plain
 window. Rows are shuffled once; the other keys keep a single block and need no markers.
 """
 
@@ -22,7 +23,6 @@ def _per_block(
     key: Sequence[str],
     at: str,
     ties: Sequence[str],
-    value: str,
     block: str,
     summary: Column,
     inherited: Column,
@@ -36,7 +36,8 @@ def _per_block(
     hot = hot_keys(rows, key, int(spark.conf.get("spark.sql.shuffle.partitions")), nulls=True)
     inside = Window.partitionBy(*key, "_block").orderBy("_mark", at, *ties)
     if hot is None:
-        whole = rows.withColumns({"_block": F.lit(None).cast("timestamp"), "_mark": F.lit(1)})
+        unmarked = {"_block": F.lit(None).cast("timestamp"), "_mark": F.lit(1)}
+        whole = rows.withColumns(unmarked).withColumn("_carry", F.lit(None).cast(rows.select(summary).schema[0].dataType))
         return whole, Window.partitionBy(*key).orderBy(at, *ties)
     few = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in key}).withColumn("_hot", F.lit(True)))
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
@@ -51,7 +52,7 @@ def _per_block(
         blocked.where("_hot")
         .groupBy(*key, "_block")
         .agg(summary.alias("_summary"))
-        .select(*key, "_block", inherited.over(across).alias(value), F.lit(0).alias("_mark"))
+        .select(*key, "_block", inherited.over(across).alias("_carry"), F.lit(0).alias("_mark"))
     )
     return blocked.drop("_hot").unionByName(markers, allowMissingColumns=True), inside
 
@@ -60,9 +61,12 @@ def running_total(
     rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
 ) -> DataFrame:
     """Sum of ``value`` from the key's first row to this one, in the order ``at, ties``."""
-    marked, inside = _per_block(rows, key, at, ties, value, block, F.sum(value), F.sum("_summary"))
-    running = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn(name, running).where("_mark = 1").drop("_block", "_mark")
+    kind = rows.select(F.sum(value)).schema[0].dataType
+    marked, inside = _per_block(rows, key, at, ties, block, F.sum(value), F.sum("_summary"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own, before = F.sum(value).over(so_far), F.first("_carry").over(so_far)
+    running = F.coalesce(own + before, own, before).cast(kind)
+    return marked.withColumn(name, running).where("_mark = 1").drop("_block", "_mark", "_carry")
 
 
 def difference_to_previous(
@@ -70,9 +74,12 @@ def difference_to_previous(
 ) -> DataFrame:
     """``value`` minus the value of the key's previous row; 0 for the first row."""
     last = F.max_by(F.col(value), F.struct(at, *ties))
-    marked, inside = _per_block(rows, key, at, ties, value, block, last, F.last("_summary"))
-    difference = F.coalesce(F.col(value) - F.lag(value).over(inside), F.lit(0))
-    return marked.withColumn(name, difference).where("_mark = 1").drop("_block", "_mark")
+    kind = rows.schema[value].dataType
+    marked, inside = _per_block(rows, key, at, ties, block, last, F.last("_summary"))
+    first = F.lag("_mark").over(inside) == 0
+    previous = F.when(first, F.lag("_carry").over(inside).cast(kind)).otherwise(F.lag(value).over(inside))
+    difference = F.coalesce(F.col(value) - previous, F.lit(0))
+    return marked.withColumn(name, difference).where("_mark = 1").drop("_block", "_mark", "_carry")
 
 
 def job_alerts(checks: DataFrame, wanted_tasks: Column | int) -> DataFrame:

@@ -11,7 +11,7 @@ from sediment.plans import inputs
 from sediment.plans.registry import query
 from sediment.plans.tables import stored_columns
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+MOST_SETS = 100
 
 
 @query
@@ -193,7 +193,11 @@ def bitmap_distinct(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def set_overlap(spark: SparkSession, folder: str) -> DataFrame:
     bitmaps = sketches.id_bitmaps(inputs.table(spark, folder, "events"), ["event_type"], "user_id")
-    pairs = [(a, b) for a in EVENT_TYPES for b in EVENT_TYPES if a < b]
+    found = bitmaps.select("event_type").where("event_type IS NOT NULL").distinct().orderBy("event_type")
+    kinds = [r[0] for r in found.limit(MOST_SETS + 1).collect()]
+    if len(kinds) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets: name the pairs")
+    pairs = [(a, b) for a in kinds for b in kinds if a < b]
     return sketches.set_sizes(bitmaps, "event_type", pairs)
 
 

@@ -149,7 +149,7 @@ def files_to_load(spark: SparkSession, folder: str) -> DataFrame:
     ledger = _ledger(listing)
     as_of = F.lit(inputs.AS_OF).cast("timestamp")
     once = files.files_to_load(listing, ledger).select(F.lit("once").alias("mode"), "path")
-    again = files.files_to_load(listing, ledger, as_of, 7, 1_000_000)
+    again = files.files_to_load(listing, ledger, as_of, 7)
     return once.unionByName(again.select(F.lit("seven days").alias("mode"), "path"))
 
 

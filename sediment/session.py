@@ -19,6 +19,7 @@ SETTINGS = {
 }
 
 _local_roots: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def build_session(app: str = "sediment", master: str | None = None, **extra: str) -> SparkSession:
@@ -43,7 +44,7 @@ def shared_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _local_roots:
         _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="sediment-")
@@ -52,5 +53,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_root(spark)}/sediment/{label}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; ``drop_scratch`` removes it."""
+    path = f"{shared_root(spark)}/sediment/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> list[str]:
+    """Remove what this process wrote below ``scratch_path``; call it when the results have been read."""
+    gone = []
+    while _scratch:
+        path = _scratch.pop()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True):
+            gone.append(path)
+    return gone

@@ -4,8 +4,10 @@ Spark cannot replace rows of a Parquet table in place. A change is therefore wri
 ``_commit=<n>-<id>/event_date=<day>/`` and becomes visible when the list of current folders,
 ``_published/<n>.json``, is written as its last step. A reader sees the state before or after a
 change, never half of it; a job that dies earlier leaves folders nobody reads. The list has a few
-entries per day kept, so it stays small whatever the size of the data. Two writers that publish the
-same number collide and one fails: one writer per table is assumed.
+entries per day kept, so it stays small whatever the size of the data. A change is planned from one
+state and can only be published as the version after it: of two writers, as an ingest job and a nightly
+delete, one gets ``Conflict``, has changed nothing, and runs again. Publishing needs a rename that
+fails if the target exists; plain object stores have none, so keep the lists on a file system that has.
 
 With a key the table is an upsert table in one of two modes. ``write``: each batch rewrites the days
 it touches, reads are plain. ``read``: a batch is only appended as a delta, reads put the newest row
@@ -16,6 +18,7 @@ delta is not split by day, so a batch with rows for many days is still a few fil
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
@@ -28,6 +31,7 @@ from sediment.operators.dedup import keep_latest_arrival
 COMMIT = "_commit"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 FEW_IDS = 1_000
+GRACE_SECONDS = 24 * 3600
 
 
 def _between_bounds(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -191,9 +195,9 @@ class DayTable:
     def days(self) -> list[str]:
         return sorted(self.state()["base"])
 
-    def read(self, days: Iterable[str] | None = None) -> DataFrame:
-        """Current rows. ``days`` restricts the folders opened."""
-        state = self.state()
+    def read(self, days: Iterable[str] | None = None, state: dict | None = None) -> DataFrame:
+        """Current rows, or those of a state. ``days`` restricts the folders opened."""
+        state = self.state() if state is None else state
         columns = [f.name for f in self.schema.fields]
         wanted = None if days is None else sorted(set(days))
         rows = self._base(state, wanted)
@@ -235,12 +239,12 @@ class DayTable:
             return True
         newest = newest.persist()
         try:
-            touched = self.days_of(newest) | self.days_with(newest.select(*self.key), self.key)
+            touched = self.days_of(newest) | self.days_with(newest.select(*self.key), self.key, state)
             columns = [f.name for f in self.schema.fields]
-            stored = self.read(touched)
+            stored = self.read(touched, state)
             replaced = stored.join(newest.select(*self.key), self.key, "left_anti")
             merged = replaced.unionByName(newest.select(*columns))
-            self._replace(merged, touched, token)
+            self._replace(state, merged, touched, token)
         finally:
             newest.unpersist()
         return True
@@ -254,7 +258,7 @@ class DayTable:
         known = deltas.select(*self.key).distinct()
         stored = _between_bounds(self._base(state), known, self.key).join(known, self.key, "left_semi")
         touched = self.days_of(deltas) | self.days_of(stored)
-        self._replace(self.read(touched), touched, None, deltas=[])
+        self._replace(state, self.read(touched, state), touched, None, deltas=[])
         return sorted(touched)
 
     def rewrite(
@@ -269,11 +273,17 @@ class DayTable:
         self.fold()
         touched = set(touched)
         if touched:
-            self._replace(change(self.read(touched)), touched, token)
+            state = self.state()
+            if state["deltas"]:
+                raise Conflict(f"{self.root}: rows arrived while it was being rewritten")
+            self._replace(state, change(self.read(touched, state)), touched, token)
         return bool(touched)
 
-    def _replace(self, rows: DataFrame, touched: set[str], token, deltas=None) -> None:
-        state = self.state()
+    def _replace(self, state: dict, rows: DataFrame, touched: set[str], token, deltas=None) -> None:
+        """Publish ``rows``, which were planned from ``state``, in place of the touched days.
+
+        Only the version after ``state`` can be published, so a change made in between is a conflict.
+        """
         commit, days = self._write(rows, state["version"] + 1)
         stray = set(days) - touched
         if stray:
@@ -286,6 +296,8 @@ class DayTable:
         """Remove whole days. No data is read, unless deltas have to be merged first."""
         self.fold()
         state = self.state()
+        if state["deltas"]:
+            raise Conflict(f"{self.root}: rows arrived while days were being dropped")
         gone = sorted(set(days) & set(state["base"]))
         if gone:
             self._publish(state, base={d: c for d, c in state["base"].items() if d not in gone})
@@ -294,16 +306,24 @@ class DayTable:
     def truncate(self) -> None:
         self._publish(self.state(), base={}, deltas=[])
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete folders that none of the newest ``keep`` published lists names."""
+    def vacuum(self, keep: int = 1, grace_seconds: float = GRACE_SECONDS) -> list[str]:
+        """Delete folders that none of the newest ``keep`` published lists names.
+
+        A folder that no list names at all may be one that somebody is writing just now. It is left
+        alone until it is ``grace_seconds`` old.
+        """
         versions = self._versions()
-        lists = [self._load(v) for v in versions[-keep:]]
+        every = {v: self._load(v) for v in versions}
+        named = {c for s in every.values() for c in (*s["deltas"], *(c for cs in s["base"].values() for c in cs))}
+        lists = [every[v] for v in versions[-keep:]]
         used = {(c, d) for s in lists for d, cs in s["base"].items() for c in cs}
         deltas = {c for s in lists for c in s["deltas"]}
         removed = []
         for commit in self._children(self.root):
             if not commit.startswith(f"{COMMIT}=") or commit in deltas:
                 continue
+            if commit not in named and self._age(commit) < grace_seconds:
+                continue
             names = [n for n in self._children(f"{self.root}/{commit}") if n.startswith(f"{self.day}=")]
             keep_names = {n for n in names if (commit, n.split("=", 1)[1]) in used}
             targets = [f"{commit}/{n}" for n in names if n not in keep_names] if keep_names else [commit]
@@ -316,6 +336,10 @@ class DayTable:
             fs.delete(target, False)
         return removed
 
+    def _age(self, commit: str) -> float:
+        fs, target = self._fs(f"{self.root}/{commit}")
+        return time.time() - fs.getFileStatus(target).getModificationTime() / 1000
+
     # Which days
 
     def days_of(self, rows: DataFrame) -> set[str]:
@@ -323,7 +347,7 @@ class DayTable:
         found = rows.select(F.col(self.day).cast("string").alias("d")).distinct().collect()
         return {r["d"] for r in found}
 
-    def days_with(self, ids: DataFrame, on: Sequence[str]) -> set[str]:
+    def days_with(self, ids: DataFrame, on: Sequence[str], state: dict | None = None) -> set[str]:
         """Days that hold a row matching ``ids``; reads only the id and day columns.
 
         A short list of ids goes into the scan as a filter: with files sorted by the id, row groups
@@ -332,8 +356,8 @@ class DayTable:
         if len(on) == 1:
             few = [r[0] for r in ids.select(*on).limit(FEW_IDS + 1).collect()]
             if len(few) <= FEW_IDS:
-                return self.days_of(self.read().where(F.col(on[0]).isin(few))) if few else set()
-        found = _between_bounds(self.read(), ids, on).join(ids, list(on), "left_semi")
+                return self.days_of(self.read(None, state).where(F.col(on[0]).isin(few))) if few else set()
+        found = _between_bounds(self.read(None, state), ids, on).join(ids, list(on), "left_semi")
         return self.days_of(found)
 
     def segments(self, days: Iterable[str] | None = None) -> list[tuple[str, str, int, int]]:
@@ -354,12 +378,24 @@ class DayTable:
             total[0], total[1] = total[0] + size, total[1] + files
         return [(day, size, files) for day, (size, files) in totals.items()]
 
+    def lists_since(self, seconds: float) -> int:
+        """How many of the newest lists were published in the last ``seconds``; one at least."""
+        fs, target = self._fs(f"{self.root}/_published")
+        born = (time.time() - seconds) * 1000
+        return max(1, sum(s.getModificationTime() >= born for s in fs.listStatus(target)))
+
+    def holds_files(self) -> bool:
+        """True if any folder of rows, current or not, is there."""
+        return any(c.startswith(f"{COMMIT}=") for c in self._children(self.root))
+
     def most_segments(self) -> int:
         return max((len(c) for c in self.state()["base"].values()), default=0)
 
     def merge_segments(self, chosen: dict[str, list[str]]) -> None:
         """Rewrite the chosen folders of each day into one; the others stay as they are."""
         state = self.state()
+        if any(not set(cs) <= set(state["base"].get(d, [])) for d, cs in chosen.items()):
+            raise Conflict(f"{self.root}: a chosen folder is no longer current")
         paths = [f"{self.root}/{c}/{self.day}={d}" for d, cs in chosen.items() for c in cs]
         commit, days = self._write(self._scan(paths), state["version"] + 1)
         base = dict(state["base"])

@@ -97,7 +97,9 @@ def decode_json(
     if outer_array:
         # Elements stay JSON text, so one bad element does not spoil its neighbours.
         items = F.from_json("_json", T.ArrayType(T.StringType()))
-        whole = whole.withColumn("_json", F.explode_outer(items))
+        # An empty array has no rows; text that is no array has one, which is in error.
+        one_null = F.array(F.lit(None).cast("string"))
+        whole = whole.withColumn("_json", F.explode(F.coalesce(items, one_null)))
     parsed = F.from_json("_json", _parse_schema(plain), {"columnNameOfCorruptRecord": "_bad"})
     whole = _parse_once(whole, parsed)
     text = {}

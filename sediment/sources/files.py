@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "orc", "json", "csv")
+# A stream ignores files older than this against the newest one it has seen (by default seven days),
+# without an error. A file that arrives late must be read all the same.
+ANY_AGE = "36500d"
 LEDGER_SCHEMA = "path STRING, state STRING, loaded_at TIMESTAMP, last_modified TIMESTAMP, error STRING"
 
 
@@ -46,6 +49,7 @@ def file_stream(
         .schema(schema)
         .options(**_format_options(fmt, header, separator, quote, line_separator, outer_array))
         .option("latestFirst", "false")
+        .option("maxFileAge", ANY_AGE)
         .option("recursiveFileLookup", str(recursive).lower())
     )
     if max_files:
@@ -105,25 +109,26 @@ def files_to_load(
     ledger: DataFrame,
     as_of: Column | None = None,
     forget_after_days: int | None = None,
-    tracked_limit: int | None = None,
+    retry_errors: bool = True,
 ) -> DataFrame:
     """Files the ledger does not hold as loaded.
 
     By default a file is loaded once for good. With ``forget_after_days`` a ledger entry stops
-    counting after that time and the file is loaded again; ``tracked_limit`` keeps only the newest
-    entries.
+    counting after that time and the file is loaded again. Without ``retry_errors`` a file whose
+    last load failed waits until somebody asks for it.
     """
     loaded = ledger.where("state = 'LOADED'")
+    if not retry_errors:
+        failed = current_file_states(ledger).where("state = 'ERROR'")
+        listing = listing.join(failed.select("path"), "path", "left_anti")
     if forget_after_days is not None:
         loaded = loaded.where(F.col("loaded_at") >= as_of - F.expr(f"INTERVAL {forget_after_days} DAYS"))
-    if tracked_limit is not None:
-        loaded = loaded.orderBy(F.col("loaded_at").desc(), "path").limit(tracked_limit)
     return listing.join(loaded.select("path"), "path", "left_anti")
 
 
 def current_file_states(ledger: DataFrame) -> DataFrame:
     """Last ledger entry of each file."""
-    last = F.max_by(F.struct("state", "last_modified", "error"), F.struct("loaded_at", "state"))
+    last = F.max_by(F.struct("state", "last_modified", "error"), F.struct("loaded_at", F.col("state") != "LOADING", "state"))
     return ledger.groupBy("path").agg(
         last.alias("_last"), F.max("loaded_at").alias("loaded_at")
     ).select("path", "_last.*", "loaded_at")
@@ -141,49 +146,62 @@ def load_new_files(
     ledger_path: str,
     load: Callable[[Sequence[str]], None],
     as_of: Column | None = None,
-    per_commit: int = 100,
+    per_commit: int = 1_000,
     glob: str | None = None,
     forget_after_days: int | None = None,
     only: Sequence[str] | None = None,
 ) -> int:
-    """Load files that are not in the ledger, ``per_commit`` at a time in path order.
+    """Load files that are not in the ledger, ``per_commit`` to a job in path order; returns how many.
 
     ``load`` gets the paths and must be safe to repeat (an upsert is), because a job that dies between
-    loading and the ledger entry loads the same files again. ``only`` retries named files.
+    loading and the ledger entry loads the same files again. All files are entered as LOADING at the
+    start. If a group fails, its files are loaded one by one, so only the bad ones end as ERROR, with
+    the whole error text. Those are left alone until ``only`` names them.
     """
     now = as_of if as_of is not None else F.current_timestamp()
     listing = list_files(spark, path, glob)
     if only is not None:
         pending = listing.where(F.col("path").isin(list(only)))
     else:
-        pending = files_to_load(listing, read_ledger(spark, ledger_path), now, forget_after_days)
-    pending = pending.persist()
-    done, last = 0, ""
+        ledger = read_ledger(spark, ledger_path)
+        pending = files_to_load(listing, ledger, now, forget_after_days, retry_errors=False)
+    pending = pending.select("path", "last_modified").persist()
     try:
-        while True:
-            batch = pending.where(F.col("path") > last).orderBy("path").limit(per_commit)
-            paths = [r["path"] for r in batch.select("path").collect()]
-            if not paths:
-                return done
-            last = paths[-1]
-            try:
-                load(paths)
-                state, error = "LOADED", None
-                done += len(paths)
-            except Exception as problem:
-                state, error = "ERROR", str(problem)[:4096]
-            entries = pending.where(F.col("path").isin(paths)).select(
-                "path",
-                F.lit(state).alias("state"),
-                now.cast("timestamp").alias("loaded_at"),
-                "last_modified",
-                F.lit(error).cast("string").alias("error"),
-            )
-            entries.coalesce(1).write.mode("append").parquet(ledger_path)
+        _enter(pending.withColumn("error", F.lit(None).cast("string")), "LOADING", now, ledger_path)
+        done, group = 0, []
+        for row in pending.orderBy("path").toLocalIterator():
+            group.append((row["path"], row["last_modified"]))
+            if len(group) == per_commit:
+                done += _load_group(spark, group, load, now, ledger_path)
+                group = []
+        return done + (_load_group(spark, group, load, now, ledger_path) if group else 0)
     finally:
         pending.unpersist()
 
 
+def _load_group(spark: SparkSession, group: list[tuple], load: Callable, now: Column, ledger_path: str) -> int:
+    failed: dict[str, str] = {}
+    try:
+        load([path for path, _ in group])
+    except Exception:
+        for path, _ in group:
+            try:
+                load([path])
+            except Exception as problem:
+                failed[path] = str(problem)
+    entries = [(path, modified, failed.get(path)) for path, modified in group]
+    rows = spark.createDataFrame(entries, "path STRING, last_modified TIMESTAMP, error STRING")
+    for state, chosen in (("LOADED", rows.where("error IS NULL")), ("ERROR", rows.where("error IS NOT NULL"))):
+        _enter(chosen, state, now, ledger_path)
+    return len(group) - len(failed)
+
+
+def _enter(rows: DataFrame, state: str, now: Column, ledger_path: str) -> None:
+    stamped = rows.withColumns({"state": F.lit(state), "loaded_at": now.cast("timestamp")})
+    columns = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
+    stamped.select(*columns).hint("rebalance").write.mode("append").parquet(ledger_path)
+
+
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):

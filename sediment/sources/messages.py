@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.sources import feeds
+from sediment.sources.files import ANY_AGE
 
 MESSAGE_SCHEMA = (
     "key STRING, value STRING, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP"
@@ -67,6 +68,7 @@ def kafka_messages(spark: SparkSession, **kwargs) -> DataFrame:
 def replay_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of a stored message log."""
     reader = spark.readStream.schema(MESSAGE_SCHEMA).option("latestFirst", "false")
+    reader = reader.option("maxFileAge", ANY_AGE)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.parquet(path)

@@ -7,6 +7,7 @@ from a job, so a batch that is run again after a failure changes nothing twice.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sediment.functions import text
 from sediment.operators import dedup, layout
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import load_counters, split_good_bad
@@ -25,10 +25,8 @@ DEAD_LETTER_SCHEMA = (
 )
 STATUS_SCHEMA = (
     "checked_on DATE, job_name STRING, batch_id BIGINT, total_rows BIGINT, loaded_rows BIGINT, "
-    "unselected_rows BIGINT, error_rows BIGINT, checked_at TIMESTAMP"
+    "unselected_rows BIGINT, error_rows BIGINT, checked_at TIMESTAMP, state STRING, rows_per_second DOUBLE"
 )
-# Text limits of the dead-letter columns.
-RAW_LIMIT, ERROR_LIMIT = 65_533, 4_096
 ARRIVAL = ("timestamp", "offset", "partition")
 
 
@@ -68,8 +66,8 @@ def dead_letters(bad: DataFrame, job_name: str, task: str) -> DataFrame:
         F.lit(task).alias("task_id"),
         F.col("partition").alias("source_partition"),
         F.col("offset").alias("source_offset"),
-        text.clipped(F.col("value"), RAW_LIMIT).alias("raw_message"),
-        text.clipped(F.col("_error"), ERROR_LIMIT).alias("error_message"),
+        F.col("value").alias("raw_message"),
+        F.col("_error").alias("error_message"),
     )
 
 
@@ -79,8 +77,11 @@ class Ingest:
 
     With an upsert table in ``read`` mode, the deltas are merged after every ``fold_after`` batches; in
     a table that is appended to, the small files of a day are merged when it has that many folders.
-    With a ``ledger``, a batch whose content equals one of the last 1,000 batches of seven days is
-    skipped, whatever its number; an append-only table needs this against messages sent twice.
+    With a ``ledger``, a batch whose content equals one of the last seven days is skipped, whatever its
+    number; an append-only table needs this against messages sent twice. With a ``window``, (days back,
+    days ahead) of the current date, rows of other days become dead letters. The ``status`` table has a
+    line for every batch, RUNNING with its rate, or PAUSED if it had too many errors. Superseded
+    folders are removed after every ``fold_after`` batches once they are ``keep_seconds`` old.
     """
 
     def _fingerprint(self, batch: DataFrame) -> DataFrame:
@@ -95,6 +96,8 @@ class Ingest:
     ledger: DayTable | None = None
     fold_after: int = 100
     small_bytes: int = 128 * 1024 * 1024
+    window: tuple[int, int] | None = None
+    keep_seconds: float = 24 * 3600
     query: StreamingQuery | None = field(default=None, repr=False)
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -102,7 +105,8 @@ class Ingest:
         table, letters = self.table.with_session(spark), self.letters.with_session(spark)
         token = (self.job.name, batch_id)
         ledger = self.ledger.with_session(spark) if self.ledger is not None else None
-        if ledger is not None:
+        began = time.monotonic()
+        if ledger is not None and not ledger.already_done(token):
             entry = self._fingerprint(batch)
             live = dedup.live_ledger(ledger.read(), F.current_timestamp())
             if dedup.unseen_batches(entry, live, ["accepted_at"]).isEmpty():
@@ -114,11 +118,22 @@ class Ingest:
             total, errors = (counts["total_rows"], counts["error_rows"]) if counts else (0, 0)
             if total == 0:
                 return
-            check_errors(self.job, total, errors)
+            try:
+                check_errors(self.job, total, errors)
+            except TooManyErrors:
+                self._report(spark, batch_id, counts, "PAUSED", began, None)
+                raise
             good, bad = split_good_bad(decoded)
-            if errors:
-                letters.append(dead_letters(bad, self.job.name, str(batch_id)), token)
             rows = self.job.to_rows(good.where(selected))
+            refused = dead_letters(bad, self.job.name, str(batch_id)) if errors else None
+            if self.window is not None:
+                stray = F.coalesce(layout.outside_window(F.col(table.day), F.current_date(), *self.window), F.lit(True))
+                far = rows.where(stray).withColumn("_error", F.lit("day outside the window"))
+                far = dead_letters(far, self.job.name, str(batch_id))
+                refused = far if refused is None else refused.unionByName(far)
+                rows = rows.where(~stray)
+            if refused is not None and not letters.already_done(token) and not refused.isEmpty():
+                letters.append(refused, token)
             if table.key:
                 table.upsert(rows, self.job.arrival, token)
                 if len(table.state()["deltas"]) >= self.fold_after:
@@ -126,27 +141,35 @@ class Ingest:
             else:
                 table.append(rows, token)
             if ledger is not None:
-                ledger.append(entry.withColumn("accepted_on", F.to_date("accepted_at")), token)
+                if not ledger.already_done(token):
+                    ledger.append(entry.withColumn("accepted_on", F.to_date("accepted_at")), token)
                 self._tidy(ledger)
-            if self.status is not None:
-                line = spark.createDataFrame(
-                    [(self.job.name, batch_id, *counts)],
-                    "job_name STRING, batch_id BIGINT, total_rows BIGINT, loaded_rows BIGINT, "
-                    "unselected_rows BIGINT, error_rows BIGINT",
-                )
-                now = F.current_timestamp()
-                dated = line.withColumns({"checked_at": now, "checked_on": F.to_date(now)})
-                status = self.status.with_session(spark)
-                status.append(dated, token)
-                self._tidy(status)
+            self._report(spark, batch_id, counts, "RUNNING", began, token)
             for sink in (table, letters):
                 self._tidy(sink)
         finally:
             decoded.unpersist()
 
+    def _report(self, spark: SparkSession, batch_id: int, counts, state: str, began: float, token) -> None:
+        if self.status is None:
+            return
+        rate = float(counts["total_rows"]) / max(time.monotonic() - began, 1e-3)
+        line = spark.createDataFrame(
+            [(self.job.name, batch_id, *counts, state, rate)],
+            "job_name STRING, batch_id BIGINT, total_rows BIGINT, loaded_rows BIGINT, "
+            "unselected_rows BIGINT, error_rows BIGINT, state STRING, rows_per_second DOUBLE",
+        )
+        now = F.current_timestamp()
+        status = self.status.with_session(spark)
+        status.append(line.withColumns({"checked_at": now, "checked_on": F.to_date(now)}), token)
+        self._tidy(status)
+
     def _tidy(self, sink: DayTable) -> None:
         if sink.most_segments() >= self.fold_after:
             layout.compact(sink, small_bytes=self.small_bytes)
+        version = sink.state()["version"]
+        if version and version % self.fold_after == 0:
+            sink.vacuum(keep=sink.lists_since(self.keep_seconds))
 
     def start(self, messages: DataFrame, **trigger) -> StreamingQuery:
         """Start or resume from the checkpoint. Without a trigger: drain what is there and end."""
@@ -215,7 +238,7 @@ def kafka_offsets(spark: SparkSession, group: str, progress: dict) -> tuple[Data
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Recent batches of a running or finished query with their rates."""
+    """The last hundred batches of a query with their rates; the status table has all of a job."""
     rows = [
         (query.name, p["batchId"], p["timestamp"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0))
         for p in query.recentProgress

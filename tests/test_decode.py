@@ -88,3 +88,9 @@ def test_counters(spark):
     decoded = decode.decode_json(raw, "user_id BIGINT")
     got = decode.load_counters(decoded, F.col("user_id") > 0).first()
     assert tuple(got) == (4, 1, 2, 1)
+
+
+def test_an_empty_array_has_no_rows_and_no_error(spark):
+    messages = spark.createDataFrame([("[]",), ('[{"a": 1}]',), ("{",), (None,)], "value string")
+    got = decode.decode_json(messages, "a BIGINT", outer_array=True)
+    assert sorted((r["a"] or 0, r["_error"] is not None) for r in got.collect()) == [(0, True), (0, True), (1, False)]

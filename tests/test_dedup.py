@@ -62,3 +62,11 @@ def test_duplicate_rate(spark):
         ("d", 3, 2, 1, 0.333333),
         ("e", 1, 1, 0, 0.0),
     ]
+
+
+def test_ledger_without_a_count_holds_every_batch_of_seven_days(spark):
+    now = F.lit("2024-03-08").cast("timestamp")
+    ledger = spark.range(1500).selectExpr("TIMESTAMP'2024-03-01 00:30:00' + make_interval(0,0,0,0,0,id) AS accepted_at", "1L AS batch_rows", "id AS hash_xor", "'x' AS hash_sum")
+    repeat = spark.sql("SELECT 1L AS batch_rows, 3L AS hash_xor, 'x' AS hash_sum, 1 AS seq")
+    assert dedup.unseen_batches(repeat, dedup.live_ledger(ledger, now), ["seq"]).isEmpty()
+    assert dedup.unseen_batches(repeat, dedup.live_ledger(ledger, now, last=1000), ["seq"]).count() == 1

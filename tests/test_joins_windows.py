@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import plan_of, values
@@ -104,3 +105,18 @@ def test_alert_levels(spark):
     )
     got = windows.job_alerts(checks, 6).select("job_name", "checked_at", "alert")
     assert [a for _, _, a in values(got, "job_name", "checked_at")] == ["ok", "ok", "warn", "info", "page", "ok", "ok"]
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(10,2)", "bigint"])
+def test_hot_keys_change_no_types(spark, kind):
+    spread = spark.range(400).selectExpr("id % 100 AS k", "timestamp_seconds(id * 600) AS at", "id AS tie", f"CAST(id % 7 AS {kind}) AS v")
+    hot = spread.withColumn("k", F.lit(1).cast("bigint"))
+    for function in (windows.running_total, windows.difference_to_previous):
+        even, skewed = (function(r, ["k"], "at", ["tie"], "v", "out") for r in (spread, hot))
+        assert even.schema["v"] == skewed.schema["v"] and even.dtypes == skewed.dtypes
+        assert even.columns == skewed.columns
+    plain = Window.partitionBy("k").orderBy("at", "tie")
+    expected = hot.withColumn("out", F.sum("v").over(plain.rowsBetween(Window.unboundedPreceding, 0)))
+    assert values(windows.running_total(hot, ["k"], "at", ["tie"], "v", "out"), "tie") == values(expected, "tie")
+    expected = hot.withColumn("out", F.coalesce(F.col("v") - F.lag("v").over(plain), F.lit(0)))
+    assert values(windows.difference_to_previous(hot, ["k"], "at", ["tie"], "v", "out"), "tie") == values(expected, "tie")

@@ -219,3 +219,33 @@ def test_first_arrival_is_kept(spark, folder):
     )
     query.awaitTermination()
     assert values(spark.read.parquet(f"{folder}/out").groupBy("k").count(), "k") == [(1, 1), (2, 1)]
+
+
+def test_long_bad_message_comes_back_whole(spark, folder):
+    bad = "{" + "x" * 100_000
+    put(spark, f"{folder}/log", [body(1), bad])
+    job = load(spark, folder, max_error_ratio=0.5)
+    drain(spark, folder, job)
+    assert job.letters.read().first()["raw_message"] == bad
+
+
+def test_days_outside_the_window_become_dead_letters(spark, folder):
+    now = int(dt.datetime.now(dt.UTC).timestamp() * 1000)
+    put(spark, f"{folder}/log", [body(1, ms=now), body(2, ms=DAY), body(3, ms=now + 400 * 86_400_000)])
+    job = load(spark, folder)
+    job.window = (90, 3)
+    drain(spark, folder, job)
+    assert values(job.table.read().select("event_id")) == [(1,)]
+    assert {r["error_message"] for r in job.letters.read().collect()} == {"day outside the window"}
+    assert job.letters.read().count() == 2
+
+
+def test_status_says_running_or_paused(spark, folder):
+    put(spark, f"{folder}/log", [body(1), body(2)])
+    job = load(spark, folder)
+    drain(spark, folder, job)
+    put(spark, f"{folder}/log", ["{", "{"], first=2)
+    with pytest.raises(Exception, match="rows are in error"):
+        drain(spark, folder, job)
+    lines = job.status.read().orderBy("batch_id").collect()
+    assert [r["state"] for r in lines] == ["RUNNING", "PAUSED"] and lines[0]["rows_per_second"] > 0
