@@ -168,6 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = found.groupBy("root").agg(F.min("lowest").alias("component"))
     found = found.join(lowest, "root").select("fp", "component")
     named = groups.join(found, "fp", "left").select("fp", F.coalesce("component", "lowest").alias("component_id"))
+    # Written, so that the join below deals both sides out anew and Spark can split a fingerprint of many rows.
+    named = stored(named, "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(named, "fp").select("id", hexed, "component_id")
 
