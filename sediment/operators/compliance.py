@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sediment.operators.joins import lookup_join
 from sediment.sources.day_table import DayTable
 
+# Columns of the staging table.
 STAGING_SCHEMA = "batch_date DATE, operation STRING, user_id BIGINT, new_eviction_date DATE"
 SLA_HOURS = 24
 

@@ -642,8 +642,7 @@ ORACLES["stream_hourly_clicks"] = (
     _with(CLICKS)
     + f"""
 SELECT {_hour("make_timestamp((vtime - vtime % 3600) * 1000000)")} AS hour, site, count(*) AS visits
-FROM made GROUP BY vtime - vtime % 3600, site
-HAVING vtime - vtime % 3600 + 3600 <= (SELECT max(vtime) - 5400 FROM made)"""
+FROM made GROUP BY vtime - vtime % 3600, site"""
 )
 
 ORACLES["stream_first_arrivals"] = (

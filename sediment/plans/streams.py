@@ -13,6 +13,7 @@ from sediment.session import scratch_path
 from sediment.sources import messages
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import decode_json
+from sediment.sources.files import ANY_AGE
 from sediment.streaming import ingest
 
 MESSAGE_FIELDS = "event_id BIGINT, user_id BIGINT, event_ts BIGINT, eviction_date DATE, cents BIGINT"
@@ -64,8 +65,17 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     return stored.unionByName(bad.withColumn("kind", F.lit("dead letters")))
 
 
-def _click_stream(spark: SparkSession, folder: str) -> DataFrame:
-    source = spark.readStream.schema(inputs.table(spark, folder, "events").schema).parquet(f"{folder}/events*.parquet")
+def event_log(spark: SparkSession, folder: str) -> str:
+    """Events in at least four files, each with rows of all times, as a topic that was fed from many places."""
+    events, path = inputs.table(spark, folder, "events"), scratch_path(spark, "event-log")
+    mixed = events.orderBy(F.xxhash64("event_id"))
+    mixed.write.option("maxRecordsPerFile", max(1, events.count() // 4)).parquet(path)
+    return path
+
+
+def _click_stream(spark: SparkSession, folder: str, log: str) -> DataFrame:
+    reader = spark.readStream.schema(inputs.table(spark, folder, "events").schema)
+    source = reader.option("maxFilesPerTrigger", "1").option("maxFileAge", ANY_AGE).parquet(log)
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     made = messages.click_messages(source, "event_id", seconds)
     return made.withColumn("visited_at", F.timestamp_seconds("vtime"))
@@ -80,18 +90,32 @@ def _collect_stream(spark: SparkSession, rows: DataFrame, label: str) -> DataFra
 
 @query
 def stream_hourly_clicks(spark: SparkSession, folder: str) -> DataFrame:
-    """Hours the watermark has passed when the stream ends."""
-    hours = ingest.hourly_counts(_click_stream(spark, folder), "visited_at", ["site"])
-    done = _collect_stream(spark, hours, "hourly")
+    """All hours after several micro-batches, each of which brings rows of all times."""
+    clicks = _click_stream(spark, folder, event_log(spark, folder))
+    hours = ingest.hourly_counts(clicks, "visited_at", ["site"], delay=None)
+    root, last = scratch_path(spark, "hourly"), []
+
+    def snapshot(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{root}/{batch}")
+        last[:] = [batch]
+
+    writer = hours.writeStream.outputMode("complete").foreachBatch(snapshot)
+    _run(writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    kept = spark.createDataFrame([], hours.schema)
+    done = spark.read.schema(hours.schema).parquet(f"{root}/{last[0]}") if last else kept
     return done.select(times.timestamp_text(F.col("hour")).alias("hour"), "site", "visits")
 
 
 @query
 def stream_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """The click stream unioned with itself; the repeats are dropped."""
-    copies = [_click_stream(spark, folder).withColumn("copy", F.lit(n)) for n in (1, 2)]
+    """The click stream unioned with itself; the repeats are dropped.
+
+    The stored log is in no order of time, so the delay spans it all.
+    """
+    log = event_log(spark, folder)
+    copies = [_click_stream(spark, folder, log).withColumn("copy", F.lit(n)) for n in (1, 2)]
     once = ingest.first_arrivals(
-        copies[0].unionByName(copies[1]), ["event_id"], "visited_at", spread=["event_id", "copy"]
+        copies[0].unionByName(copies[1]), ["event_id"], "visited_at", "3650 days", spread=["event_id", "copy"]
     )
     kept = _collect_stream(spark, once, "first")
     return kept.groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_ids"))

@@ -19,6 +19,7 @@ from sediment.operators import dedup, layout
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import load_counters, split_good_bad
 
+# Columns of the dead-letter table.
 DEAD_LETTER_SCHEMA = (
     "captured_on DATE, captured_at TIMESTAMP, job_name STRING, task_id STRING, source_partition INT, "
     "source_offset BIGINT, raw_message STRING, error_message STRING"
@@ -211,10 +212,17 @@ def first_arrivals(
     return marked.dropDuplicatesWithinWatermark(list(key))
 
 
-def hourly_counts(clicks: DataFrame, at: str, by: Sequence[str] = (), delay: str = "90 minutes") -> DataFrame:
-    """Counts per hour of event time; an hour is final once the watermark has passed it."""
+def hourly_counts(
+    clicks: DataFrame, at: str, by: Sequence[str] = (), delay: str | None = "90 minutes"
+) -> DataFrame:
+    """Counts per hour of event time.
+
+    With a delay an hour is final once the watermark has passed it, and later rows are not counted.
+    Without one every row counts, whenever it comes: write the result in ``complete`` or ``update``
+    mode; a count per hour and group is kept for good.
+    """
     return (
-        clicks.withWatermark(at, delay)
+        (clicks.withWatermark(at, delay) if delay else clicks)
         .groupBy(F.window(at, "1 hour"), *by)
         .agg(F.count(F.lit(1)).alias("visits"))
         .select(F.col("window.start").alias("hour"), *by, "visits")
