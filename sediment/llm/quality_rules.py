@@ -16,7 +16,7 @@ from sediment.llm.common import numbered_words, steps, texts_of
 #: observations, as of a rare word or in a small corpus, then say little against a text.
 BUCKETS, SMOOTHING = 1 << 16, 100.0
 #: The least mean log ratio of a text that is kept.
-THRESHOLD = -0.035
+THRESHOLD = -0.045
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
