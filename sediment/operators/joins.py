@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -51,15 +52,26 @@ def lookup_join(
     """Join rows to a side that has one row per key (``inner``, ``left``, semi or anti).
 
     A small side is broadcast. A larger one is shuffled; with ``spread``, a column that differs
-    between rows of one key, the rows of a key are dealt over ``salts`` tasks and the lookup row is
-    copied to each, so a key holding much of the table is not one task's work.
+    between rows of one key, the rows of a hot key are dealt over ``salts`` tasks and its lookup row
+    is copied to each, so a key holding much of the table is not one task's work. Rows without a key
+    match nothing and are dealt out too; all other lookup rows are sent once.
     """
     if is_small(lookup, **limits):
         return rows.join(F.broadcast(lookup), list(key), how)
     if spread is None:
         return rows.join(lookup, list(key), how)
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    keyless = functools.reduce(Column.__or__, [F.col(k).isNull() for k in key])
+    hot = hot_keys(rows, key, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if hot is None:
+        dealt = rows.withColumn("_salt", F.when(keyless, salt).otherwise(0))
+        copies = lookup.withColumn("_salt", F.lit(0))
+        return dealt.join(copies, [*key, "_salt"], how).drop("_salt")
+    few = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = rows.join(few, list(key), "left").withColumn("_salt", F.when(keyless | F.col("_hot"), salt).otherwise(0))
+    dealt = dealt.drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = lookup.join(few, list(key), "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return dealt.join(copies, [*key, "_salt"], how).drop("_salt")
 
 
@@ -184,7 +196,7 @@ class BucketedPair:
 
     def _join_hot(self, rows: DataFrame, hot: DataFrame) -> DataFrame:
         needed = self._lookup().join(F.broadcast(hot), self.key, "left_semi")
-        return rows.join(F.broadcast(needed), self.key)
+        return rows.join(broadcast_if_small(needed), self.key)
 
     def write_lookup(self, lookup: DataFrame) -> BucketedPair:
         """``lookup`` has one row per key."""
