@@ -19,6 +19,8 @@ DISCLOSES = 0.8
 #: ... if they stand together in so many different lines.
 SUPPORT = 3
 TERM_LETTERS = 3
+#: The first count of a term looks at the lines of one hash in so many.
+PART = 16
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
@@ -151,22 +153,39 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", discloses: float =
     ready = entities.join(often, "entity").select("id", "entity", "n_e")
     pairs = ready.join(lines.select("id", "terms"), "id").select("entity", "n_e", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_te"))
-    pairs = stored(pairs.where(F.col("n_te") >= support), "entity-terms")
-    wanted = pairs.select("term").distinct()
-    bitmap = bitmap_of(wanted.select(F.xxhash64("term").alias("h")), "h")
-    if bitmap is None:
-        return None
-    counted = corpus_counts(docs, text_col, wanted, bitmap)
+    pairs = pairs.where(F.col("n_te") >= support)
     total = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.col("line").rlike(r"\p{L}")).count()
+    # n(t) is at least the number of lines with an entity that hold t, and at least that of all lines
+    # with certain hashes. Where one of these alone makes the share too small, as for every common
+    # word, the term need not be counted in the whole corpus. No term is lost by this.
+    held = lines.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    rarity = F.lit(float(total)) / F.col("n_e")
+    most = F.col("n_te") * rarity / F.pow(rarity, F.lit(discloses)) * (1 + 1e-9)
+    pairs = pairs.withColumn("most", most).join(held, "term").where("least <= most").drop("least")
+    pairs = stored(pairs, "entity-terms")
+    for part in (PART, 1):
+        wanted = pairs.select("term").distinct()
+        bitmap = bitmap_of(wanted.select(F.xxhash64("term").alias("h")), "h")
+        if bitmap is None:
+            return None
+        counted = corpus_counts(docs, text_col, wanted, bitmap, part)
+        if part > 1:
+            few = pairs.join(counted, "term", "left").where("coalesce(n_t, 0) <= most").drop("n_t")
+            pairs = stored(few, "entity-terms")
     together = pairs.join(counted, "term")
     share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     found = together.select("term", share.alias("share")).where(F.col("share") >= discloses)
     return stored(found.groupBy("term").agg(F.max("share").alias("share")), "disclosing-terms")
 
 
-def corpus_counts(docs: DataFrame, text_col: str, wanted: DataFrame, bitmap: Bitmap) -> DataFrame:
-    """``term, n_t``: the different lines of all texts that hold each wanted term."""
+def corpus_counts(docs: DataFrame, text_col: str, wanted: DataFrame, bitmap: Bitmap, part: int = 1) -> DataFrame:
+    """``term, n_t``: the different lines of all texts that hold each wanted term.
+
+    With ``part``, only of the lines whose hash is a multiple of it.
+    """
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
+    if part > 1:
+        lines = lines.where(F.pmod(F.xxhash64("line"), F.lit(part)) == 0)
     passed = F.filter(terms_of(F.col("line")), lambda t: bitmap.may_hold(F.xxhash64(t)))
     rows = lines.select(F.xxhash64("line").alias("id"), F.explode(passed).alias("term")).distinct()
     return rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
