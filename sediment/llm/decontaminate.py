@@ -1,8 +1,8 @@
-"""Documents that hold a passage of a benchmark: SimHash of windows of an item's size.
+"""Documents that hold a passage of a benchmark: shingles of windows of an item's size.
 
 Everything is DataFrame functions. Windows are placed where a document has enough of the benchmark's
-shingles close together; no other window can be similar. Their fingerprints find items through blocks
-of bits, and the shingles themselves decide.
+shingles close together. The shingles themselves decide on every window; SimHash fingerprints only
+say how many bits it differs by.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from sediment.llm.bitmap import bitmap_of, bound
 from sediment.llm.common import ascii_lower, stored, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of words within so many bits; cut into one block more, two such fingerprints share a block.
-RADIUS = 11
 #: Benchmark shingles up to which they are sent to every task.
 BROADCAST_ROWS = 500_000
 
@@ -48,20 +46,6 @@ def fingerprint(words: Column) -> Column:
     return bound(F.transform(words, lambda w: F.xxhash64(w)), bits)
 
 
-def blocks_of(fp: Column, radius: int) -> Column:
-    """``struct(block, bits)`` of the ``radius + 1`` blocks of a fingerprint."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("block"),
-                F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"),
-            )
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Sum of the smaller counts over sum of the larger counts of two lists of shingle hashes."""
 
@@ -70,20 +54,23 @@ def similarity(a: Column, b: Column) -> Column:
             count = [F.size(F.filter(x[side], lambda y: y == h)) for side in ("a", "b")]
             return n + F.least(*count)
 
-        shared = F.aggregate(F.array_distinct(x["a"]), F.lit(0), least)
+        common = F.array_intersect(x["a"], x["b"])
+        repeats = F.size(F.array_distinct(x["a"])) < F.size(x["a"])
+        shared = F.when(repeats, F.aggregate(common, F.lit(0), least)).otherwise(F.size(common))
         return shared / (F.size(x["a"]) + F.size(x["b"]) - shared)
 
     return bound(F.struct(a.alias("a"), b.alias("b")), both)
 
 
 def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """``item, n, size, shingles, fp`` of every item with a word; size is that of its shingles."""
+    """``key, item, n, size, shingles, fp`` of every item with a word; size is that of its shingles."""
     words = words_of(ascii_lower(F.col(text_col).cast("string")))
     items = benchmark.select(F.col(item_col).alias("item"), words.alias("w")).where(F.size("w") > 0)
     items = items.select("item", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("size"))
     whole = F.array(F.xxhash64("w"))
     shingles = F.when(F.size("w") >= SHINGLE, shingle_hashes(F.col("w"), SHINGLE)).otherwise(whole)
-    return items.select("item", "n", "size", shingles.alias("shingles"), fingerprint(F.col("w")).alias("fp"))
+    key = F.monotonically_increasing_id().alias("key")
+    return items.select(key, "item", "n", "size", shingles.alias("shingles"), fingerprint(F.col("w")).alias("fp"))
 
 
 def needed(shingles: int, similar: float) -> int:
@@ -99,22 +86,21 @@ def leaks(
     item_col: str = "item_id",
     item_text: str = "text",
     similar: float = SIMILARITY,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """``id, text_hash, item, start, n_words, hamming, similarity``: the best window per row and item.
 
     Words are cut at white space and compared with A-Z in lower case. A window has as many words as
     the item (or is the whole text if that is shorter) and ``start`` counts words from 0. It is
-    reported if its word fingerprint is within ``radius`` bits of the item's and their five-word
-    shingles, repeats counted, have a weighted similarity of ``similar`` or more. Items with fewer
-    than five words are one shingle. Null and empty texts and items have no windows; a null id is
+    reported if the five-word shingles of both, repeats counted, have a weighted similarity of
+    ``similar`` or more; ``hamming`` counts the bits by which their word fingerprints differ and
+    decides nothing. Items with fewer than five words are one shingle. Null and empty texts and items have no windows; a null id is
     kept as it is; ``text_hash`` tells rows with equal ids apart; repeated rows give one result. No
     items or no documents: no rows. Only the named columns are read.
     """
     items = stored(item_table(benchmark, item_col, item_text), "benchmark-items")
     found = None
     for row in items.groupBy("size").agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("size").collect():
-        some = _leaks_of_size(docs, items.where(F.col("size") == row["size"]), row, id_col, text_col, similar, radius)
+        some = _leaks_of_size(docs, items.where(F.col("size") == row["size"]), row, id_col, text_col, similar)
         found = some if found is None else found.unionByName(some)
     if found is None:
         empty = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("text_hash")).where("false")
@@ -125,10 +111,10 @@ def leaks(
     return found.groupBy("id", "text_hash", "item").agg(best.alias("best")).select("id", "text_hash", "item", "best.*")
 
 
-def _leaks_of_size(docs, items, sizes, id_col, text_col, similar, radius) -> DataFrame:
+def _leaks_of_size(docs, items, sizes, id_col, text_col, similar) -> DataFrame:
     """``leaks`` for items whose shingles have the same number of words."""
     size, low, high = sizes["size"], sizes["low"], sizes["high"]
-    places = items.select("n", F.posexplode("shingles").alias("q", "h")).distinct()
+    places = items.select("key", "n", F.posexplode("shingles").alias("q", "h"))
     keys = bitmap_of(places.select("h").distinct(), "h")
     least = needed(low - size + 1, similar)
     text = F.col(text_col).cast("string")
@@ -157,27 +143,22 @@ def _leaks_of_size(docs, items, sizes, id_col, text_col, similar, radius) -> Dat
     asked = rows.select("row", F.size("w").alias("total"), F.explode("seeds").alias("s")).select("row", "total", "s.*")
     joined = asked.join(F.broadcast(places) if n_places <= BROADCAST_ROWS else places, "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("total") - F.col("n")))
-    windows = joined.select("row", "n", start.alias("start")).distinct()
-    words = F.slice("w", F.col("start") + 1, F.col("n"))
+    windows = joined.select("row", "key", start.alias("start")).distinct()
+    return _checked(windows, rows, items, size, similar)
+
+
+def _checked(windows: DataFrame, rows: DataFrame, items: DataFrame, size: int, similar: float) -> DataFrame:
+    """The windows ``row, key, start`` that are similar to their item, whatever their fingerprints."""
     sized = windows.join(rows.select("row", "id", "text_hash", "w"), "row")
-    sized = sized.select("id", "text_hash", "n", "start", words.alias("words"))
-    prints = sized.select("id", "text_hash", "n", "start", shingle_hashes(F.col("words"), size).alias("shingles"), fingerprint(F.col("words")).alias("fp"))
-    prints = prints.where("shingles IS NOT NULL")
-
-    blocks = items.select("item", "n", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
-    asked = prints.select("*", F.explode(blocks_of(F.col("fp"), radius)).alias("b"))
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    first = F.coalesce(
-        *[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(k)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    )
-    pairs = asked.join(blocks, ["n", "b"]).where(F.bit_count(differ) <= radius)
-    pairs = pairs.where(F.col("b.block") == first)  # a pair that shares several blocks is taken at the first
-    checked = pairs.select(
+    sized = sized.join(items.select("key", "item", "n", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles")), "key")
+    words = F.slice("w", F.col("start") + 1, F.col("n"))
+    likeness = similarity(shingle_hashes(words, size), F.col("item_shingles")).alias("similarity")
+    close = sized.select("id", "text_hash", "item", "n", "start", words.alias("words"), "item_fp", likeness)
+    close = close.where(F.col("similarity") >= similar)
+    return close.select(
         "id", "text_hash", "item", F.col("start").cast("bigint").alias("start"), F.col("n").cast("bigint").alias("n_words"),
-        F.bit_count(differ).cast("int").alias("hamming"), similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity"),
+        F.bit_count(fingerprint(F.col("words")).bitwiseXOR(F.col("item_fp"))).cast("int").alias("hamming"), "similarity",
     )
-    return checked.where(F.col("similarity") >= similar)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

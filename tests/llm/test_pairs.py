@@ -144,6 +144,22 @@ def test_leaks_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_leaks_with_replaced_ends_equal_brute_force(spark):
+    rng = random.Random(6)
+    items, docs = [], []
+    for size, replaced in ((22, 2), (40, 4), (60, 6), (100, 10), (210, 21)):
+        for k in range(30):
+            item = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            cut, other = item[: size - replaced], [f"x{rng.randrange(10**6)}" for _ in range(replaced)]
+            planted = cut + other if k % 2 else other + item[replaced:]
+            items.append((len(items), " ".join(item)))
+            docs.append((len(docs), " ".join(["before it", *planted, "and after"])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.id, r.item): round(r.similarity, 9) for r in found.collect()}
+    expected = {k: v for own in zip(docs, items, strict=True) for k, v in brute_leaks(own[:1], own[1:]).items()}  # no others share words
+    assert len(expected) == len(items) and got == expected
+
+
 def test_blocks_hold_every_fingerprint_within_the_radius():
     rng = random.Random(5)
     edges = [64 * k // 12 for k in range(13)]
