@@ -1,8 +1,8 @@
 """Documents that hold a passage of a benchmark: shingles of windows of an item's size.
 
-Everything is DataFrame functions. Windows are placed where a document has enough of the benchmark's
-shingles close together. The shingles themselves decide on every window; SimHash fingerprints only
-say how many bits it differs by.
+Everything is DataFrame functions. Windows are placed at every start from which enough shingles of one
+item, in any order, lie within its length. The shingles themselves decide on every window; SimHash
+fingerprints only say how many bits it differs by.
 """
 
 from __future__ import annotations
@@ -73,9 +73,25 @@ def item_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return items.select(key, "item", "n", "size", shingles.alias("shingles"), fingerprint(F.col("w")).alias("fp"))
 
 
-def needed(shingles: int, similar: float) -> int:
-    """Shingles that two lists of this length share at least if they are similar."""
-    return max(1, math.ceil(2 * shingles * similar / (1 + similar) - 1e-9))
+def needed(shingles: Column, item_shingles: Column, similar: float) -> Column:
+    """Shingles that lists of these lengths share at least if they are similar."""
+    return F.greatest(F.lit(1), F.ceil((shingles + item_shingles) * (similar / (1 + similar)) - 1e-9)).cast("int")
+
+
+def window_starts(found: Column, least: Column, n_shingles: Column, last: Column) -> Column:
+    """Starts up to ``last`` of windows that hold ``least`` of the sorted positions, in order of the positions."""
+
+    def starts(x: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.size(x["found"]) - x["least"])
+
+        def of_run(j: Column) -> Column:
+            low = F.greatest(F.lit(0), F.get(x["found"], j + x["least"] - 1) - x["n"] + 1)
+            high = F.least(F.get(x["found"], j), x["last"])
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size(x["found"]) >= x["least"], F.array_distinct(F.flatten(F.transform(runs, of_run))))
+
+    return bound(F.struct(found.alias("found"), least.alias("least"), n_shingles.alias("n"), last.alias("last")), starts)
 
 
 def leaks(
@@ -114,9 +130,10 @@ def leaks(
 def _leaks_of_size(docs, items, sizes, id_col, text_col, similar) -> DataFrame:
     """``leaks`` for items whose shingles have the same number of words."""
     size, low, high = sizes["size"], sizes["low"], sizes["high"]
-    places = items.select("key", "n", F.posexplode("shingles").alias("q", "h"))
+    places = items.select("key", "n", F.explode("shingles").alias("h")).distinct()
     keys = bitmap_of(places.select("h").distinct(), "h")
-    least = needed(low - size + 1, similar)
+    # A text that is shorter than the item shares less than a whole window, but no less than this.
+    least = max(1, math.ceil((low - size + 1) * similar - 1e-9))
     text = F.col(text_col).cast("string")
     words = words_of(ascii_lower(text))
 
@@ -138,12 +155,16 @@ def _leaks_of_size(docs, items, sizes, id_col, text_col, similar) -> DataFrame:
     rows = rows.where("seeds IS NOT NULL")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "benchmark-suspects")
 
-    # Windows: where an item would have to begin for one of its shingles to stand where it was found.
+    # Windows: from every start with enough of one item's shingles. A shorter text is one window.
     n_places = places.count()
     asked = rows.select("row", F.size("w").alias("total"), F.explode("seeds").alias("s")).select("row", "total", "s.*")
     joined = asked.join(F.broadcast(places) if n_places <= BROADCAST_ROWS else places, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("total") - F.col("n")))
-    windows = joined.select("row", "key", start.alias("start")).distinct()
+    held = joined.groupBy("row", "key", "total", "n").agg(F.array_sort(F.collect_list("p")).alias("found"))
+    in_item = F.col("n") - (size - 1)
+    in_window = F.least(F.col("n"), F.col("total")) - (size - 1)
+    last = F.greatest(F.lit(0), F.col("total") - F.col("n"))
+    starts = window_starts(F.col("found"), needed(in_window, in_item, similar), in_window, last)
+    windows = held.select("row", "key", F.explode(starts).alias("start"))
     return _checked(windows, rows, items, size, similar)
 
 

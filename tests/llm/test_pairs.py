@@ -160,6 +160,27 @@ def test_leaks_with_replaced_ends_equal_brute_force(spark):
     assert len(expected) == len(items) and got == expected
 
 
+def test_leaks_with_swapped_parts_and_short_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for k, (size, form) in enumerate([(48, "swap"), (41, "swap"), (200, "swap"), (15, 13), (40, 33), (57, 47), (30, 20), (57, "three")]):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        if isinstance(form, int):
+            text = item[:form] if k % 2 else item[size - form :]
+        else:
+            a, b = size // 2, 2 * size // 3
+            swapped = item[a:] + item[:a] if form == "swap" else item[b:] + item[a:b] + item[:a]
+            text = [f"x{rng.randrange(10**6)}" for _ in range(60)] + swapped + ["after"] * 3
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(text)))
+    items.append((20, items[0][1]))  # two items with the same words
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.id, r.item): round(r.similarity, 9) for r in found.collect()}
+    assert got == brute_leaks(docs, items)
+    assert {d for d, _ in got} >= {0, 2, 3, 4}
+    assert {r.item: r.start for r in found.where("id = 0").collect()} == {0: 60, 20: 60}
+
+
 def test_blocks_hold_every_fingerprint_within_the_radius():
     rng = random.Random(5)
     edges = [64 * k // 12 for k in range(13)]
