@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sediment.llm.bitmap import bound
+
 #: Normalised sentences of public licence notices and the identifier of each.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2.0": "apache-2.0-notice",
@@ -25,7 +27,25 @@ SENTENCES: dict[str, str] = {
     "licensed under cc by-sa 4.0": "cc-by-sa-4.0-notice",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-permission",
     "all rights reserved": "rights-reserved",
+    "licensed under the apache license version 2.0 the license": "apache-2.0-notice",
+    "http www.apache.org licenses license-2.0": "apache-2.0-copy",
+    "https www.apache.org licenses license-2.0": "apache-2.0-copy",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-permission",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
 }
+#: The GNU notices, of whose sentence a mark may cut off the beginning, and the Creative Commons names.
+_GNU = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = "as published by the free software foundation"
+for _start in ("this program is free software ", ""):
+    for _v in "23":
+        SENTENCES[f"{_start}{_GNU} {_FSF} either version {_v} of the license or at your option any later version"] = f"gpl-{_v}-or-later-notice"
+        SENTENCES[f"{_start}{_GNU} {_FSF} version {_v} of the license"] = f"gpl-{_v}-notice"
+        SENTENCES[f"{_start}{_GNU} version {_v} {_FSF}"] = f"gpl-{_v}-notice"
+for _start in ("licensed under", "this work is licensed under"):
+    for _kind, _id in (("", "by"), ("-noncommercial", "by-nc"), ("-sharealike", "by-sa")):
+        for _article in ("", "a ", "the "):
+            for _end in ("", " license"):
+                SENTENCES[f"{_start} {_article}creative commons attribution{_kind} 4.0 international{_end}"] = f"cc-{_id}-4.0-notice"
 #: Ordered rules: the first whose identifiers occur one after another, others between them allowed or
 #: not ("next" or "later"), names the licence. A longer rule stands before the one that it contains.
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
@@ -33,6 +53,8 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("Apache-2.0", "next", ("apache-2.0-notice",)),
     ("MIT", "later", ("mit-permission", "mit-warranty")),
     ("MIT", "next", ("mit-notice",)),
+    ("GPL-3.0-or-later", "next", ("gpl-3-or-later-notice",)),
+    ("GPL-2.0-or-later", "next", ("gpl-2-or-later-notice",)),
     ("GPL-3.0-or-later", "later", ("gpl-3-notice", "gpl-3-later")),
     ("GPL-3.0-only", "next", ("gpl-3-notice",)),
     ("GPL-2.0-only", "next", ("gpl-2-notice",)),
@@ -42,8 +64,9 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("BSD", "next", ("bsd-permission",)),
     ("Proprietary", "next", ("rights-reserved",)),
 ]
-#: Sentences end at a new line, at .!? or ; before white space, or at the end of the text.
-ENDS = r"[.!?;]+(?=\s)|\n"
+#: Sentences end at .!? or ; before white space, at a blank line, or at the end of the text. A line in
+#: between may also end one: the longest run of lines that is a known sentence counts.
+ENDS = r"[.!?;]+(?=\s)|\n[\s&&[^\n]]*\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -57,12 +80,34 @@ def sentence_ids(text: Column, sentences: Mapping[str, str] = SENTENCES) -> Colu
     pairs = [F.lit(x) for pair in sentences.items() for x in pair]
     known = F.create_map(*pairs)
     words = {s.split()[0] for s in sentences}
-    # Only a sentence that can be a known one is cleaned and looked up: after marks it starts with the
-    # first word of one.
+    # Only a sentence that can be a known one is cleaned and looked up: after marks a line of it starts
+    # with the first word of one.
     start = r"(?i)^[^\p{L}\p{N}]*(" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: s.rlike(start))
-    found = F.transform(parts, lambda s: known[F.regexp_replace(normalised(s), " +", " ")])
-    return F.array_compact(found)
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: s.rlike("(?m)" + start))
+    # Each line that is left has a word, so a longer run of lines has more words than any known sentence.
+    longest = max(len(s.split()) for s in sentences)
+    none = F.array().cast("array<string>")
+
+    def of_part(part: Column) -> Column:
+        lines = F.filter(F.split(part, "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+        return bound(lines, of_lines)
+
+    def of_lines(lines: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            ends = F.sequence(F.least(F.size(lines), i + longest), i + 1, F.lit(-1))
+            runs = F.transform(ends, lambda j: F.struct(j.alias("next"), of_run(F.slice(lines, i + 1, j - i)).alias("id")))
+            hit = F.get(F.filter(runs, lambda r: r["id"].isNotNull()), F.lit(0))
+            taken = bound(hit, lambda h: F.when(h.isNotNull(), F.struct(h["next"].alias("next"), F.concat(state["ids"], F.array(h["id"])).alias("ids"))).otherwise(state))
+            return F.when((i >= state["next"]) & F.get(lines, i).rlike(start), taken).otherwise(state)
+
+        first = F.struct(F.lit(0).alias("next"), none.alias("ids"))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), first, step, lambda state: state["ids"])
+        return F.when(F.size(lines) > 0, found).otherwise(none)
+
+    def of_run(run: Column) -> Column:
+        return known[F.regexp_replace(normalised(F.array_join(run, " ")), " +", " ")]
+
+    return F.flatten(F.transform(parts, of_part))
 
 
 def rule_matches(ids: Column, rules: Sequence[tuple[str, str, tuple[str, ...]]] = RULES) -> list[Column]:

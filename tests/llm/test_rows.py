@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -214,6 +215,36 @@ def test_licences_in_sentences(spark):
     assert found[6].licenses == "MIT,CC-BY-NC-4.0" and found[4].sentences == "gpl-3-notice,gpl-3-later"
 
 
+NOTICES = {
+    "MIT": '''Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT''',
+    "Apache-2.0": '''Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law''',
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
+
+def test_licences_in_real_notices_wrapped_and_not(spark):
+    rows = []
+    for name, text in NOTICES.items():
+        wrapped = "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n"))
+        comment = "/*\n" + "\n".join(" * " + line for line in wrapped.split("\n"))
+        rows += [(name, text), (name, wrapped), (name, "Copyright 2020 Somebody\n" + wrapped), (name, comment)]
+    rows += [("MIT", "Licensed under the MIT License\nand a line more"), ("none", "Licensed under\n\nthe MIT License")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.id, r.license) for r in found if r.id != r.license] == [] and len(found) == len(rows)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://COM", "http://com/", "https://a.b.Com/x?y=http://net/es/", "ftp://net/es/1#f", "http://xnet/es/", "http://net?/es/", "://www.example.com/en/1", "http://example.com/en", "http://m.example.com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' AS verdict", "1 AS short", "2 AS Host")
