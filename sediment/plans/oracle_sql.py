@@ -256,6 +256,11 @@ live AS (
 SELECT strftime(h, '%Y-%m-%d %H') AS batch_hour, CAST(1 AS BIGINT) AS arrival, n AS batch_rows
 FROM batches WHERE h NOT IN (SELECT h FROM live)"""
 
+ORACLES["batch_ledger_by_time"] = """
+WITH batches AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1)
+SELECT strftime(h, '%Y-%m-%d %H') AS batch_hour, CAST(1 AS BIGINT) AS arrival, n AS batch_rows
+FROM batches WHERE NOT (h <= TIMESTAMP '2024-01-20' AND h > TIMESTAMP '2024-01-20' - INTERVAL 7 DAY)"""
+
 ORACLES["merge_aggregate_states"] = (
     _with(CANONICAL)
     + """

@@ -83,11 +83,21 @@ def duplicate_rate_by_day(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def batch_ledger_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every hourly batch is delivered again, some twice; the ledger holds those up to ``AS_OF``."""
+    """Every hourly batch is delivered again, some twice; the ledger holds the last 120 up to ``AS_OF``."""
+    return _accepted_batches(spark, folder, last=120)
+
+
+@query
+def batch_ledger_by_time(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with all batches of the last seven days in the ledger, as the ingest job has them."""
+    return _accepted_batches(spark, folder, last=None)
+
+
+def _accepted_batches(spark: SparkSession, folder: str, last: int | None) -> DataFrame:
     rows = inputs.canonical_events(spark, folder).withColumn("batch_hour", F.date_trunc("hour", "ts"))
     prints = dedup.batch_fingerprints(rows, ["batch_hour"], ["event_id", "user_id", "event_type", "cents"])
     ledger = prints.withColumn("accepted_at", F.col("batch_hour"))
-    live = dedup.live_ledger(ledger, F.lit(inputs.AS_OF).cast("timestamp"), last=120, days=7)
+    live = dedup.live_ledger(ledger, F.lit(inputs.AS_OF).cast("timestamp"), last=last, days=7)
     again = prints.withColumn("arrival", F.lit(1)).unionByName(
         prints.where(F.hour("batch_hour") % 7 == 0).withColumn("arrival", F.lit(2))
     )

@@ -2,8 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import plan_of, values
+from conftest import SMALL, plan_of, values
 from sediment.operators import dedup
+from sediment.plans.catalog import catalog
 
 
 def test_equal_versions_are_decided_by_the_tiebreak(spark):
@@ -70,3 +71,11 @@ def test_ledger_without_a_count_holds_every_batch_of_seven_days(spark):
     repeat = spark.sql("SELECT 1L AS batch_rows, 3L AS hash_xor, 'x' AS hash_sum, 1 AS seq")
     assert dedup.unseen_batches(repeat, dedup.live_ledger(ledger, now), ["seq"]).isEmpty()
     assert dedup.unseen_batches(repeat, dedup.live_ledger(ledger, now, last=1000), ["seq"]).count() == 1
+
+
+def test_ledger_by_time_takes_no_batch_of_the_last_seven_days(spark):
+    by_time, limited = (
+        {r.batch_hour for r in catalog()[name](spark, SMALL).collect()} for name in ("batch_ledger_by_time", "batch_ledger_dedup")
+    )
+    live = {h for h in limited if "2024-01-13 00" < h <= "2024-01-20 00"}
+    assert live and by_time == limited - live
