@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from sediment.llm import (
     decontaminate,
+    hard_negatives,
     language_id,
     license_scan,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     sanitise,
     simhash_dups,
     token_files,
     url_filter,
+    vector_dups,
 )
 from sediment.llm.common import fold_of, table
 from sediment.session import prepare
@@ -104,3 +107,23 @@ def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash_dups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dups.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+@query
+def op11_vector_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    nodes = prefix_trie.conversation_trie(turns, rebuild=prefix_trie.shared_starts)
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
