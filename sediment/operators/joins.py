@@ -6,7 +6,7 @@ import functools
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,15 +148,15 @@ def hot_keys(rows: DataFrame, key: Sequence[str], buckets: int, nulls: bool = Fa
     """Keys with more than a quarter of an even bucket's share of the rows, or None.
 
     At most ``4 * buckets`` such keys can exist, so the list is small whatever the data. Keys with a
-    NULL, which join with nothing, are left out unless ``nulls`` is set.
+    NULL, which join with nothing, are left out unless ``nulls`` is set. One aggregate gives both the
+    counts and their total.
     """
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    found = counts.where(F.col("_n") > total / (4 * buckets)).select(*key)
+    counts, seen, most = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), Observation(), 4 * buckets
+    top = counts.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n")).limit(most).collect()
+    hot = [r[:-1] for r in top if r["_n"] * most > seen.get["total"]] if top else []
     if not nulls:
-        found = found.na.drop(subset=list(key))
-    hot = found.collect()
-    return rows.sparkSession.createDataFrame(hot, found.schema) if hot else None
+        hot = [r for r in hot if None not in r]
+    return rows.sparkSession.createDataFrame(hot, rows.select(*key).schema) if hot else None
 
 
 def save_bucketed(rows: DataFrame, table: str, path: str, key: Sequence[str], buckets: int) -> None:

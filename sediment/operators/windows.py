@@ -1,11 +1,10 @@
 """Row-order functions that do not put a hot key into one task.
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Keys with too many rows for
-that are found by a count first and cut into time blocks. For them a second, small window runs over
-one summary row per block and gives the value that each block inherits; that value goes in front of
-the block's rows as a marker row, in a column of its own, so that the caller's columns keep their
-types. One window per key and block then yields the result of the plain
-window. Rows are shuffled once; the other keys keep a single block and need no markers.
+that are found by one aggregate, and their rows are scanned in two passes by rank: they are
+range-partitioned on key, order and ties, so that even rows of one moment are cut; each range is reduced
+to one summary per key; a prefix over the summaries gives what a range inherits; and the value within
+the range is added to that. All other keys go through the plain window, shuffled once.
 """
 
 from __future__ import annotations
@@ -16,70 +15,90 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sediment.operators.joins import hot_keys
+from sediment.session import scratch_path
 
 
-def _per_block(
-    rows: DataFrame,
-    key: Sequence[str],
-    at: str,
-    ties: Sequence[str],
-    block: str,
-    summary: Column,
-    inherited: Column,
-) -> tuple[DataFrame, WindowSpec]:
-    """Rows with a leading marker row per block of a hot key, and the window to use on them.
-
-    ``summary`` reduces a block to one value, ``inherited`` is a window-function input over the
-    summaries of a key in block order.
-    """
-    spark = rows.sparkSession
-    hot = hot_keys(rows, key, int(spark.conf.get("spark.sql.shuffle.partitions")), nulls=True)
-    inside = Window.partitionBy(*key, "_block").orderBy("_mark", at, *ties)
+def split_hot(rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of all other keys, rows of keys with too many rows for one task or None)."""
+    hot = hot_keys(rows, key, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), nulls=True)
     if hot is None:
-        unmarked = {"_block": F.lit(None).cast("timestamp"), "_mark": F.lit(1)}
-        whole = rows.withColumns(unmarked).withColumn("_carry", F.lit(None).cast(rows.select(summary).schema[0].dataType))
-        return whole, Window.partitionBy(*key).orderBy(at, *ties)
-    few = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in key}).withColumn("_hot", F.lit(True)))
+        return rows, None
+    few = F.broadcast(hot.withColumnsRenamed({k: f"_hot_{k}" for k in key}))
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
-    blocked = (
-        rows.join(few, same, "left")
-        .drop(*[f"_hot_{k}" for k in key])
-        .withColumn("_block", F.when(F.col("_hot"), F.date_trunc(block, F.col(at))))
-        .withColumn("_mark", F.lit(1))
-    )
-    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    markers = (
-        blocked.where("_hot")
-        .groupBy(*key, "_block")
-        .agg(summary.alias("_summary"))
-        .select(*key, "_block", inherited.over(across).alias("_carry"), F.lit(0).alias("_mark"))
-    )
-    return blocked.drop("_hot").unionByName(markers, allowMissingColumns=True), inside
+    return rows.join(few, same, "left_anti"), rows.join(few, same, "left_semi")
+
+
+def ranges_of(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with ``_range``: consecutive numbers of consecutive runs of rows in the order of key and order.
 
+    The runs hold about as many rows each, whatever the keys; ``order`` should be unique within a key,
+    as equal rows stay together. Written to the shared folder, so that all later steps see the same runs.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "ranges")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *key, *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def inherited(ranges: DataFrame, key: Sequence[str], summary: Column, before: Column) -> DataFrame:
+    """``_key…, _of, _carry``: what each range of a key inherits from its earlier ranges.
+
+    ``summary`` reduces a range to one value, ``before`` is a function over the summaries ``_summary`` of
+    the earlier ranges. One row per range and hot key in it.
+    """
+    across = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(*key, "_range").agg(summary.alias("_summary"))
+    names = [F.col(k).alias(f"_key_{k}") for k in key]
+    return totals.select(*names, F.col("_range").alias("_of"), before.over(across).alias("_carry"))
 
-def running_total(
-    rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
+
+def _scan(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], name: str, summary: Column, before: Column, value
 ) -> DataFrame:
+    """``value(window, carry)`` as column ``name``: over plain windows, and over ranges for hot keys.
+
+    ``carry`` is null where nothing is inherited.
+    """
+    cold, hot = split_hot(rows, key)
+    none = F.lit(None).cast(rows.select(summary).schema[0].dataType)
+    plain = cold.withColumn(name, value(Window.partitionBy(*key).orderBy(*order), none))
+    if hot is None:
+        return plain
+    ranges = ranges_of(hot, key, order)
+    # At most as many rows as there are ranges and hot keys; both are bounded by the number of tasks.
+    carried = F.broadcast(inherited(ranges, key, summary, before))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key]
+    marked = ranges.join(carried, [*same, F.col("_range") == F.col("_of")])
+    inside = Window.partitionBy("_range", *key).orderBy(*order)
+    scanned = marked.withColumn(name, value(inside, F.col("_carry")))
+    return plain.unionByName(scanned.select(*plain.columns))
+
+
+def running_total(rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` from the key's first row to this one, in the order ``at, ties``."""
     kind = rows.select(F.sum(value)).schema[0].dataType
-    marked, inside = _per_block(rows, key, at, ties, block, F.sum(value), F.sum("_summary"))
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    own, before = F.sum(value).over(so_far), F.first("_carry").over(so_far)
-    running = F.coalesce(own + before, own, before).cast(kind)
-    return marked.withColumn(name, running).where("_mark = 1").drop("_block", "_mark", "_carry")
+
+    def total(window: WindowSpec, carry: Column) -> Column:
+        own = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        return F.coalesce(own + carry, own, carry).cast(kind)
+
+    return _scan(rows, key, [at, *ties], name, F.sum(value), F.sum("_summary"), total)
 
 
 def difference_to_previous(
-    rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str, block: str = "hour"
+    rows: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """``value`` minus the value of the key's previous row; 0 for the first row."""
     last = F.max_by(F.col(value), F.struct(at, *ties))
     kind = rows.schema[value].dataType
-    marked, inside = _per_block(rows, key, at, ties, block, last, F.last("_summary"))
-    first = F.lag("_mark").over(inside) == 0
-    previous = F.when(first, F.lag("_carry").over(inside).cast(kind)).otherwise(F.lag(value).over(inside))
-    difference = F.coalesce(F.col(value) - previous, F.lit(0))
-    return marked.withColumn(name, difference).where("_mark = 1").drop("_block", "_mark", "_carry")
+
+    def difference(window: WindowSpec, carry: Column) -> Column:
+        first = F.row_number().over(window) == 1
+        previous = F.when(first, carry.cast(kind)).otherwise(F.lag(value).over(window))
+        return F.coalesce(F.col(value) - previous, F.lit(0))
+
+    return _scan(rows, key, [at, *ties], name, last, F.last("_summary"), difference)
 
 
 def job_alerts(checks: DataFrame, wanted_tasks: Column | int) -> DataFrame:

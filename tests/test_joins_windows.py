@@ -72,7 +72,7 @@ def test_hourly_join_equals_the_pairs_it_avoids(spark):
     assert values(kept.select("id", "readings"), "id") == [(1, 3), (2, 3), (3, 0), (4, 1)]
 
 
-def test_block_windows_equal_plain_windows(spark):
+def test_range_windows_equal_plain_windows(spark):
     draw = random.Random(7)
     items = [(i, draw.choice([1, 1, 1, 2, None]), draw.choice([None, 0, 1, 90, 3600, 3601, 9000, 90000]), draw.randint(-9, 9)) for i in range(400)]
     rows = spark.createDataFrame(items, "id int, user int, sec int, amount long").withColumn("at", F.timestamp_seconds("sec"))
@@ -87,16 +87,42 @@ def test_block_windows_equal_plain_windows(spark):
     assert values(diff.select("id", "diff"), "id") == [(i, d) for i, _, d in expected]
 
 
-def test_only_hot_keys_are_cut_into_blocks(spark):
+def test_only_hot_keys_are_cut_into_ranges(spark):
     even = spark.range(1000).select("id", F.col("id").alias("user"), F.timestamp_seconds("id").alias("at"), F.lit(1).alias("amount"))
     assert "Union" not in plan_of(windows.running_total(even, ["user"], "at", ["id"], "amount", "t"))
     hot = even.withColumn("user", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("user")))
-    cut = windows.running_total(hot, ["user"], "at", ["id"], "amount", "t", block="minute")
+    cut = windows.running_total(hot, ["user"], "at", ["id"], "amount", "t")
     assert "Union" in plan_of(cut)
     assert values(cut.where("user IS NULL").select("t"), "t") == [(n,) for n in range(1, 335)]
     assert cut.where("user IS NOT NULL AND t <> 1").count() == 0
 
 
+def test_rows_of_one_user_and_moment_are_dealt_over_many_tasks(spark):
+    one = spark.range(4000).select("id", F.lit(7).alias("user"), F.timestamp_seconds(F.lit(0)).alias("at"), (F.col("id") % 11).alias("amount"))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    ranges = windows.ranges_of(one, ["user"], ["at", "id"])
+    sizes = [n for _, n in values(ranges.groupBy("_range").count(), "_range")]
+    total = windows.running_total(one, ["user"], "at", ["id"], "amount", "t")
+    diff = windows.difference_to_previous(one, ["user"], "at", ["id"], "amount", "d")
+    assert "rangepartitioning" not in plan_of(total)  # the ranges were written before
+    expected, running = [], 0
+    for i in range(4000):
+        running += i % 11
+        expected.append((i, running, i % 11 - (i - 1) % 11 if i else 0))
+    got = values(total.select("id", "t").join(diff.select("id", "d"), "id"), "id")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == expected
+    assert len(sizes) >= 8 and max(sizes) < 4000 / 4
+
+
+def test_hot_keys_take_one_aggregate_and_the_bound(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 400 THEN 'a' WHEN id < 700 THEN NULL ELSE CAST(id AS STRING) END AS k", "id")
+    assert values(joins.hot_keys(rows, ["k"], 2)) == [("a",)]
+    assert values(joins.hot_keys(rows, ["k"], 2, nulls=True), "k") == [(None,), ("a",)]
+    assert joins.hot_keys(rows.where("id >= 700"), ["k"], 2) is None
+    assert joins.hot_keys(rows.where("false"), ["k"], 2) is None
+
+
 def test_alert_levels(spark):
     checks = spark.createDataFrame(
         [("j", 1, 0, "RUNNING", 6), ("j", 2, 1, "RUNNING", 6), ("j", 3, 2, "RUNNING", 6), ("j", 4, 2, "RUNNING", 5),
