@@ -15,10 +15,12 @@ from sediment.session import scratch_path
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bytes of a bucket, as measured before compression.
+BUCKET_BYTES = 256 * 1024 * 1024
 
 
-def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count rows and bytes of a side (one distributed aggregate) against the limits.
+def measured(side: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a side, by one distributed aggregate.
 
     Only columns of varying size are read for it; the others count as 8 bytes each.
     """
@@ -32,7 +34,24 @@ def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
         else:
             fixed += 8
     found = side.agg(F.count(F.lit(1)).alias("n"), F.sum(size + fixed).alias("bytes")).first()
-    return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
+    return found["n"], found["bytes"] or 0
+
+
+def is_small(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Rows and bytes of a side against the limits."""
+    n, size = measured(side)
+    return n <= max_rows and size <= max_bytes
+
+
+def bucket_count(rows: DataFrame, bytes_per_bucket: int = BUCKET_BYTES, most: int = 100_000) -> int:
+    """Buckets for rows of this size, so that a bucket is one task's work at any size."""
+    return min(most, max(1, -(-measured(rows)[1] // bytes_per_bucket)))
+
+
+def stored_buckets(spark: SparkSession, table: str) -> int:
+    """The bucket count that a catalog table was written with."""
+    described = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Num Buckets'").first()
+    return int(described["data_type"])
 
 
 def broadcast_if_small(side: DataFrame, **limits: int) -> DataFrame:
@@ -188,6 +207,14 @@ class BucketedPair:
         self.root = scratch_path(spark, "bucketed")
         self.hot: DataFrame | None = None
 
+    @classmethod
+    def sized(
+        cls, rows: DataFrame, lookup: DataFrame, key: Sequence[str], bytes_per_bucket: int = BUCKET_BYTES
+    ) -> BucketedPair:
+        """Write both tables with as many buckets as the rows' bytes need; the count is part of the tables."""
+        buckets = bucket_count(rows, bytes_per_bucket)
+        return cls(rows.sparkSession, buckets, key).write(rows, lookup)
+
     def _save(self, rows: DataFrame, name: str) -> None:
         save_bucketed(rows, f"{self.prefix}_{name}", f"{self.root}/{name}", self.key, self.buckets)
 
@@ -222,9 +249,10 @@ class BucketedPair:
 
     def join_shuffled(self, rows: DataFrame) -> DataFrame:
         """Join rows that are not bucketed: only they are shuffled, into the lookup's buckets."""
-        hot = hot_keys(rows, self.key, self.buckets)
+        buckets = stored_buckets(self.spark, f"{self.prefix}_lookup")
+        hot = hot_keys(rows, self.key, buckets)
         cold = rows if hot is None else rows.join(F.broadcast(hot), self.key, "left_anti")
-        joined = cold.repartition(self.buckets, *self.key).join(self._lookup().hint("merge"), self.key)
+        joined = cold.repartition(buckets, *self.key).join(self._lookup().hint("merge"), self.key)
         if hot is not None:
             hot_rows = rows.join(F.broadcast(hot), self.key, "left_semi")
             joined = joined.unionByName(self._join_hot(hot_rows, hot))

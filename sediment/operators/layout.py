@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,33 @@ def ensure_table(spark: SparkSession, name: str, schema: str, path: str, by: Seq
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet {partitioned} LOCATION '{path}'")
 
 
+def create_table(spark: SparkSession, name: str, columns: Mapping[str, str], by: Sequence[str] = ()) -> None:
+    """A catalog table; a column may have a default (``STRING DEFAULT 'new'``), which inserts may leave out."""
+    listed = ", ".join(f"`{c}` {kind}" for c, kind in columns.items())
+    partitioned = f"PARTITIONED BY ({', '.join(by)})" if by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({listed}) USING parquet {partitioned}")
+
+
+def insert_rows(rows: DataFrame, name: str, replace: bool = False) -> None:
+    """Insert by column name; columns that the rows lack take the table's defaults."""
+    view = f"_insert_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    named = ", ".join(f"`{c}`" for c in rows.columns)
+    verb = "OVERWRITE" if replace else "INTO"
+    rows.sparkSession.sql(f"INSERT {verb} {name} ({named}) SELECT {named} FROM {view}")
+    rows.sparkSession.catalog.dropTempView(view)
+
+
+def add_columns(spark: SparkSession, name: str, columns: Mapping[str, str]) -> None:
+    """Add columns; rows that are there already read as their defaults."""
+    listed = ", ".join(f"`{c}` {kind}" for c, kind in columns.items())
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({listed})")
+
+
+def empty_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"TRUNCATE TABLE {name}")
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 

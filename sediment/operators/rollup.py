@@ -11,6 +11,8 @@ from sediment.functions import sketches
 from sediment.operators.aggregates import merge_states
 from sediment.sources.day_table import DayTable
 
+#: Standard error of a sketch of 2^14 registers, as a share.
+SKETCH_ERROR = 1.04 / 2**7
 ROLLUP_SCHEMA = (
     "event_date DATE, event_type STRING, event_count BIGINT, unique_users BIGINT, users BINARY"
 )
@@ -48,11 +50,20 @@ def add_states(
     return sorted(touched)
 
 
+def users_from_sketches(rollup: DataFrame, dims: Sequence[str], sketch: str = "users") -> DataFrame:
+    """``event_count, approx_users`` per ``dims``, coarser than the rollup, from its stored sketches alone."""
+    return rollup.groupBy(*dims).agg(
+        F.sum("event_count").alias("event_count"),
+        sketches.sketch_count(sketches.sketch_union(F.col(sketch))).alias("approx_users"),
+    )
+
+
 class RollupRouter:
     """Reads the rollup when it covers the question, else the base table.
 
     Counts add up over any subset of the rollup's dimensions. Exact distinct users are stored for the
-    rollup's own grain only; at another grain the base is read.
+    rollup's own grain only; at another grain the base is read. ``approx_users`` is estimated from the
+    stored sketches at every grain that the rollup covers, with a standard error of ``SKETCH_ERROR``.
     """
 
     def __init__(self, base: DataFrame, rollup: DataFrame, grain: Sequence[str]):
@@ -61,13 +72,18 @@ class RollupRouter:
     def covers(self, dims: Sequence[str], measures: Sequence[str]) -> bool:
         if not set(dims) <= set(self.grain):
             return False
-        return set(measures) == {"event_count"} or (
+        if "approx_users" in measures and "users" not in self.rollup.columns:
+            return False
+        return set(measures) <= {"event_count", "approx_users"} or (
             set(measures) <= {"event_count", "unique_users"} and set(dims) == set(self.grain)
         )
 
     def answer(self, dims: Sequence[str], measures: Sequence[str]) -> DataFrame:
         if not self.covers(dims, measures):
-            return daily_rollup(self.base, dims).select(*dims, *measures)
+            exact = daily_rollup(self.base, dims).withColumn("approx_users", F.col("unique_users"))
+            return exact.select(*dims, *measures)
+        if "approx_users" in measures:
+            return users_from_sketches(self.rollup, dims).select(*dims, *measures)
         if set(dims) == set(self.grain):
             return self.rollup.select(*dims, *measures)
         summed = self.rollup.groupBy(*dims).agg(F.sum("event_count").alias("event_count"))

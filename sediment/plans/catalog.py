@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sediment.plans import analytics, corrections, loading, scalars, streams, tables  # noqa: F401
+from sediment.plans import analytics, corrections, folders, loading, scalars, streams, tables  # noqa: F401
 from sediment.plans.registry import QUERIES
 from sediment.session import prepare
 

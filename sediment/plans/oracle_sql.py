@@ -650,6 +650,169 @@ SELECT {_hour("make_timestamp((vtime - vtime % 3600) * 1000000)")} AS hour, site
 FROM made GROUP BY vtime - vtime % 3600, site"""
 )
 
+ORACLES["stream_late_clicks"] = ORACLES["stream_hourly_clicks"]
+
 ORACLES["stream_first_arrivals"] = (
     _with(CLICKS) + "SELECT site, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS sum_ids FROM made GROUP BY site"
 )
+
+# Message logs, plain folders and streams that load them
+
+ORACLES["message_stream_bounds"] = """
+WITH log AS (SELECT event_id % 6 AS part, event_id // 6 AS off FROM events),
+share AS (SELECT ((max(event_id) // 6) + 1) // 4 + 1 AS n FROM events),
+starts AS (SELECT * FROM (VALUES (0, 7), (2, 0), (5, 3)) AS s(part, first))
+SELECT CAST((off - first) // n AS BIGINT) AS batch_id, CAST(log.part AS BIGINT) AS partition, min(off) AS first_offset,
+       max(off) AS last_offset, count(*) AS n_rows
+FROM log JOIN starts ON log.part = starts.part, share WHERE off >= first GROUP BY 1, 2"""
+
+# Of the messages with valid JSON those of users above 0; the others by the day of the message.
+ORACLES["load_to_folders"] = (
+    _with(CANONICAL)
+    + BY_DAY
+    + """, 'stored' AS kind FROM ce WHERE user_id > 0 AND event_id % 50 <> 0 GROUP BY event_date
+UNION ALL
+SELECT CAST(event_date AS VARCHAR), count(*), CAST(sum(event_id // 6) AS BIGINT), 'dead letters'
+FROM ce WHERE event_id % 50 = 0 GROUP BY event_date"""
+)
+ORACLES["replayed_batch"] = ORACLES["load_to_folders"]
+ORACLES["pause_and_resume"] = ORACLES["load_to_folders"]
+
+ORACLES["error_gate"] = """
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE user_id > 0 AND event_id % 50 <> 0) AS loaded_rows,
+       count(*) FILTER (WHERE event_id % 50 = 0) AS error_rows, true AS stopped, CAST(1 AS BIGINT) AS paused_batches FROM events"""
+
+ORACLES["job_status"] = """
+SELECT 'job_status' AS job_name, count(*) AS input_rows, true AS many_batches,
+       count(*) FILTER (WHERE event_id % 50 = 0) AS error_rows, CAST(6 AS BIGINT) AS partitions FROM events"""
+
+ORACLES["stream_newest_wins"] = ORACLES["upsert_events"]
+
+ORACLES["two_sources"] = (
+    _with(CANONICAL)
+    + """
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN cents + 100 ELSE cents END AS cents,
+       CASE WHEN event_id % 2 = 0 THEN 'files' ELSE 'events' END AS topic
+FROM ce WHERE event_id % 2 = 0 OR event_id % 50 <> 0"""
+)
+
+ORACLES["file_stream_rows"] = (
+    _with(CANONICAL)
+    + """
+SELECT event_type, CAST(event_id % 2 AS VARCHAR) AS half, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total_cents
+FROM ce GROUP BY 1, 2"""
+)
+
+ORACLES["load_files_once"] = (
+    _with(CANONICAL)
+    + """
+SELECT count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total_cents, CAST(1 AS BIGINT) AS failed_files, false AS loaded_twice FROM ce"""
+)
+
+ORACLES["user_lookup"] = (
+    _with(CANONICAL)
+    + """
+SELECT event_id, user_id, CAST(event_date AS VARCHAR) AS event_date FROM ce
+WHERE user_id IN (SELECT DISTINCT user_id FROM ce ORDER BY user_id LIMIT 5)"""
+)
+
+ORACLES["folder_removal_proof"] = (
+    _with(CANONICAL, STAGING)
+    + """
+SELECT user_id, count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_left
+FROM ce WHERE user_id IN (SELECT user_id FROM deletes) GROUP BY user_id
+UNION ALL SELECT CAST(-1 AS BIGINT), count(*), CAST(0 AS BIGINT) FROM ce WHERE user_id NOT IN (SELECT user_id FROM deletes)"""
+)
+
+ORACLES["folder_delete_user"] = ORACLES["delete_user"]
+
+ORACLES["folder_compact"] = (
+    _with(CANONICAL) + BY_DAY + ", CAST(1 AS BIGINT) AS files FROM ce GROUP BY event_date"
+)
+
+ORACLES["folder_report"] = (
+    _with(CANONICAL)
+    + """,
+written AS (
+  SELECT event_date, count(*) AS n, count(DISTINCT event_id % 2) AS files FROM ce GROUP BY event_date)
+SELECT 'p' || strftime(event_date, '%Y%m%d') AS partition_name, n AS row_count, files,
+       CASE WHEN files >= 3 THEN 'stop' WHEN files >= 2 THEN 'slow' ELSE 'ok' END AS level, true AS has_bytes FROM written"""
+)
+
+# A file a day: the days up to the 10th were registered, the 3rd was written anew, later days came after.
+ORACLES["folder_audit"] = (
+    _with(CANONICAL)
+    + """,
+days AS (SELECT DISTINCT event_date FROM ce),
+found AS (
+  SELECT 'ok' AS status FROM days WHERE day(event_date) <= 10 AND day(event_date) <> 3
+  UNION ALL SELECT 'orphan' FROM days WHERE day(event_date) > 10 OR day(event_date) = 3
+  UNION ALL SELECT 'missing' FROM days WHERE day(event_date) = 3)
+SELECT status, count(*) AS files FROM found GROUP BY status"""
+)
+
+ORACLES["expired_from_footers"] = (
+    _with(CANONICAL)
+    + """,
+dated AS (
+  SELECT event_date, CASE WHEN event_id = (SELECT min(event_id) FROM ce WHERE day(event_date) = 2) THEN NULL
+         WHEN day(event_date) <= 12 THEN least(eviction_date, event_date + 9) ELSE eviction_date END AS eviction_date FROM ce),
+days AS (
+  SELECT event_date, count(*) AS n, max(eviction_date) AS last FROM dated GROUP BY event_date
+  HAVING count(*) = count(eviction_date))
+SELECT true AS inclusive, CAST(event_date AS VARCHAR) AS event_date, n AS partition_rows, CAST(last AS VARCHAR) AS last_eviction
+FROM days WHERE last <= DATE '2024-01-20'
+UNION ALL
+SELECT false, CAST(event_date AS VARCHAR), n, CAST(last AS VARCHAR) FROM days WHERE last < DATE '2024-01-20'"""
+)
+
+ORACLES["delete_plan_bytes"] = (
+    _with(CANONICAL, STAGING)
+    + """,
+units AS (SELECT DISTINCT user_id, event_date FROM ce WHERE user_id IN (SELECT user_id FROM deletes)),
+crowd AS (SELECT event_date, count(*) AS users FROM units GROUP BY event_date),
+others AS (
+  SELECT a.user_id, count(DISTINCT b.user_id) - 1 AS n FROM units a JOIN units b USING (event_date) GROUP BY a.user_id)
+SELECT units.user_id AS "user", count(*) AS units, count(*) FILTER (WHERE users > 1) AS shared_units,
+       any_value(others.n) AS shared_users, true AS has_bytes
+FROM units JOIN crowd USING (event_date) JOIN others ON units.user_id = others.user_id GROUP BY units.user_id"""
+)
+
+ORACLES["rollup_sketch_users"] = (
+    _with(CANONICAL)
+    + """,
+grains AS (
+  SELECT CAST(event_date AS VARCHAR) AS grain, user_id FROM ce
+  UNION ALL SELECT strftime(event_date, '%Y%m') || '/' || event_type, user_id FROM ce
+  UNION ALL SELECT strftime(event_date, '%Y%m'), user_id FROM ce)
+SELECT grain, count(*) AS event_count, count(DISTINCT user_id) AS unique_users, true AS close FROM grains GROUP BY grain"""
+)
+
+ORACLES["decode_variant_paths"] = ORACLES["decode_json_paths"]
+
+ORACLES["sized_bucket_join"] = (
+    _with(CANONICAL)
+    + """,
+users AS (SELECT user_id, max(event_id) AS last_event FROM ce GROUP BY user_id)
+SELECT 'all' AS rows_of, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total_cents,
+       CAST(sum(last_event) AS BIGINT) AS last_events, true AS more_buckets FROM ce JOIN users USING (user_id)
+UNION ALL
+SELECT 'clicks', count(*), CAST(sum(cents) AS BIGINT), CAST(sum(last_event) AS BIGINT), true
+FROM ce JOIN users USING (user_id) WHERE event_type = 'click'"""
+)
+
+ORACLES["table_lifecycle"] = """
+WITH n AS (SELECT count(*) AS every, count(*) FILTER (WHERE event_id % 2 = 0) AS even FROM events)
+SELECT CAST(0 AS BIGINT) AS step, 'created' AS what, CAST(0 AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_new FROM n
+UNION ALL SELECT 1, 'inserted with defaults', even, even FROM n
+UNION ALL SELECT 2, 'inserted', every, even FROM n
+UNION ALL SELECT 3, 'column added', every, 0 FROM n
+UNION ALL SELECT 4, 'emptied', 0, 0 FROM n
+UNION ALL SELECT 5, 'dropped', 0, 0 FROM n"""
+
+ORACLES["two_phase_users"] = (
+    _with(CANONICAL)
+    + """
+SELECT event_type, count(*) AS n_rows, CAST(sum(cents) AS BIGINT) AS total_cents, count(DISTINCT user_id) AS unique_users
+FROM ce GROUP BY event_type"""
+)

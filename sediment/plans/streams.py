@@ -14,7 +14,7 @@ from sediment.sources import messages
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import decode_json
 from sediment.sources.files import ANY_AGE
-from sediment.streaming import ingest
+from sediment.streaming import ingest, stateful
 
 MESSAGE_FIELDS = "event_id BIGINT, user_id BIGINT, event_ts BIGINT, eviction_date DATE, cents BIGINT"
 
@@ -65,14 +65,31 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     return stored.unionByName(bad.withColumn("kind", F.lit("dead letters")))
 
 
+SLICES = 4
+
+
 def event_log(spark: SparkSession, folder: str) -> str:
-    """Events in at least four files, each with rows of all times, as a topic that was fed from many places."""
+    """Events in files that come one after the other in time, as a topic delivers them."""
     events, path = inputs.table(spark, folder, "events"), scratch_path(spark, "event-log")
-    mixed = events.orderBy(F.xxhash64("event_id"))
-    mixed.write.option("maxRecordsPerFile", max(1, events.count() // 4)).parquet(path)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        events.write.parquet(path)
+        return path
+    bounds = [first + (last - first) * k / SLICES for k in range(1, SLICES)]
+    number = sum((F.when(F.col("ts") >= F.lit(b).cast(events.schema["ts"].dataType), 1).otherwise(0) for b in bounds), F.lit(0))
+    for k in range(SLICES):
+        events.where(number == k).repartition(1).write.mode("append").parquet(path)
     return path
 
 
+def _past_the_end(spark: SparkSession, folder: str, log: str) -> None:
+    """One event two days after the last: it moves the watermark past all hours before it."""
+    events = inputs.table(spark, folder, "events")
+    mark = events.orderBy(F.desc("ts"), "event_id").limit(1)
+    later = (F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast(events.schema["ts"].dataType)
+    mark.withColumns({"event_id": F.lit(-1).cast("bigint"), "ts": later}).write.mode("append").parquet(log)
+
+
 def _click_stream(spark: SparkSession, folder: str, log: str) -> DataFrame:
     reader = spark.readStream.schema(inputs.table(spark, folder, "events").schema)
     source = reader.option("maxFilesPerTrigger", "1").option("maxFileAge", ANY_AGE).parquet(log)
@@ -81,8 +98,8 @@ def _click_stream(spark: SparkSession, folder: str, log: str) -> DataFrame:
     return made.withColumn("visited_at", F.timestamp_seconds("vtime"))
 
 
-def _collect_stream(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    root = scratch_path(spark, label)
+def _collect_stream(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    """Run to the end of what there is, or go on from there, and return all that was written so far."""
     writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
     _run(writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     return spark.read.schema(rows.schema).parquet(f"{root}/out")
@@ -90,32 +107,47 @@ def _collect_stream(spark: SparkSession, rows: DataFrame, label: str) -> DataFra
 
 @query
 def stream_hourly_clicks(spark: SparkSession, folder: str) -> DataFrame:
-    """All hours after several micro-batches, each of which brings rows of all times."""
-    clicks = _click_stream(spark, folder, event_log(spark, folder))
-    hours = ingest.hourly_counts(clicks, "visited_at", ["site"], delay=None)
-    root, last = scratch_path(spark, "hourly"), []
+    """Hours that the watermark, 90 minutes behind the newest click, has passed; their state is gone.
 
-    def snapshot(counts: DataFrame, batch: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{root}/{batch}")
-        last[:] = [batch]
-
-    writer = hours.writeStream.outputMode("complete").foreachBatch(snapshot)
-    _run(writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    kept = spark.createDataFrame([], hours.schema)
-    done = spark.read.schema(hours.schema).parquet(f"{root}/{last[0]}") if last else kept
-    return done.select(times.timestamp_text(F.col("hour")).alias("hour"), "site", "visits")
+    Clicks are up to 90 minutes late, so none is lost while the log comes in the order of time.
+    """
+    log = event_log(spark, folder)
+    root = scratch_path(spark, "hourly")
+    kept = None
+    for run in (1, 2):  # the second run resumes after the end mark came
+        hours = ingest.hourly_counts(_click_stream(spark, folder, log), "visited_at", ["site"])
+        kept = _collect_stream(spark, hours, root)
+        if run == 1:
+            _past_the_end(spark, folder, log)
+    return kept.select(times.timestamp_text(F.col("hour")).alias("hour"), "site", "visits")
 
 
 @query
-def stream_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """The click stream unioned with itself; the repeats are dropped.
+def stream_late_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a log in no order of time: what comes after its hour has ended is kept aside as late rows.
 
-    The stored log is in no order of time, so the delay spans it all.
+    Final counts and late rows add up to the counts of a batch, whichever rows were late.
     """
+    log, root = scratch_path(spark, "mixed-log"), scratch_path(spark, "late")
+    events = inputs.table(spark, folder, "events")
+    events.repartition(SLICES, F.xxhash64("event_id")).write.parquet(log)
+    kept = None
+    for run in (1, 2):
+        clicks = _click_stream(spark, folder, log).select("event_id", "site", "visited_at")
+        found = stateful.counts_and_late_rows(clicks, "visited_at", ["site"])
+        kept = _collect_stream(spark, found, root)
+        if run == 1:
+            _past_the_end(spark, folder, log)
+    return kept.groupBy(times.timestamp_text(F.col("hour")).alias("hour"), "site").agg(F.sum("visits").alias("visits"))
+
+
+@query
+def stream_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """The click stream unioned with itself; the repeats are dropped. Keys are remembered for two days."""
     log = event_log(spark, folder)
     copies = [_click_stream(spark, folder, log).withColumn("copy", F.lit(n)) for n in (1, 2)]
     once = ingest.first_arrivals(
-        copies[0].unionByName(copies[1]), ["event_id"], "visited_at", "3650 days", spread=["event_id", "copy"]
+        copies[0].unionByName(copies[1]), ["event_id"], "visited_at", "2 days", spread=["event_id", "copy"]
     )
-    kept = _collect_stream(spark, once, "first")
+    kept = _collect_stream(spark, once, scratch_path(spark, "first"))
     return kept.groupBy("site").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_ids"))

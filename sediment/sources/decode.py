@@ -116,6 +116,37 @@ def decode_json(
     return cast_fields(marked, schema, strict, text).drop("_json", "_doc")
 
 
+def decode_variant(
+    messages: DataFrame,
+    schema: str | T.StructType,
+    value: str = "value",
+    paths: Mapping[str, str] | None = None,
+    strict: bool = True,
+) -> DataFrame:
+    """JSON messages of unknown or changing layout to rows, parsed once into a ``VARIANT``.
+
+    ``paths`` as in ``decode_json``; array elements (``$.a[0].b``) may stand in them. A message that is no
+    JSON is malformed; a value that does not fit its type is an error, or null when not ``strict``.
+    """
+    parsed = _parse_once(messages, F.try_parse_json(value))
+    columns, bad = [], []
+    for field in _schema(schema).fields:
+        path = (paths or {}).get(field.name, f"$.{field.name}")
+        got = F.try_variant_get("_doc", path, field.dataType.simpleString())
+        columns.append(got.alias(field.name))
+        raw = F.try_variant_get("_doc", path, "variant")
+        bad.append(F.when(raw.isNotNull() & ~F.is_variant_null(raw) & got.isNull(), F.lit(field.name)))
+    names = F.concat_ws(", ", *bad)
+    wrong = F.when(F.length(names) > 0, F.concat(F.lit("bad value: "), names)) if strict else F.lit(None).cast("string")
+    error = F.when(F.col("_doc").isNull(), F.lit(MALFORMED)).otherwise(wrong)
+    return parsed.select(*messages.columns, *columns, error.alias("_error"))
+
+
+def variant_schema(messages: DataFrame, value: str = "value") -> str:
+    """The types found in all messages that are JSON, merged, as DDL; found in one pass."""
+    return messages.agg(F.schema_of_variant_agg(F.try_parse_json(value)).alias("found")).first()["found"]
+
+
 def _parse_schema(plain: Mapping[str, str]) -> T.StructType:
     struct = _text_struct(plain) if plain else T.StructType([])
     return T.StructType([*struct.fields, T.StructField("_bad", T.StringType())])

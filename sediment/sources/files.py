@@ -43,7 +43,7 @@ def file_stream(
     line_separator: str | None = None,
     outer_array: bool = False,
 ) -> DataFrame:
-    """Stream of new files, oldest first. ``_file`` and ``_modified`` tell where a row came from."""
+    """Stream of new files, oldest first. ``_file``, ``_modified`` and, for Parquet, ``_row`` tell where a row came from."""
     reader = (
         spark.readStream.format(fmt)
         .schema(schema)
@@ -56,22 +56,31 @@ def file_stream(
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    row = [F.col("_metadata.row_index").alias("_row")] if fmt == "parquet" else []
     return reader.load(path).select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_modification_time").alias("_modified"),
+        *row,
     )
 
 
-def as_messages(rows: DataFrame, topic: str = "files") -> DataFrame:
-    """Rows of a file stream in the columns of a message stream, so that one job can take both."""
-    body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("_file", "_modified")]))
+def as_messages(rows: DataFrame, topic: str = "files", sequence: str | None = None) -> DataFrame:
+    """Rows of a file stream in the columns of a message stream, so that one job can take both.
+
+    The offset says which of two rows of a file came later: the row's number in a Parquet file, else the
+    column ``sequence``, which has to rise within a file. Rows of one file and moment would tie without.
+    """
+    at = sequence or "_row"
+    if at not in rows.columns:
+        raise ValueError("name a column that rises within a file as sequence: only Parquet files have row numbers")
+    body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("_file", "_modified", "_row")]))
     return rows.select(
         F.col("_file").alias("key"),
         body.alias("value"),
         F.lit(topic).alias("topic"),
         F.lit(-1).alias("partition"),
-        F.lit(0).cast("bigint").alias("offset"),
+        F.col(at).cast("bigint").alias("offset"),
         F.col("_modified").alias("timestamp"),
     )
 
@@ -155,8 +164,8 @@ def load_new_files(
 
     ``load`` gets the paths and must be safe to repeat (an upsert is), because a job that dies between
     loading and the ledger entry loads the same files again. All files are entered as LOADING at the
-    start. If a group fails, its files are loaded one by one, so only the bad ones end as ERROR, with
-    the whole error text. Those are left alone until ``only`` names them.
+    start. If a group fails, it is halved until its bad files are found; these end as ERROR, with the
+    whole error text. Those are left alone until ``only`` names them.
     """
     now = as_of if as_of is not None else F.current_timestamp()
     listing = list_files(spark, path, glob)
@@ -181,14 +190,19 @@ def load_new_files(
 
 def _load_group(spark: SparkSession, group: list[tuple], load: Callable, now: Column, ledger_path: str) -> int:
     failed: dict[str, str] = {}
-    try:
-        load([path for path, _ in group])
-    except Exception:
-        for path, _ in group:
-            try:
-                load([path])
-            except Exception as problem:
-                failed[path] = str(problem)
+
+    def halves(paths: list[str]) -> None:
+        """A group that fails is cut in two until the bad files are found: a few jobs for each of them."""
+        try:
+            load(paths)
+        except Exception as problem:
+            if len(paths) == 1:
+                failed[paths[0]] = str(problem)
+            else:
+                halves(paths[: len(paths) // 2])
+                halves(paths[len(paths) // 2 :])
+
+    halves([path for path, _ in group])
     entries = [(path, modified, failed.get(path)) for path, modified in group]
     rows = spark.createDataFrame(entries, "path STRING, last_modified TIMESTAMP, error STRING")
     for state, chosen in (("LOADED", rows.where("error IS NULL")), ("ERROR", rows.where("error IS NOT NULL"))):

@@ -132,7 +132,7 @@ def test_files_and_topic_feed_one_table(spark, folder):
     os.makedirs(f"{folder}/in")
     with open(f"{folder}/in/a.json", "w") as f:
         f.write(body(2, cents=7) + "\n" + body(4) + "\n")
-    from_files = files.as_messages(files.file_stream(spark, f"{folder}/in", "json", FIELDS))
+    from_files = files.as_messages(files.file_stream(spark, f"{folder}/in", "json", FIELDS), sequence="event_id")
     job = load(spark, folder)
     job.start(ingest.one_stream(messages.replay_messages(spark, f"{folder}/log"), from_files)).awaitTermination()
     assert values(job.table.read().select("event_id", "cents"), "event_id") == [(1, 0), (2, 7), (4, 0)]
