@@ -65,7 +65,7 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     return stored.unionByName(bad.withColumn("kind", F.lit("dead letters")))
 
 
-SLICES = 4
+SLICES = 3
 
 
 def event_log(spark: SparkSession, folder: str) -> str:
@@ -112,13 +112,9 @@ def stream_hourly_clicks(spark: SparkSession, folder: str) -> DataFrame:
     Clicks are up to 90 minutes late, so none is lost while the log comes in the order of time.
     """
     log = event_log(spark, folder)
-    root = scratch_path(spark, "hourly")
-    kept = None
-    for run in (1, 2):  # the second run resumes after the end mark came
-        hours = ingest.hourly_counts(_click_stream(spark, folder, log), "visited_at", ["site"])
-        kept = _collect_stream(spark, hours, root)
-        if run == 1:
-            _past_the_end(spark, folder, log)
+    _past_the_end(spark, folder, log)
+    hours = ingest.hourly_counts(_click_stream(spark, folder, log), "visited_at", ["site"])
+    kept = _collect_stream(spark, hours, scratch_path(spark, "hourly"))
     return kept.select(times.timestamp_text(F.col("hour")).alias("hour"), "site", "visits")
 
 
