@@ -1,8 +1,10 @@
-"""Documents that hold a passage of a benchmark: shingles of windows of an item's size.
+"""Documents that hold a passage of a benchmark: SimHash windows of an item's size, found by Hamming blocks.
 
-Everything is DataFrame functions. Windows are placed at every start from which enough shingles of one
-item, in any order, lie within its length. The shingles themselves decide on every window; SimHash
-fingerprints only say how many bits it differs by.
+Everything is DataFrame functions. Windows of an item's size are placed at every start from which enough
+shingles of an item, in any order, lie within its length. Their fingerprints are cut into more blocks than
+bits may differ, so a window and an item within the radius agree in one block at least and meet in an
+equi-join on it; the weighted similarity of their shingles then decides. Windows with enough shingles of
+an item whose fingerprint is beyond the radius go to the same decision directly, so none is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from sediment.llm.bitmap import bitmap_of, bound
 from sediment.llm.common import ascii_lower, stored, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints may differ that meet by their blocks; one block more than that.
+RADIUS = 11
+EDGES = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
 #: Benchmark shingles up to which they are sent to every task.
 BROADCAST_ROWS = 500_000
 
-EMPTY_SCHEMA = "start bigint, n_words bigint, hamming int, similarity double"
+FOUND_SCHEMA = "start bigint, n_words bigint, hamming int, similarity double, route string"
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
@@ -34,16 +39,48 @@ def shingle_hashes(words: Column, size: int) -> Column:
 
 def fingerprint(words: Column) -> Column:
     """64 majority bits over the hashes of the words, each as often as it occurs."""
-
-    def bits(hashes: Column) -> Column:
+    long = lambda x: F.lit(x).cast("bigint")
+    mask = 0x0001000100010001
+
+    def lane_votes(hashes: Column, k: int) -> Column:
+        """Votes for the bits k, k + 16, k + 32 and k + 48, in four lanes of 16 bits."""
+        ones = F.transform(hashes, lambda h: F.shiftrightunsigned(h, k).bitwiseAND(long(mask)))
+        return F.aggregate(ones, long(0), lambda n, one: n + one)
+
+    def few(hashes: Column) -> Column:
+        def bit(k: int, lane: int, votes: Column) -> Column:
+            count = F.shiftrightunsigned(votes, 16 * lane).bitwiseAND(long(0xFFFF))
+            value = 1 << (k + 16 * lane)
+            return F.when(count * 2 > F.size(hashes), long(value - (1 << 64) if value >> 63 else value)).otherwise(long(0))
+
+        def row(votes: Column) -> Column:
+            out = long(0)
+            for k in range(16):
+                for lane in range(4):
+                    out = out.bitwiseOR(bit(k, lane, F.get(votes, F.lit(k))))
+            return out
+
+        return bound(F.array(*[lane_votes(hashes, k) for k in range(16)]), row)
+
+    def many(hashes: Column) -> Column:
         def bit(b: Column) -> Column:
             votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int") * 2 - 1)
-            return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+            return F.when(votes > 0, F.call_function("shiftleft", long(1), b)).otherwise(long(0))
 
         all_bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-        return F.aggregate(all_bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+        return F.aggregate(all_bits, long(0), lambda a, b: a.bitwiseOR(b))
+
+    # A lane counts to 65,535.
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < 65_536, few(h)).otherwise(many(h)))
 
-    return bound(F.transform(words, lambda w: F.xxhash64(w)), bits)
+
+def blocks(fp: Column) -> Column:
+    """``block, bits`` of a fingerprint: two that differ in ``RADIUS`` bits or fewer share one."""
+    parts = [
+        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
+        for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))
+    ]
+    return F.array(*parts)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -108,77 +145,104 @@ def leaks(
     Words are cut at white space and compared with A-Z in lower case. A window has as many words as
     the item (or is the whole text if that is shorter) and ``start`` counts words from 0. It is
     reported if the five-word shingles of both, repeats counted, have a weighted similarity of
-    ``similar`` or more; ``hamming`` counts the bits by which their word fingerprints differ and
-    decides nothing. Items with fewer than five words are one shingle. Null and empty texts and items have no windows; a null id is
+    ``similar`` or more; ``hamming`` counts the bits by which their word fingerprints differ, and
+    ``route`` says whether they met by ``blocks`` or, further apart, by shared ``shingles``. Items with fewer than five words are one shingle. Null and empty texts and items have no windows; a null id is
     kept as it is; ``text_hash`` tells rows with equal ids apart; repeated rows give one result. No
     items or no documents: no rows. Only the named columns are read.
     """
+    names = [f.split()[0] for f in FOUND_SCHEMA.split(", ")]
     items = stored(item_table(benchmark, item_col, item_text), "benchmark-items")
-    found = None
-    for row in items.groupBy("size").agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("size").collect():
-        some = _leaks_of_size(docs, items.where(F.col("size") == row["size"]), row, id_col, text_col, similar)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
+    sizes = items.groupBy("size").agg(F.min("n").alias("low"), F.max("n").alias("high")).orderBy("size").collect()
+    if not sizes:
         empty = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("text_hash")).where("false")
         kind = benchmark.schema[item_col].dataType
-        nulls = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in EMPTY_SCHEMA.split(", "))]
+        nulls = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in FOUND_SCHEMA.split(", "))]
         return empty.select("*", F.lit(None).cast(kind).alias("item"), *nulls)
-    best = F.min_by(F.struct(*[f.split()[0] for f in EMPTY_SCHEMA.split(", ")]), F.struct(-F.col("similarity"), "start"))
+    windows = _windows(docs, items, sizes, id_col, text_col, similar)
+    found = _checked(windows, _met_by_blocks(windows, items), items, similar)
+    best = F.min_by(F.struct(*names), F.struct(-F.col("similarity"), "start"))
     return found.groupBy("id", "text_hash", "item").agg(best.alias("best")).select("id", "text_hash", "item", "best.*")
 
 
-def _leaks_of_size(docs, items, sizes, id_col, text_col, similar) -> DataFrame:
-    """``leaks`` for items whose shingles have the same number of words."""
-    size, low, high = sizes["size"], sizes["low"], sizes["high"]
-    places = items.select("key", "n", F.explode("shingles").alias("h")).distinct()
+def _windows(docs: DataFrame, items: DataFrame, sizes: list, id_col: str, text_col: str, similar: float) -> DataFrame:
+    """``window, id, text_hash, start, n, size, shingles, fp, key``: windows with enough shingles of item ``key``.
+
+    One pass over the texts for all sizes of shingles; a window is cut out of its text before it meets
+    anything, so a text's words travel once for each item that it shares shingles with.
+    """
+    places = items.select("key", "n", "size", F.explode("shingles").alias("h")).distinct()
     keys = bitmap_of(places.select("h").distinct(), "h")
-    # A text that is shorter than the item shares less than a whole window, but no less than this.
-    least = max(1, math.ceil((low - size + 1) * similar - 1e-9))
     text = F.col(text_col).cast("string")
     words = words_of(ascii_lower(text))
 
-    def seeds(hashes: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(hashes) - 1)
-        passed = F.filter(at, lambda i: keys.may_hold(F.get(hashes, i)))
-        return F.transform(passed, lambda i: F.struct(i.alias("p"), F.get(hashes, i).alias("h")))
+    def seeds(w: Column, size: int, low: int, high: int) -> Column:
+        """The shingles of a text that may be an item's, if enough of them lie within the length of an item."""
+        # A text that is shorter than the item shares less than a whole window, but no less than this.
+        least = max(1, math.ceil((low - size + 1) * similar - 1e-9))
+
+        def passed(hashes: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: keys.may_hold(F.get(hashes, i)))
+            return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("p"), F.get(hashes, i).alias("h")))
+
+        def crowded(found: Column) -> Column:
+            runs = F.sequence(F.lit(0), F.size(found) - least)
+            near = F.exists(runs, lambda j: F.get(found, j + (least - 1))["p"] - F.get(found, j)["p"] < high)
+            return F.when(F.size(found) >= least, F.when(near, found))
 
-    def crowded(found: Column) -> Column:
-        """Enough of the benchmark's shingles lie within the length of an item."""
-        runs = F.sequence(F.lit(0), F.size(found) - least)
-        near = F.exists(runs, lambda j: F.get(found, j + (least - 1))["p"] - F.get(found, j)["p"] < high)
-        return F.when(F.size(found) >= least, F.when(near, found))
+        none = F.array().cast("array<struct<size: int, p: int, h: bigint>>")
+        return F.coalesce(bound(bound(shingle_hashes(w, size), passed), crowded), none)
 
     # All from the text in one expression: the filter is moved below this projection, and a column of
     # words would be computed anew for every word there.
-    marked = bound(bound(shingle_hashes(words, size), seeds), crowded)
+    marked = bound(words, lambda w: F.concat(*[seeds(w, r["size"], r["low"], r["high"]) for r in sizes]))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words.alias("w"), marked.alias("seeds"))
-    rows = rows.where("seeds IS NOT NULL")
+    rows = rows.where(F.size("seeds") > 0)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "benchmark-suspects")
 
-    # Windows: from every start with enough of one item's shingles. A shorter text is one window.
     n_places = places.count()
     asked = rows.select("row", F.size("w").alias("total"), F.explode("seeds").alias("s")).select("row", "total", "s.*")
-    joined = asked.join(F.broadcast(places) if n_places <= BROADCAST_ROWS else places, "h")
-    held = joined.groupBy("row", "key", "total", "n").agg(F.array_sort(F.collect_list("p")).alias("found"))
-    in_item = F.col("n") - (size - 1)
-    in_window = F.least(F.col("n"), F.col("total")) - (size - 1)
+    joined = asked.join(F.broadcast(places) if n_places <= BROADCAST_ROWS else places, ["size", "h"])
+    held = joined.groupBy("row", "key", "total", "n", "size").agg(F.array_sort(F.collect_list("p")).alias("found"))
+    in_item = F.col("n") - (F.col("size") - 1)
+    in_window = F.least(F.col("n"), F.col("total")) - (F.col("size") - 1)
     last = F.greatest(F.lit(0), F.col("total") - F.col("n"))
     starts = window_starts(F.col("found"), needed(in_window, in_item, similar), in_window, last)
-    windows = held.select("row", "key", F.explode(starts).alias("start"))
-    return _checked(windows, rows, items, size, similar)
-
-
-def _checked(windows: DataFrame, rows: DataFrame, items: DataFrame, size: int, similar: float) -> DataFrame:
-    """The windows ``row, key, start`` that are similar to their item, whatever their fingerprints."""
-    sized = windows.join(rows.select("row", "id", "text_hash", "w"), "row")
-    sized = sized.join(items.select("key", "item", "n", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles")), "key")
-    words = F.slice("w", F.col("start") + 1, F.col("n"))
-    likeness = similarity(shingle_hashes(words, size), F.col("item_shingles")).alias("similarity")
-    close = sized.select("id", "text_hash", "item", "n", "start", words.alias("words"), "item_fp", likeness)
-    close = close.where(F.col("similarity") >= similar)
+    placed = held.select("row", "key", "n", "size", starts.alias("starts")).where(F.size("starts") > 0)
+    cut = placed.join(rows.select("row", "id", "text_hash", "w"), "row")
+    cut = cut.select("id", "text_hash", "key", "n", "size", F.explode("starts").alias("start"), F.col("w"))
+    cut = cut.withColumn("words", F.slice("w", F.col("start") + 1, F.col("n"))).drop("w")
+    shingles = F.lit(None).cast("array<bigint>")
+    for r in sizes:
+        shingles = F.when(F.col("size") == r["size"], shingle_hashes(F.col("words"), r["size"])).otherwise(shingles)
+    windows = cut.select("id", "text_hash", "key", "n", "size", "start", shingles.alias("shingles"), fingerprint(F.col("words")).alias("fp"))
+    return stored(windows.withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
+
+
+def _met_by_blocks(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """``window, key`` of every window and item of its size whose fingerprints differ in ``RADIUS`` bits or fewer."""
+    once = windows.groupBy("id", "text_hash", "start", "n", "size").agg(F.min_by("fp", "window").alias("fp"), F.min("window").alias("window"))
+    sent = once.select("window", "n", "size", "fp", F.inline(blocks(F.col("fp"))))
+    there = items.select("key", "n", "size", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"))))
+    met = sent.join(there, ["n", "size", "block", "bits"])
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+    return met.where(near).select("window", "key").distinct()
+
+
+def _checked(windows: DataFrame, met: DataFrame, items: DataFrame, similar: float) -> DataFrame:
+    """The windows that are similar to an item: met by blocks, or by shingles beyond the radius."""
+    sides = items.select("key", "item", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int").alias("hamming")
+    columns = ["id", "text_hash", "item", "start", "n", "shingles", "item_shingles", apart]
+    own = windows.select("window", "id", "text_hash", "start", "n", "shingles", "fp")
+    by_blocks = met.join(own, "window").join(sides, "key").select(*columns, F.lit("blocks").alias("route"))
+    by_shingles = windows.join(sides, "key").select(*columns, F.lit("shingles").alias("route")).where(F.col("hamming") > RADIUS)
+    both = by_blocks.unionByName(by_shingles)
+    # From a generator, so that the costly similarity is not computed again in a filter.
+    likeness = bound(similarity(F.col("shingles"), F.col("item_shingles")), lambda s: F.when(s >= similar, F.array(s)))
+    close = both.select("*", F.explode(likeness).alias("similarity"))
     return close.select(
         "id", "text_hash", "item", F.col("start").cast("bigint").alias("start"), F.col("n").cast("bigint").alias("n_words"),
-        F.bit_count(fingerprint(F.col("words")).bitwiseXOR(F.col("item_fp"))).cast("int").alias("hamming"), "similarity",
+        "hamming", "similarity", "route",
     )
 
 

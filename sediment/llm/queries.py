@@ -40,7 +40,7 @@ def _held_out(id_col: str):
 @query
 def op1_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "hamming", "similarity")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "hamming", "similarity", "route")
 
 
 @query

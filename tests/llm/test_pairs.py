@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from helpers import empty_docs, lowered, odd_docs, shingles, weighted, words
 
 from sediment.llm import decontaminate, simhash_dups
@@ -181,12 +182,39 @@ def test_leaks_with_swapped_parts_and_short_texts_equal_brute_force(spark):
     assert {r.item: r.start for r in found.where("id = 0").collect()} == {0: 60, 20: 60}
 
 
-def test_blocks_hold_every_fingerprint_within_the_radius():
+def test_blocks_meet_every_fingerprint_within_the_radius(spark):
     rng = random.Random(5)
-    edges = [64 * k // 12 for k in range(13)]
-    for _ in range(500):
-        differ = sum(1 << b for b in rng.sample(range(64), 11))
-        assert any(differ >> a & ((1 << (b - a)) - 1) == 0 for a, b in zip(edges, edges[1:], strict=False))
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    own = [rng.getrandbits(64) for _ in range(300)]
+    other = [p ^ sum(1 << b for b in rng.sample(range(64), k % 14)) for k, p in enumerate(own)]
+    items = spark.createDataFrame([(k, 40, 5, signed(p)) for k, p in enumerate(own)], "key long, n int, size int, fp long")
+    windows = spark.createDataFrame([(k, k, 0, 0, 40, 5, signed(p)) for k, p in enumerate(other)], "window long, id long, text_hash long, start int, n int, size int, fp long")
+    met = {(r.window, r.key) for r in decontaminate._met_by_blocks(windows, items).collect()}
+    expected = {(i, j) for i, a in enumerate(other) for j, b in enumerate(own) if (a ^ b).bit_count() <= decontaminate.RADIUS}
+    assert met == expected and len(met) >= 250
+
+
+def test_fingerprints_are_majority_bits(spark):
+    rows = [(k, [f"w{k}-{j % 7}" for j in range(n)]) for k, n in enumerate((1, 2, 5, 300, 66_000))]
+    frame = spark.createDataFrame(rows, "k int, w array<string>")
+    for r in frame.select("w", decontaminate.fingerprint(F.col("w")).alias("fp"), F.transform("w", lambda x: F.xxhash64(x)).alias("h")).collect():
+        votes = [sum(h >> b & 1 for h in r.h) for b in range(64)]
+        assert r.fp % (1 << 64) == sum(1 << b for b, v in enumerate(votes) if 2 * v > len(r.h))
+
+
+def test_both_routes_find_leaks(spark):
+    """Passages within the radius meet by blocks; those with replaced ends, beyond it, by their shingles."""
+    rng = random.Random(16)
+    items, docs = [], []
+    for k in range(60):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        planted = item if k < 30 else item[:36] + [f"x{rng.randrange(10**6)}" for _ in range(4)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(["before", *planted, "after"])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id, r.item) for r in found) == [(k, k) for k in range(60)]
+    assert all((r.route == "blocks") == (r.hamming <= decontaminate.RADIUS) for r in found)
+    assert {r.route for r in found} == {"blocks", "shingles"}
 
 
 @pytest.mark.parametrize("docs, items", [(True, False), (False, True), (False, False)])
