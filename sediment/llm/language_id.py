@@ -17,6 +17,8 @@ from sediment.llm.common import fold_of, numbered_words, steps, texts_of
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (2, 3, 4), 0.5
 #: What a change of language costs between two words, in units of log probability.
 SWITCH = 12.0
+#: Words of a block of a long text.
+BLOCK_WORDS = 4096
 #: A script is a language's own if so large a share of its words is written in it.
 OWN_SCRIPT = 0.001
 STEP = 8 << 20
@@ -133,37 +135,84 @@ def word_scores(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarra
     return scores.astype(np.float32), scripts >= 0
 
 
-def best_paths(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
-    """The language of each word on the best path of each text; all texts advance together."""
-    sizes = np.diff(ends)
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = ends[:-1][order], sizes[order]
-    path = np.zeros(len(scores), np.uint8)
-    if not len(sizes) or not sizes[0]:
-        return path
-    # active[t]: texts with more than t words, which are the first ones
-    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
-    back = np.zeros(scores.shape, np.uint8)
-    value = scores[starts[: active[0]]].astype(np.float64)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
-    last = np.zeros(len(sizes), np.uint8)
-    for t in range(1, int(sizes[0])):
-        n = active[t]
-        if n < len(value):
-            last[n : len(value)] = value[n:].argmax(axis=1)
-            value = value[:n]
-        best = value.argmax(axis=1)
-        moved = value[np.arange(n), best][:, None] - switch
-        at = starts[:n] + t
-        change = moved > value
-        back[at] = np.where(change, best[:, None].astype(np.uint8), own)
-        value = np.maximum(value, moved) + scores[at]
-    last[: len(value)] = value.argmax(axis=1)
-    for t in range(int(sizes[0]) - 1, -1, -1):
+def _active(lengths: np.ndarray) -> np.ndarray:
+    """How many of the lengths, longest first, are more than t, for each t."""
+    return len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")
+
+
+def _advance(scores, starts, lengths, switch: float, values: np.ndarray, back: np.ndarray | None) -> np.ndarray:
+    """The values of the languages after runs of words that begin with ``values``; where each came from into ``back``."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, value, own = starts[order], values[order], np.arange(scores.shape[1])
+    for t, n in enumerate(_active(lengths[order]).tolist()):
+        now, at = value[:n], starts[:n] + t
+        best = now.argmax(axis=1)
+        moved = now[np.arange(n), best][:, None] - switch
+        if back is not None:
+            back[at] = np.where(moved > now, best[:, None], own)
+        value[:n] = np.maximum(now, moved) + scores[at]
+    out = np.empty_like(value)
+    out[order] = value
+    return out
+
+
+def _follow(back, path, starts, lengths, last) -> None:
+    """Write the paths of runs of words that end in the languages ``last``."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, last, active = starts[order], last[order], _active(lengths[order])
+    for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
         path[at] = last[:n]
         last[:n] = back[at, last[:n]]
+
+
+def _block_values(scores, cuts: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the blocks of a long text: the values before each, and the language that its best path ends in."""
+    kinds, n = scores.shape[1], len(cuts) - 1
+    # What a language before a block is worth to each language at its end, from one start at a time.
+    worth = np.empty((n, kinds, kinds))
+    before = np.where(np.eye(kinds, dtype=bool), 0.0, -1e30)
+    step = max(1, (1 << 22) // kinds**2)
+    for k in range(0, n, step):
+        some = slice(k, min(k + step, n))
+        m = some.stop - k
+        starts, lengths = (np.repeat(x[some], kinds) for x in (cuts[:-1], np.diff(cuts)))
+        worth[some] = _advance(scores, starts, lengths, switch, np.tile(before, (m, 1)), None).reshape(m, kinds, kinds)
+    values = np.zeros((n + 1, kinds))
+    for k in range(n):
+        values[k + 1] = (values[k][:, None] + worth[k]).max(axis=0)
+    last = np.empty(n, np.int64)
+    last[-1] = values[-1].argmax()
+    for k in range(n - 1, 0, -1):
+        last[k - 1] = (values[k] + worth[k][:, last[k]]).argmax()
+    return values[:-1], last
+
+
+def best_paths(scores: np.ndarray, ends: np.ndarray, switch: float, block: int = BLOCK_WORDS) -> np.ndarray:
+    """The language of each word on the best path of each text; all texts advance together.
+
+    A text of more than four blocks of words is cut into blocks, which advance together as well: the steps
+    are as many as a few blocks have words, however long a text is.
+    """
+    kinds = scores.shape[1]
+    small = np.min_scalar_type(max(kinds - 1, 1))
+    path, back = np.zeros(len(scores), small), np.zeros(scores.shape, small)
+    sizes = np.diff(ends)
+    short = sizes <= 4 * block
+    starts, lengths = [ends[:-1][short]], [sizes[short]]
+    values, lasts = [np.zeros((int(short.sum()), kinds))], []
+    for text in np.flatnonzero(~short).tolist():
+        cuts = np.append(np.arange(ends[text], ends[text + 1], block), ends[text + 1])
+        before, last = _block_values(scores, cuts, switch)
+        starts.append(cuts[:-1])
+        lengths.append(np.diff(cuts))
+        values.append(before)
+        lasts.append(last)
+    starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+    after = _advance(scores, starts, lengths, switch, np.concatenate(values), back)
+    last = np.concatenate([after[: int(short.sum())].argmax(axis=1), *lasts]) if len(starts) else np.zeros(0, np.int64)
+    _follow(back, path, starts, lengths, last)
     return path
 
 
@@ -207,7 +256,7 @@ def identify(
             ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=rows))))
             path = best_paths(scores[numbers], ends, switch)
             kinds = len(model.languages)
-            counts = np.bincount(text * kinds + path, minlength=rows * kinds).reshape(rows, kinds)
+            counts = np.bincount(text * kinds + path.astype(np.int64), minlength=rows * kinds).reshape(rows, kinds)
             total = counts.sum(axis=1)
             best = counts.argmax(axis=1)
             shares = counts[np.arange(rows), best] / np.maximum(total, 1)

@@ -59,8 +59,7 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_texts(docs, labels))
-    return quality_rules.judge(docs, ratios).withColumnRenamed("id", "doc_id")
+    return quality_rules.judge(docs, quality_rules.learn(docs, labels)).withColumnRenamed("id", "doc_id")
 
 
 @query

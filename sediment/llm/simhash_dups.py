@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import free_name, steps, stored, texts_of
+from sediment.llm.common import steps, stored, texts_of
 from sediment.llm.links import components, local_roots
 
 #: The fingerprint is seen as so many blocks; a tile's fingerprints have equal counts of bits in each.
@@ -88,7 +88,7 @@ def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
 
     Two fingerprints differ in at least as many bits as the counts of their blocks differ in sum, so
     all other pairs of tiles are skipped. Each tile is sent to the cells that its counts can reach
-    and that have tiles; the pairs are found by an equal cell.
+    and that have tiles; the pairs are found by an equal cell and part.
     """
     digit = [F.pmod(F.floor(F.col("cell") / BASE**b), F.lit(BASE)).cast("int") for b in range(BLOCKS)]
     offsets = near_offsets(radius)
@@ -103,12 +103,14 @@ def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
     sent = tiles.select(
         "fps", "part", F.col("cell").alias("from"), F.explode(F.array_compact(F.array(*moves))).alias("cell")
     )
-    there = F.broadcast(tiles.select("cell").distinct())  # at most CELLS rows
-    sent = sent.join(there, "cell", "left_semi").select("cell", "from", F.col("part").alias("q"), F.col("fps").alias("b"))
-    at = tiles.select("cell", F.col("part").alias("p"), F.col("fps").alias("a"))
+    # At most CELLS rows. A tile goes to each part of the other cell, so that no cell is one task's work.
+    there = F.broadcast(tiles.groupBy("cell").agg(F.max("part").alias("most")))
     own = F.col("cell") == F.col("from")
-    pairs = at.join(sent, "cell").where(~own | (F.col("p") <= F.col("q")))
-    return pairs.select("a", "b", (own & (F.col("p") == F.col("q"))).alias("same"))
+    parts = F.explode(F.sequence(F.lit(0), F.when(own, F.col("part")).otherwise(F.col("most"))))
+    sent = sent.join(there, "cell").select("cell", "from", F.col("part").alias("q"), F.col("fps").alias("b"), parts.alias("part"))
+    at = tiles.select("cell", "part", F.col("fps").alias("a"))
+    pairs = at.join(sent, ["cell", "part"])
+    return pairs.select("a", "b", (own & (F.col("part") == F.col("q"))).alias("same"))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -172,18 +174,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(named, "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(named, "fp").select("id", hexed, "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest id; all columns stay.
-
-    If this id is repeated, the row with the smallest hash of its text stays. Rows with a null id
-    cannot be named by a group and all stay.
-    """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("keep")).distinct()
-    named = docs.join(keep, docs[id_col] == keep["keep"], "left_semi")
-    rank = free_name(docs, "rank")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    named = named.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
-    return named.unionByName(docs.where(docs[id_col].isNull()))

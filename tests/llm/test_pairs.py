@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 from helpers import empty_docs, lowered, odd_docs, shingles, weighted, words
 
-from sediment.llm import decontaminate, simhash_dups
+from sediment.llm import decontaminate, similar_dups, simhash_dups
 from sediment.llm.links import components, local_roots
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,12 +84,88 @@ def test_components_of_a_star_a_chain_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def similar_components(texts, least=0.8):
+    """Smallest id reachable by links of texts whose sets of five-word shingles have this similarity."""
+    sets = {}
+    for doc_id, text in texts.items():
+        own = words(lowered(text))
+        sets[doc_id] = {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+    holders = {}
+    for doc_id, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(doc_id)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for doc_id, own in sets.items():
+        for other in {d for x in own for d in holders[x] if d > doc_id}:
+            common = len(own & sets[other])
+            if common >= least * (len(own) + len(sets[other]) - common) - 1e-9:
+                a, b = find(doc_id), find(other)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_similar_groups_equal_all_pairs(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    expected = similar_components({r.doc_id: r.text for r in docs.collect()})
+    found = {r.id: r.component_id for r in similar_dups.groups(docs).collect()}
+    assert found == expected and len(set(expected.values())) < len(expected)
+
+
+def test_edited_copies_are_found_in_hot_groups(spark, monkeypatch):
+    """Copies with edits around the bound, in tiles of a few: same groups as all pairs."""
+    monkeypatch.setattr(similar_dups, "TILE", 8)
+    monkeypatch.setattr(similar_dups, "SHINGLE_TILE", 5)
+    rng = random.Random(12)
+    texts = {}
+    for k in range(30):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 100, 300]))]
+        for copy in range(rng.choice([1, 2, 3, 40 if k == 3 else 2])):
+            edited = list(own)
+            for _ in range(0 if copy == 1 else rng.randint(0, len(own) // 40)):
+                edited[rng.randrange(len(own))] = f"x{rng.randrange(5000)}"
+            texts[len(texts)] = " ".join(edited)
+    texts |= {1000: "", 1001: None, 1002: "a b", 1003: "A  B", 1004: "a b c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.component_id for r in similar_dups.groups(docs).collect()} == similar_components(texts)
+
+
 def test_keep_one_keeps_columns_and_one_of_each(spark):
     docs = odd_docs(spark)
-    kept = simhash_dups.keep_one(docs)
+    kept = similar_dups.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 7, 8] and ids.count(None) == 1
+    assert similar_dups.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, "one two three four five six", "b", {"k": 1}), (1, "one two three four five six", "a", {"k": 2}), (1, "one two three four five six", "a", {"k": 0})]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string, more map<string, int>")
+        assert [(r.source, r.more) for r in similar_dups.keep_one(docs).collect()] == [("a", {"k": 0})]
+
+
+def test_tiles_of_one_hot_cell_are_paired_by_part(spark, monkeypatch):
+    """All fingerprints have equal counts of bits in each block, so they share a cell; it has many parts."""
+    monkeypatch.setattr(simhash_dups, "TILE", 16)
+    rng = random.Random(3)
+    prints = sorted({sum(sum(1 << (16 * b + k) for k in rng.sample(range(16), 2)) for b in range(4)) for _ in range(400)})
+    signed = [(int(np.uint64(p).view(np.int64)),) for p in prints]
+    tiles = simhash_dups.tiles_of(spark.createDataFrame(signed, "fp long"))
+    assert tiles.select("cell").distinct().count() == 1 and tiles.count() >= 20
+    n = tiles.count()
+    assert simhash_dups.tile_pairs(tiles, 4).where("same").count() == n
+    assert simhash_dups.tile_pairs(tiles, 4).count() == n * (n + 1) // 2
+    found = {r.node: r.root for r in components(simhash_dups.links_of(spark.createDataFrame(signed, "fp long"), 4)).collect()}
+    expected = simple_components({s[0]: p for s, p in zip(signed, prints, strict=True)}, 4)
+    assert {k: found.get(k, k) for k in expected} == expected
 
 
 def test_near_duplicates_of_odd_rows_and_of_none(spark):

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from helpers import empty_docs, odd_docs
-from test_pairs import brute_leaks, simple_components, simple_fingerprint
+from test_pairs import brute_leaks, similar_components
 from test_rows import simple_base, simple_private
 
 import __spark_entry__ as entry
@@ -21,11 +21,11 @@ def test_stages_keep_what_plain_python_keeps(spark):
     for r in docs.collect():
         n, *_, repeated = simple_base(r.text)
         assert not (r.doc_id in ids and (n < 50 or 2 * repeated > n))
-    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_texts(docs, table(spark, SMALL, "labels")))
-    assert ids == {r.id for r in quality_rules.judge(docs, ratios).where("kept").collect()}
+    model = quality_rules.learn(docs, table(spark, SMALL, "labels"))
+    assert ids == {r.id for r in quality_rules.judge(docs, model).where("kept").collect()}
 
     unique = stages["simhash_dups"](spark, good, SMALL).cache()
-    root = simple_components({r.doc_id: simple_fingerprint(r.text) for r in good.collect()}, 3)
+    root = similar_components({r.doc_id: r.text for r in good.collect()})
     assert sorted(r.doc_id for r in unique.collect()) == sorted(set(root.values()))
 
     clean = stages["decontaminate"](spark, unique, SMALL).cache()
