@@ -183,14 +183,14 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     order = widest(rows)
     packed = None
     for dim, dims in sorted(order.items()):
-        some = rows.where(F.size("values") == dim).withColumn("tile", F.lit(0).cast("bigint"))
+        some = rows.where(F.size("values") == dim).withColumn("tile", F.pmod("row", F.lit(1)))
         tiles, left = 1, rows.count() / TILE_ROWS
         for at in dims[:6]:
             if tiles >= left:
                 break
             some = _slabs(some, F.get("values", F.lit(at)), tiles)
             tiles *= SLABS
-        some = some.withColumns({"dim": F.lit(dim), "coordinates": F.array(*[F.lit(d) for d in dims])})
+        some = some.withColumns({"dim": F.size("values"), "coordinates": F.array(*[F.lit(d) for d in dims])})
         packed = some if packed is None else packed.unionByName(some)
     if packed is None:
         return rows.sparkSession.createDataFrame([], TILE_SCHEMA)
