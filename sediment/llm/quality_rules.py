@@ -37,6 +37,8 @@ COMPARABLE = 0.25
 COPIES = 10_000
 #: Weights of texts are whole numbers of this unit, so that sums do not depend on their order.
 UNIT = 1 << 20
+#: Text that one step of a task handles at once.
+STEP = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -107,23 +109,24 @@ class Model:
     thresholds: np.ndarray
 
 
-def _summed(rows: DataFrame, name: str, count) -> dict[int, int]:
-    """The sums that ``count(texts, weights, total)`` adds to an array in each task, by place; zeros are left out.
+def _summed(rows: DataFrame, places: int, count) -> np.ndarray:
+    """The ``places`` sums that ``count(texts, weights, total)`` adds to an array in each task.
 
-    ``rows``: text and its weight.
+    ``rows``: text and its weight. The driver gets the sums that are not zero.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(places, np.int64)
         for batch in batches:
-            for part in steps(batch, 0):
-                total = count(texts_of(part.column(0)), np.asarray(part.column(1), np.int64), total)
-        if total is not None:
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found].astype(np.int64))], ["place", "n"])
-
-    found = rows.mapInArrow(task, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias(name)).collect()
-    return {r["place"]: r[name] for r in found}
+            for part in steps(batch, 0, STEP):
+                count(texts_of(part.column(0)), np.asarray(part.column(1), np.int64), total)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["place", "n"])
+
+    found = rows.mapInArrow(task, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(places)
+    sums[found["place"].to_numpy()] = found["n"].to_numpy()
+    return sums
 
 
 def weighed(docs: DataFrame, copies: dict[int, int], text_col: str = "text") -> DataFrame:
@@ -150,20 +153,18 @@ def many_copies(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
 
 
 def gram_sums(rows: DataFrame, buckets: int, strata: Strata | None = None) -> np.ndarray:
-    """Weighted n-grams of each bucket; with ``strata``, texts weigh as their stratum does."""
+    """Weighted n-grams of each bucket; with ``strata``, a row of them for each stratum of texts."""
+    kinds = len(strata.weights) if strata is not None else 1
 
     def count(texts, weights, total):
-        total = np.zeros(buckets) if total is None else total
         grams, text = ngrams(*numbered_words(texts), buckets)
         if strata is not None:
-            weights = np.rint(weights * strata.weights[strata.of_texts(grams, text, len(texts))])
+            grams = grams + strata.of_texts(grams, text, len(texts))[text] * buckets
         # Whole numbers below 2^53 are exact in double precision.
-        return total + np.bincount(grams, weights[text], buckets)
+        total += np.bincount(grams, weights[text], len(total)).astype(np.int64)
 
-    sums = np.zeros(buckets)
-    for place, n in _summed(rows, "n", count).items():
-        sums[place] = n
-    return sums
+    sums = _summed(rows, kinds * buckets, count)
+    return sums.reshape(kinds, buckets) if strata is not None else sums
 
 
 def strata_of(raw: DataFrame, counts: np.ndarray) -> np.ndarray:
@@ -175,17 +176,13 @@ def strata_of(raw: DataFrame, counts: np.ndarray) -> np.ndarray:
     kinds = len(top)
 
     def count(texts, weights, total):
-        total = np.zeros(kinds * kinds, np.int64) if total is None else total
         grams, text = ngrams(*numbered_words(texts), len(place))
         own = place[grams]
         held = np.zeros((len(texts), kinds))
         held[text[own >= 0], own[own >= 0]] = 1
-        return total + np.rint((held * (weights // 1024)[:, None]).T @ held).astype(np.int64).ravel()
+        total += np.rint((held * (weights // 1024)[:, None]).T @ held).astype(np.int64).ravel()
 
-    together = np.zeros(kinds * kinds)
-    for at, n in _summed(raw, "n", count).items() if kinds else ():
-        together[at] = n
-    together = together.reshape(kinds, kinds)
+    together = _summed(raw, kinds * kinds, count).reshape(kinds, kinds)
     alone = together.diagonal()
     near = together / np.maximum(np.maximum(alone[:, None], alone[None, :]), 1)
     of_bucket, number = np.full(len(counts), -1), 0
@@ -217,20 +214,6 @@ def grouped(near: np.ndarray, least: float) -> list[list[int]]:
     return [sorted(g) for g in groups if g]
 
 
-def stratum_sums(rows: DataFrame, strata: Strata) -> np.ndarray:
-    """Weighted n-grams of the texts of each stratum."""
-
-    def count(texts, weights, total):
-        total = np.zeros(len(strata.weights)) if total is None else total
-        grams, text = ngrams(*numbered_words(texts), len(strata.of_bucket))
-        return total + np.bincount(strata.of_texts(grams, text, len(texts))[text], weights[text], len(strata.weights))
-
-    sums = np.zeros(len(strata.weights))
-    for place, n in _summed(rows, "n", count).items():
-        sums[place] = n
-    return sums
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> Model:
     """Ratios and threshold from all rows of ``docs`` and all with a label of quality 1.
 
@@ -242,13 +225,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     raw, good = weighed(docs, copies, text_col), weighed(trusted, many_copies(trusted, text_col), text_col)
     of_bucket = strata_of(raw, gram_sums(raw, buckets))
     strata = Strata(of_bucket, np.ones(of_bucket.max() + 2))
-    whole, own = stratum_sums(raw, strata), stratum_sums(good, strata)
+    raw_sums, seen = gram_sums(raw, buckets, strata), gram_sums(good, buckets, strata)
+    whole, own = raw_sums.sum(axis=1), seen.sum(axis=1)
     if not own.sum():
         return Model(np.zeros(buckets), strata, np.zeros(len(strata.weights)))
     share = (own / own.sum()) / np.maximum(whole / whole.sum(), 1e-300)
     strata.weights = np.where(share >= COMPARABLE, share, 1.0)
     strata.weights[-1] = 1.0
-    seen, raw_sums = gram_sums(good, buckets), gram_sums(raw, buckets, strata)
+    seen, raw_sums = seen.sum(axis=0), (raw_sums * strata.weights[:, None]).sum(axis=0)
     expected = raw_sums * (seen.sum() / max(raw_sums.sum(), 1))
     smoothing = SMOOTHING * seen.sum() / buckets
     ratios = np.log((seen + smoothing) / (expected + smoothing))
@@ -260,7 +244,7 @@ def _thresholds(trusted: DataFrame, text_col: str, strata: Strata, seen: np.ndar
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 0):
+            for part in steps(batch, 0, STEP):
                 texts = texts_of(part.column(0))
                 words, numbers, ends = numbered_words(texts)
                 grams, text = ngrams(words, numbers, ends, len(seen))
@@ -330,7 +314,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, 1, STEP):
                 base, *rest = verdicts(texts_of(part.column(1)), model)
                 columns = [part.column(0), *map(pa.array, [*base.T.copy(), *rest])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", *counts, "base_failed", "score", "kept"])
@@ -352,7 +336,7 @@ def only_kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
     def pass_good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, column):
+            for part in steps(batch, column, STEP):
                 *_, kept = verdicts(texts_of(part.column(column)), model)
                 yield part.filter(pa.array(kept))
 
