@@ -109,39 +109,36 @@ class Model:
     thresholds: np.ndarray
 
 
-def _summed(rows: DataFrame, places: int, count) -> np.ndarray:
+def _summed(rows: Weighed, places: int, count) -> np.ndarray:
     """The ``places`` sums that ``count(texts, weights, total)`` adds to an array in each task.
 
-    ``rows``: text and its weight. The driver gets the sums that are not zero.
+    The driver gets the sums that are not zero.
     """
+    frame, copies = rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(places, np.int64)
         for batch in batches:
             for part in steps(batch, 0, STEP):
-                count(texts_of(part.column(0)), np.asarray(part.column(1), np.int64), total)
+                weights = [max(1, UNIT // copies.get(h, 1)) for h in part.column(1).to_pylist()]
+                count(texts_of(part.column(0)), np.array(weights, np.int64), total)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["place", "n"])
 
-    found = rows.mapInArrow(task, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = frame.mapInArrow(task, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(places)
     sums[found["place"].to_numpy()] = found["n"].to_numpy()
     return sums
 
 
-def weighed(docs: DataFrame, copies: dict[int, int], text_col: str = "text") -> DataFrame:
-    """``text, weight``: the texts of many copies share the weight of one."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h"))
-    if not copies:
-        return rows.select("text", F.lit(UNIT).cast("bigint").alias("weight"))
+#: Texts with their hashes, and the rows of those hashes that have many.
+Weighed = tuple[DataFrame, dict[int, int]]
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            weights = [max(1, UNIT // copies.get(h, 1)) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.int64())], ["text", "weight"])
 
-    return rows.mapInArrow(share, "text string, weight bigint")
+def weighed(docs: DataFrame, copies: dict[int, int], text_col: str = "text") -> Weighed:
+    """Texts of which those with many copies share the weight of one."""
+    text = F.col(text_col).cast("string")
+    return docs.select(text.alias("text"), F.xxhash64(text).alias("h")), copies
 
 
 def many_copies(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
@@ -152,7 +149,7 @@ def many_copies(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return {r["h"]: r["n"] for r in counts.where(F.col("n") > least).collect()}
 
 
-def gram_sums(rows: DataFrame, buckets: int, strata: Strata | None = None) -> np.ndarray:
+def gram_sums(rows: Weighed, buckets: int, strata: Strata | None = None) -> np.ndarray:
     """Weighted n-grams of each bucket; with ``strata``, a row of them for each stratum of texts."""
     kinds = len(strata.weights) if strata is not None else 1
 
@@ -167,7 +164,7 @@ def gram_sums(rows: DataFrame, buckets: int, strata: Strata | None = None) -> np
     return sums.reshape(kinds, buckets) if strata is not None else sums
 
 
-def strata_of(raw: DataFrame, counts: np.ndarray) -> np.ndarray:
+def strata_of(raw: Weighed, counts: np.ndarray) -> np.ndarray:
     """The stratum of each bucket, -1 for most: groups of the most frequent ones that stand in the same texts."""
     top = np.argsort(-counts, kind="stable")[:FREQUENT]
     top = top[counts[top] > 0]
