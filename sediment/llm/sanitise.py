@@ -2,8 +2,9 @@
 
 Everything is DataFrame functions. Patterns find the protected entities. The corpus tells how much of
 an entity's information a term carries: the pointwise mutual information of term and entity, over
-lines as contexts, against the information of the entity itself. Terms above a threshold are taken
-out like the entities.
+lines as contexts, against the information of the entity itself. Few sightings weigh less, by a lower
+confidence bound, but no number of them is too small. Terms above a threshold are taken out like the
+entities.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from sediment.llm.common import stored
 
 #: A term discloses an entity from this share of the entity's information on ...
 DISCLOSES = 0.8
-#: ... if they stand together in so many different lines.
-SUPPORT = 3
-TERM_LETTERS = 3
+#: ... when the share of its lines that hold the entity is taken at the lower end of a one-sided 95 % interval.
+CONFIDENCE = 1.645
+#: A longer line is cut at white space into contexts of at most so many code points.
+CONTEXT = 2000
 #: The first count of a term looks at the lines of one hash in so many.
 PART = 16
 KINDS = ("email", "ip", "card", "phone")
@@ -117,10 +119,17 @@ def any_gate(text: Column) -> Column:
     return out
 
 
+def contexts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``line`` of every text, repeats included; long ones in pieces that depend on the line alone."""
+    whole = F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")
+    cut = F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{CONTEXT}}}(?=\s|\z)|.{{1,{CONTEXT}}}"), F.lit(0))
+    pieces = F.when(F.length("line") > CONTEXT, cut).otherwise(F.array("line"))
+    return docs.select(whole).select(F.explode(pieces).alias("line"))
+
+
 def entity_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """``line, entities, terms`` of the different lines with an entity; no match crosses a line's end."""
-    text = F.col(text_col).cast("string")
-    lines = docs.where(any_gate(text)).select(F.explode(F.split(text, "\n")).alias("line"))
+    """``id, entities, terms`` of the different lines with an entity; no match crosses a line's end."""
+    lines = contexts(docs.where(any_gate(F.col(text_col).cast("string"))), text_col)
     lines = lines.where(any_gate(F.col("line"))).select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])
 
     def named(m: Column) -> Column:
@@ -135,32 +144,46 @@ def entity_lines(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    """The different runs of letters of a text in lower case, three letters or more."""
+    """The different runs of letters of a text in lower case; how rare one is decides, not its length."""
     runs = F.split(F.lower(text), NOT_LETTERS)
-    return F.array_distinct(F.filter(runs, lambda t: F.length(t) >= TERM_LETTERS))
+    return F.array_distinct(F.filter(runs, lambda t: t != ""))
+
+
+def _sure_part(hits: Column, n: Column, z: float) -> Column:
+    """The lower end of the score interval of the share ``hits / n``."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def _most_lines(hits: Column, part: Column, z: float) -> Column:
+    """The largest n, not rounded, for which the lower end of ``hits / n`` is still ``part``."""
+    spread = z * F.sqrt(part * (1 - part))
+    root = (F.sqrt(spread * spread + 4 * part * hits) - spread) / (2 * part)
+    return root * root * (1 + 1e-9)
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", discloses: float = DISCLOSES, support: int = SUPPORT) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", discloses: float = DISCLOSES, confidence: float = CONFIDENCE) -> DataFrame | None:
     """``term, share``: the terms that disclose an entity; None if none comes into question.
 
-    share = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)), the largest over the entities e. n counts
-    different lines with the entity, with both, and with the term, N all lines with a letter. Lines
-    that repeat count once in each but N.
+    share = log(p N / n(e)) / log(N / n(e)), the largest over the entities e, where p is the lower end
+    of the score interval, ``confidence`` deviations wide, of n(t,e) / n(t). n counts different lines
+    with the entity, with both, and with the term, N different lines with a letter. An entity that is
+    in all N lines has no information to disclose. No count is too small to be weighed: a name seen
+    once, beside an address seen once, discloses it if N is large enough.
     """
     lines = stored(entity_lines(docs, text_col), "entity-lines")
+    total = contexts(docs, text_col).where(F.col("line").rlike(r"\p{L}")).select(F.xxhash64("line")).distinct().count()
     entities = lines.select("id", F.explode("entities").alias("entity"))
-    often = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    ready = entities.join(often, "entity").select("id", "entity", "n_e")
+    known = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < total)
+    ready = entities.join(known, "entity").select("id", "entity", "n_e")
     pairs = ready.join(lines.select("id", "terms"), "id").select("entity", "n_e", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.count(F.lit(1)).alias("n_te"))
-    pairs = pairs.where(F.col("n_te") >= support)
-    total = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line")).where(F.col("line").rlike(r"\p{L}")).count()
     # n(t) is at least the number of lines with an entity that hold t, and at least that of all lines
     # with certain hashes. Where one of these alone makes the share too small, as for every common
     # word, the term need not be counted in the whole corpus. No term is lost by this.
     held = lines.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     rarity = F.lit(float(total)) / F.col("n_e")
-    most = F.col("n_te") * rarity / F.pow(rarity, F.lit(discloses)) * (1 + 1e-9)
+    most = _most_lines(F.col("n_te"), F.pow(rarity, F.lit(discloses - 1)), confidence)
     pairs = pairs.withColumn("most", most).join(held, "term").where("least <= most").drop("least")
     pairs = stored(pairs, "entity-terms")
     for part in (PART, 1):
@@ -173,7 +196,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", discloses: float =
             few = pairs.join(counted, "term", "left").where("coalesce(n_t, 0) <= most").drop("n_t")
             pairs = stored(few, "entity-terms")
     together = pairs.join(counted, "term")
-    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    share = F.log(_sure_part(F.col("n_te"), F.col("n_t"), confidence) * rarity) / F.log(rarity)
     found = together.select("term", share.alias("share")).where(F.col("share") >= discloses)
     return stored(found.groupBy("term").agg(F.max("share").alias("share")), "disclosing-terms")
 
@@ -183,7 +206,7 @@ def corpus_counts(docs: DataFrame, text_col: str, wanted: DataFrame, bitmap: Bit
 
     With ``part``, only of the lines whose hash is a multiple of it.
     """
-    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
+    lines = contexts(docs, text_col)
     if part > 1:
         lines = lines.where(F.pmod(F.xxhash64("line"), F.lit(part)) == 0)
     passed = F.filter(terms_of(F.col("line")), lambda t: bitmap.may_hold(F.xxhash64(t)))
@@ -209,7 +232,7 @@ def find(
     id_col: str = "doc_id",
     text_col: str = "text",
     discloses: float = DISCLOSES,
-    support: int = SUPPORT,
+    confidence: float = CONFIDENCE,
     carry: bool = False,
 ) -> DataFrame:
     """``id, base, spans`` and, with ``carry``, ``row`` (all columns as a struct) for every row.
@@ -219,7 +242,7 @@ def find(
     exclusive, ordered by start and then kind. Null texts count as empty ones and have none. Ids may
     be null or repeat. An empty table gives no rows.
     """
-    terms = disclosing_terms(docs, text_col, discloses, support)
+    terms = disclosing_terms(docs, text_col, discloses, confidence)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = _with_terms(docs.select(F.col(id_col).alias("id"), text.alias("text"), *row), terms)

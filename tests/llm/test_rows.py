@@ -249,9 +249,57 @@ def test_terms_that_reveal_an_address_are_hidden_everywhere(spark):
     assert texts[0] == texts[501] == "call [TERM] at [EMAIL] about itemaaa"
     assert texts[500] == "[TERM] wrote; xaverias did not"
     shares = {r.term: r.share for r in sanitise.disclosing_terms(docs).collect()}
-    total = 309 + 1
     assert set(shares) == {"xaveria"}
-    assert shares["xaveria"] == pytest.approx(np.log(8 * total / (9 * 8)) / np.log(total / 8))
+    assert shares["xaveria"] == pytest.approx(simple_shares([r[1] for r in rows])["xaveria"])
+
+
+def simple_shares(texts, z=sanitise.CONFIDENCE, size=sanitise.CONTEXT):
+    """Shares of all terms, counted one by one."""
+    lines = {line for t in texts if t for line in t.split("\n")}
+    pieces = {p for line in lines for p in ([line] if len(line) <= size else re.findall(rf"(?s).{{1,{size}}}(?=\s|\Z)|.{{1,{size}}}", line))}
+    total = sum(bool(re.search(r"[^\W\d_]", p)) for p in pieces)
+    n_t, n_e, n_te = (collections.Counter() for _ in range(3))
+    for piece in pieces:
+        terms, rest, own = {t for t in re.split(r"[\W\d_]+", piece.lower()) if t}, piece, set()
+        for kind, p in PATTERNS:
+            hits = [m.group() for m in re.finditer(p, piece) if valid(kind, m.group())]
+            own |= {(kind, h.lower() if kind == "email" else h if kind == "ip" else re.sub("[^0-9]", "", h)) for h in hits}
+            rest = re.sub(p, " ", rest)
+        n_t.update(terms)
+        n_e.update(own)
+        n_te.update((e, t) for e in own for t in {t for t in re.split(r"[\W\d_]+", rest.lower()) if t})
+    shares = {}
+    for (e, t), k in n_te.items():
+        n, p = n_t[t], k / n_t[t]
+        low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if n_e[e] < total:
+            shares[t] = max(shares.get(t, -9), np.log(low * total / n_e[e]) / np.log(total / n_e[e]))
+    return shares
+
+
+def test_rare_names_are_found_and_common_words_stay(spark):
+    rng = random.Random(5)
+    common = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu") for b in ("ran", "sel", "tim", "vod", "wix", "yor")]
+    names = [f"{a}{b}{c}" for a in ("zor", "qui", "xan") for b in "aeiouy" for c in ("ph", "lk", "rt", "mb", "gg")] + ["li", "李明", "q"]
+    rows = [" ".join(rng.choices(common, k=12)) for _ in range(6000)]
+    planted = {}
+    for k, name in enumerate(names):
+        together, apart = 1 + k % 3, k % 4 // 3
+        planted[name] = (together, apart)
+        rows += [f"{rng.choice(common)} {name} {rng.choice(common)} {k}.{name if name.isascii() else 'm'}@mail{k}.org {' '.join(rng.choices(common, k=8))}" for _ in range(together)]
+        rows += [f"{' '.join(rng.choices(common, k=9))} {name.upper()}" for _ in range(apart)]
+    rows += [rows[-1]] * 2000  # copies of a line change no count
+    rows += [" ".join(rng.choices(common, k=900)) + " 10.0.0.7 zelig " + " ".join(rng.choices(common, k=900))] * 2 + ["x" * 4500 + " 10.9.9.9"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)] + [(-1, None), (-2, "")], "doc_id long, text string")
+    want = {t: v for t, v in simple_shares(rows).items() if v >= sanitise.DISCLOSES}
+    got = {r.term: r.share for r in sanitise.disclosing_terms(docs).collect()}
+    assert got == pytest.approx(want) and "zelig" in got
+    assert not set(common) & set(got)
+    once_only = [n for n, (_, apart) in planted.items() if not apart]
+    assert len(once_only) > 60 and set(once_only) <= set(got)
+    assert len(set(planted) & set(got)) >= 0.9 * len(planted)
+    texts = {r.doc_id: r.text for r in sanitise.sanitise(docs).collect()}
+    assert all(texts[k] == rows[k] for k in range(6000))
 
 
 def test_licences_in_sentences(spark):
