@@ -337,15 +337,68 @@ Unless required by applicable law''',
 }
 
 
-def test_licences_in_real_notices_wrapped_and_not(spark):
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+DISCLAIM = '''
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT'''
+NOTICES |= {
+    "BSD-2-Clause": BSD + DISCLAIM,
+    "BSD-3-Clause": BSD + ENDORSE + DISCLAIM,
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "SPDX-License-Identifier: Zlib",
+}
+
+
+def planted_notices():
     rows = []
     for name, text in NOTICES.items():
-        wrapped = "\n\n".join(textwrap.fill(p, 60) for p in text.split("\n\n"))
-        comment = "/*\n" + "\n".join(" * " + line for line in wrapped.split("\n"))
-        rows += [(name, text), (name, wrapped), (name, "Copyright 2020 Somebody\n" + wrapped), (name, comment)]
-    rows += [("MIT", "Licensed under the MIT License\nand a line more"), ("none", "Licensed under\n\nthe MIT License")]
+        for width in (30, 60, 77):
+            wrapped = "\n\n".join(textwrap.fill(p.strip(), width) for p in text.split("\n\n"))
+            comment = "/*\n" + "\n".join(" * " + line for line in wrapped.split("\n"))
+            rows += [(name, text), (name, wrapped), (name, "Copyright 2020 Somebody\n" + wrapped), (name, comment)]
+    return rows + [("MIT", "Licensed under the MIT License\nand a line more"), ("none", "Licensed under\n\nthe MIT License"), (None, None), ("none", "")]
+
+
+def test_licences_in_real_notices_wrapped_and_not(spark):
+    rows = planted_notices()
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert [(r.id, r.license) for r in found if r.id != r.license] == [] and len(found) == len(rows)
+    assert [(r.id, r.license) for r in found if r.id != r.license and r.id] == [] and len(found) == len(rows)
+
+
+def test_licence_sql_cuts_wrapped_notices_alike(spark):
+    rows = planted_notices()
+    rows += [("mixed", "\n".join(t for _, t in rows[k : k + 5] if t)) for k in range(0, len(rows), 3)]
+    rows += [("marks", "a.. ; \x0b? Licensed under the MIT License.\n \nAll\n\n--\nrights.\nAll\n*\nrights reserved"), ("words", "x.-y a--b SPDX-License-Identifier: MIT\nSPDX-License-Identifier:\nMIT")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = db.execute(f"SELECT doc_id, sentences, licenses, license FROM ({ORACLES['op7_license_scan']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in license_scan.scan(docs).collect())
+
+
+def test_licence_tables_of_any_size(spark, monkeypatch):
+    many = {f"word{k} second third{k % 7}": f"id-{k}" for k in range(3000)} | {"alone": "single", "alone again": "double"}
+    rules = spark.createDataFrame([(0, "Both", "later", ["id-7", "double"]), (1, "One", "next", ["single"]), (2, None, "next", ["single"])], "rank int, license string, how string, wanted array<string>")
+    docs = spark.createDataFrame([(1, "Word7, second\nthird0. Alone\nagain"), (2, "alone"), (2, "alone"), (3, "alone\nalone again?"), (None, "word8 second third1")], "doc_id int, text string")
+    want = [("1", "id-7,double", "Both"), ("2", "single", "One"), ("2", "single", "One"), ("3", "single,double", "One"), ("None", "id-8", "unknown")]
+    for size in (license_scan.BROADCAST_BYTES, 10):
+        monkeypatch.setattr(license_scan, "BROADCAST_BYTES", size)
+        found = license_scan.scan(docs, sentences=license_scan.sentence_table(spark, many), rules=rules).collect()
+        assert sorted((str(r.id), r.sentences, r.license) for r in found) == want
+    none = license_scan.scan(docs, sentences=license_scan.sentence_table(spark).where("false")).collect()
+    assert [r.license for r in none] == ["none"] * 5
 
 
 def test_url_rules(spark):
