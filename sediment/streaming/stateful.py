@@ -96,7 +96,7 @@ def counts_and_late_rows(
 class NewestRow(StatefulProcessor):
     """Hands out a key's newest row of a batch if it is newer than all that came before."""
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], ttl_ms: int | None):
+    def __init__(self, schema: T.StructType, order: Sequence[str], ttl_ms: int):
         self.schema, self.order, self.ttl_ms = schema, [schema.names.index(c) for c in order], ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -128,12 +128,17 @@ def newest_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], keep:
     """
     spark = rows.sparkSession
     keep_state_in_rocksdb(spark)
-    ttl = None
-    if keep is not None:
-        amount, unit = keep.split()
-        ttl = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1000
+    if keep is None:
+        # The time of the batch is the same in all its rows, and another one in every batch.
+        marked = rows.withColumn("_came", F.current_timestamp())
+        earlier = (-F.unix_micros("_came")).alias("_earlier")  # of equal rows, that of the earlier batch is kept
+        newest = F.max_by(F.struct(*marked.columns), F.struct(*order, earlier)).alias("_newest")
+        found = marked.groupBy(*key).agg(newest).select("_newest.*")
+        return found.where(F.col("_came") == F.current_timestamp()).drop("_came")
+    amount, unit = keep.split()
+    ttl = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1000
     processor = NewestRow(rows.schema, order, ttl)
-    return rows.groupBy(*key).transformWithState(processor, rows.schema, "update", "processingTime" if ttl else "none")
+    return rows.groupBy(*key).transformWithState(processor, rows.schema, "update", "processingTime")
 
 
 def latest_changes(changes: DataFrame, key: Sequence[str], batch: Column) -> DataFrame:
