@@ -93,38 +93,54 @@ def counts_and_late_rows(
     return found.select(hours, *by, "kind", "visits", *[F.col(f"row_{c}") for c in rows.columns])
 
 
-class NewestRow(StatefulProcessor):
-    """Hands out a key's newest row of a batch if it is newer than all that came before."""
+class NewestRows(StatefulProcessor):
+    """Hands out a key's newest row of a batch if it is newer than all that came before.
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], ttl_ms: int):
-        self.schema, self.order, self.ttl_ms = schema, [schema.names.index(c) for c in order], ttl_ms
+    A state value holds the newest rows of all keys of a slot, each with the time when it is forgotten, so
+    that a call to the state store serves many keys. The slot itself ends with the last of them.
+    """
+
+    def __init__(self, schema: T.StructType, key: Sequence[str], order: Sequence[str], ttl_ms: int):
+        self.schema, self.ttl_ms = schema, ttl_ms
+        self.key, self.order = ([schema.names.index(c) for c in some] for some in (key, order))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", self.schema, self.ttl_ms)
+        entry = T.StructType([*self.schema.fields, T.StructField("_until", T.LongType())])
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("rows", T.ArrayType(entry))]), self.ttl_ms)
 
     def _rank(self, row: Sequence) -> tuple:
         return tuple((row[k] is not None, row[k]) for k in self.order)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = max((tuple(row[name] for name in self.schema.names) for row in rows), key=self._rank, default=None)
-        if best is None:
-            return
-        if not self.newest.exists() or self._rank(best) > self._rank(self.newest.get()):
-            self.newest.update(best)
-            yield Row(**dict(zip(self.schema.names, best, strict=True)))
+        now, names = timerValues.getCurrentProcessingTimeInMs(), self.schema.names
+        kept = self.newest.get() if self.newest.exists() else None
+        held = {tuple(r[k] for k in self.key): tuple(r) for r in (kept[0] if kept else ()) if r[-1] > now}
+        changed = {}
+        for row in rows:
+            row = (*[row[name] for name in names], now + self.ttl_ms)
+            name = tuple(row[k] for k in self.key)
+            if name not in held or self._rank(row) > self._rank(held[name]):
+                held[name] = changed[name] = row
+        if changed:
+            self.newest.update(([*held.values()],))
+        for row in changed.values():
+            yield Row(**dict(zip(names, row[:-1], strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def newest_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], keep: str | None = None) -> DataFrame:
+def newest_rows(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], keep: str | None = None, slots: int = 1 << 14
+) -> DataFrame:
     """A stream of changes: the newest row of each key, whenever a batch brings one.
 
     ``order`` says which of two rows is newer, a null first; it should not tie. A batch gives at most one
     row for a key, and only one newer than all before, so the row of the last batch is the key's row.
     ``keep`` (``7 days``) is how long a key that gets no new row is remembered; after that an old row
     would count as new. Spark then runs a batch at every trigger, to forget keys, so a drain would not
-    end: use a fixed interval. Null keys are one key. Write the result in ``update`` mode.
+    end: use a fixed interval. The keys are then kept in ``slots`` by their hash, and a batch reads and
+    writes the slots it has rows for. Null keys are one key. Write the result in ``update`` mode.
     """
     spark = rows.sparkSession
     keep_state_in_rocksdb(spark)
@@ -137,8 +153,9 @@ def newest_rows(rows: DataFrame, key: Sequence[str], order: Sequence[str], keep:
         return found.where(F.col("_came") == F.current_timestamp()).drop("_came")
     amount, unit = keep.split()
     ttl = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1000
-    processor = NewestRow(rows.schema, order, ttl)
-    return rows.groupBy(*key).transformWithState(processor, rows.schema, "update", "processingTime")
+    processor = NewestRows(rows.schema, key, order, ttl)
+    slot = F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
+    return rows.withColumn("_slot", slot).groupBy("_slot").transformWithState(processor, rows.schema, "update", "processingTime")
 
 
 def latest_changes(changes: DataFrame, key: Sequence[str], batch: Column) -> DataFrame:

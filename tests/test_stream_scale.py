@@ -40,3 +40,10 @@ def test_newest_rows_without_a_time_are_an_aggregate_of_spark(spark, folder):
     got, query = changes_of(spark, folder, rows)
     assert got == expected
     assert {s["operatorName"] for s in query.lastProgress["stateOperators"]} == {"stateStoreSave"}
+
+
+def test_newest_rows_with_a_time_share_state_values(spark, folder):
+    rows, expected = some_rows()
+    got, query = changes_of(spark, folder, rows, keep="7 days", slots=5)
+    assert got == expected
+    assert 0 < max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2 * 5  # values and their times
