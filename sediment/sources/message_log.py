@@ -17,7 +17,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.dataset as ds
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import cloudpickle
@@ -37,6 +37,10 @@ ARROW_SCHEMA = pa.schema(
 )
 #: Offsets that one reading task takes.
 TASK_ROWS = 250_000
+#: Bytes of a row group, about: what lies outside a task's offsets is skipped by row groups.
+GROUP_BYTES = 16 << 20
+#: Bytes of a column that a reading task holds, and rows that it hands out at once.
+READ_BYTES, READ_ROWS = 1 << 20, 10_000
 
 
 def write_log(messages: DataFrame, path: str) -> None:
@@ -47,7 +51,8 @@ def write_log(messages: DataFrame, path: str) -> None:
     names = [f.split()[0] for f in MESSAGE_SCHEMA.split(", ")]
     dealt = messages.select(*names).repartitionByRange("partition", "offset")
     rows = dealt.sortWithinPartitions("partition", "offset")
-    rows.write.mode("append").partitionBy("partition").option("parquet.page.row.count.limit", "20000").parquet(path)
+    writer = rows.write.mode("append").partitionBy("partition").option("parquet.block.size", str(GROUP_BYTES))
+    writer.option("parquet.page.row.count.limit", "20000").parquet(path)
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
@@ -59,11 +64,12 @@ def open_path(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Range(InputPartition):
-    """Offsets ``first`` to ``last``, that one not included."""
+    """Offsets ``first`` to ``last``, that one not included, and the files that have some of them."""
 
     partition: int
     first: int
     last: int
+    files: tuple[str, ...] = ()
 
 
 class LogReader(DataSourceStreamReader):
@@ -149,21 +155,29 @@ class LogReader(DataSourceStreamReader):
             first = start.get(p, lows.get(p, last))
             if last < first:
                 raise ValueError(f"{self.positions} is behind the checkpoint: partition {p} would go back from {first} to {last}")
-            out += [Range(int(p), at, min(at + self.task_rows, last)) for at in range(first, last, self.task_rows)]
+            files = sorted((low, end, path) for path, (number, low, end) in self.bounds.items() if number == int(p))
+            for at in range(first, last, self.task_rows):
+                to = min(at + self.task_rows, last)
+                out.append(Range(int(p), at, to, tuple(path for low, end, path in files if low < to and end > at)))
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        files, root = open_path(f"{self.path}/partition={partition.partition}")
-        if files.get_file_info(root).type != pafs.FileType.Directory:
-            return
-        stored = pa.schema([f for f in ARROW_SCHEMA if f.name != "partition"])
-        rows = ds.dataset(root, filesystem=files, format="parquet", schema=stored)
-        wanted = (ds.field("offset") >= partition.first) & (ds.field("offset") < partition.last)
-        for batch in rows.to_batches(filter=wanted, batch_size=10_000, batch_readahead=2, fragment_readahead=1):
-            if batch.num_rows:
-                number = pa.array([partition.partition] * batch.num_rows, pa.int32())
-                columns = [number if f.name == "partition" else batch.column(f.name) for f in ARROW_SCHEMA]
-                yield pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
+        """Pages are decoded one after the other, so a task's memory does not follow the size of files."""
+        files, _ = open_path(self.path)
+        names = [f.name for f in ARROW_SCHEMA if f.name != "partition"]
+        for path in partition.files:
+            with files.open_input_file(path) as source:
+                stored = pq.ParquetFile(source, buffer_size=READ_BYTES, pre_buffer=False, coerce_int96_timestamp_unit="us")
+                at = stored.metadata.schema.names.index("offset")
+                bounds = [stored.metadata.row_group(g).column(at).statistics for g in range(stored.metadata.num_row_groups)]
+                groups = [g for g, x in enumerate(bounds) if x.min < partition.last and x.max >= partition.first]
+                for batch in stored.iter_batches(READ_ROWS, row_groups=groups, columns=names, use_threads=False):
+                    offset = batch.column("offset")
+                    batch = batch.filter(pc.and_(pc.greater_equal(offset, partition.first), pc.less(offset, partition.last)))
+                    if batch.num_rows:
+                        number = pa.array([partition.partition] * batch.num_rows, pa.int32())
+                        columns = [number if f.name == "partition" else batch.column(f.name).cast(f.type) for f in ARROW_SCHEMA]
+                        yield pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
 
 
 class MessageLog(DataSource):

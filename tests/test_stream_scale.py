@@ -1,10 +1,14 @@
 """What keeps the streams' cost in proportion to their input."""
 
+import datetime as dt
 import random
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from conftest import values
+from sediment.sources import message_log, messages
 from sediment.streaming import load, stateful
 
 
@@ -47,3 +51,22 @@ def test_newest_rows_with_a_time_share_state_values(spark, folder):
     got, query = changes_of(spark, folder, rows, keep="7 days", slots=5)
     assert got == expected
     assert 0 < max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2 * 5  # values and their times
+
+
+def test_a_reading_task_opens_its_files_only_and_holds_few_pages(spark, folder):
+    at = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp")
+    body = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.sha2((F.col("id") * 8 + k).cast("string"), 256)))
+    for first in (0, 100_000):
+        rows = spark.range(first, first + 100_000).select(F.lit(None).cast("string").alias("key"), body.alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), at.alias("timestamp"))
+        message_log.write_log(rows.coalesce(1), f"{folder}/log")
+    reader = message_log.LogReader({"path": f"{folder}/log", "positions": f"{folder}/p.json", "start": '"beginning"', "taskrows": "50000"})
+    tasks = reader.partitions({"0": 0}, {"0": 200_000})
+    most = max(len(t.files) for t in tasks)
+    assert len(tasks) == 4 and most < len(reader.bounds)
+    before, peak, seen = pa.total_allocated_bytes(), 0, []
+    for task in tasks:
+        for batch in reader.read(task):
+            peak = max(peak, pa.total_allocated_bytes() - before)
+            seen += batch.column("offset").to_pylist()
+    assert sorted(seen) == [*range(200_000)] and batch.schema.names == [f.split()[0] for f in messages.MESSAGE_SCHEMA.split(", ")]
+    assert peak < 30 << 20  # all 50 MB of a file's texts before
