@@ -16,6 +16,7 @@ from sediment.sources.decode import decode_json
 from sediment.sources.files import ANY_AGE
 from sediment.streaming import ingest, stateful
 
+FILE_ROWS = 250_000
 MESSAGE_FIELDS = "event_id BIGINT, user_id BIGINT, event_ts BIGINT, eviction_date DATE, cents BIGINT"
 
 
@@ -44,10 +45,16 @@ def message_log(spark: SparkSession, folder: str) -> str:
     broken = F.expr("substring(value, 1, length(value) - 1)")
     value = F.when((F.col("offset") % 50 == 0) & (F.col("offset") < 1_000_000_000), broken).otherwise(F.col("value"))
     path = scratch_path(spark, "log")
-    sent.withColumn("value", value).repartition(4, "partition").write.parquet(path)
+    # All messages of a key lie in one file, so that no batch brings an older one than a batch before it.
+    sent.withColumn("value", value).repartition(log_files(events.count()), "partition", "key").write.parquet(path)
     return path
 
 
+def log_files(rows: int) -> int:
+    """Files of a log of so many rows: an even number of files of about ``FILE_ROWS``."""
+    return max(4, 2 * -(-rows // (2 * FILE_ROWS)))
+
+
 @query
 def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Messages through the ingest job into the upsert table: rows per day, and dead letters."""
@@ -56,7 +63,9 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
     letters = DayTable(spark, f"{root}/letters", ingest.DEAD_LETTER_SCHEMA, day="captured_on")
     job = ingest.LoadJob("load_events", _decode, _to_rows, F.col("user_id") > 0).with_limits(10**9, 0.05)
     load = ingest.Ingest(job, table, letters, f"{root}/checkpoint")
-    _run(load.start(messages.replay_messages(spark, message_log(spark, folder), max_files=2)))
+    log = message_log(spark, folder)
+    half = max(2, -(-len(spark.read.parquet(log).inputFiles()) // 2))
+    _run(load.start(messages.replay_messages(spark, log, max_files=half)))
     table.fold()
     stored = by_day(table.read()).withColumn("kind", F.lit("stored"))
     bad = letters.read().groupBy(F.col("captured_on").cast("string").alias("event_date")).agg(

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import values
+from sediment.plans import streams
 from sediment.sources import message_log, messages
 from sediment.streaming import load, stateful
 
@@ -70,3 +71,19 @@ def test_a_reading_task_opens_its_files_only_and_holds_few_pages(spark, folder):
             seen += batch.column("offset").to_pylist()
     assert sorted(seen) == [*range(200_000)] and batch.schema.names == [f.split()[0] for f in messages.MESSAGE_SCHEMA.split(", ")]
     assert peak < 30 << 20  # all 50 MB of a file's texts before
+
+
+def events_of(spark, folder, n, seconds=1):
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * seconds)
+    columns = ["id AS event_id", "id % 50 + 1 AS user_id", "'view' AS event_type", "id / 4 AS value", "'{}' AS props"]
+    spark.range(n).withColumn("ts", at).selectExpr(*columns, "ts").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_the_stored_log_has_more_files_when_it_has_more_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    log = spark.read.parquet(streams.message_log(spark, events_of(spark, folder, 6000)))
+    sizes = [r["count"] for r in log.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 2 * 6000 * 8 / 7 / len(sizes)
+    once = log.select("key", F.input_file_name().alias("file")).distinct()
+    assert once.count() == once.select("key").distinct().count() == 6000
