@@ -1,7 +1,8 @@
 """Near-duplicates by similarity of word shingles: SimHash tiles choose the pairs, the shingles decide.
 
-Documents that may be similar share a key made of least hashes of their shingles. Fingerprints of one key are
-compared in tiles, as in ``simhash_dups``; links within the radius join documents to neighbourhoods. In
+All fingerprints are searched for those within ``NEAR`` bits by ``simhash_dups``. Similar documents may differ in
+more bits than such a search can reach; those share a key made of least hashes of their shingles, and the
+fingerprints of one key are compared in tiles too. Links of both join documents to neighbourhoods. In
 these the shingles themselves are compared, tile by tile, except between documents that are joined already.
 """
 
@@ -18,11 +19,14 @@ from pyspark.sql import types as T
 
 from sediment.llm.common import free_name, numbered_words, steps, stored, texts_of
 from sediment.llm.links import components, local_roots
+from sediment.llm.simhash_dups import links_of
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Bits by which fingerprints of similar documents may differ. At similarity 0.8 about one in seven differs;
 #: four standard deviations more are allowed.
 RADIUS = 22
+#: Bits within which fingerprints are found whatever their keys.
+NEAR = 3
 #: Keys of a document, and least hashes that make one: of pairs with similarity 0.8 one in 100,000 has none in common.
 KEYS, HASHES = 16, 3
 #: Documents of a tile of fingerprints; documents, and shingles in all, of a tile of shingles.
@@ -99,6 +103,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(sketched, f"id {kind}, text_hash bigint, digest bigint, fp bigint, n bigint, keys array<bigint>")
 
 
+def print_links(texts: DataFrame) -> DataFrame:
+    """``a, b``: links between ``digest``s of ``digest, fp`` with fingerprints within ``NEAR`` bits, as forests."""
+    firsts = stored(texts.groupBy("fp").agg(F.min("digest").alias("first")), "near-prints")
+    same = texts.join(firsts, "fp").where("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    found = links_of(firsts.select("fp"), NEAR)
+    for side in ("a", "b"):
+        found = found.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
+    return found.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same)
+
+
 def neighbour_links(texts: DataFrame) -> DataFrame:
     """``a, b``: links between ``digest``s of ``digest, fp, keys`` with a common key and near fingerprints, as forests.
 
@@ -224,7 +238,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")  # the smallest id, null if there is none
     texts = rows.groupBy("digest").agg(one, *[F.any_value(c).alias(c) for c in ("fp", "n", "keys")])
     texts = stored(texts.select("digest", "one.id", "one.text_hash", "fp", "n", "keys"), "near-texts")
-    hoods = components(neighbour_links(texts.select("digest", "fp", "keys")))
+    near = print_links(texts.select("digest", "fp")).unionByName(neighbour_links(texts.select("digest", "fp", "keys")))
+    hoods = components(near)
     hoods = stored(hoods.select(F.col("node").alias("digest"), F.col("root").alias("hood")).join(texts.drop("keys"), "digest"), "near-hoods")
     found = components(similar_links(docs, hoods, id_col, text_col))
     found = found.select(F.col("node").alias("digest"), "root").join(texts.select("digest", "id"), "digest")

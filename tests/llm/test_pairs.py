@@ -306,3 +306,14 @@ def test_rows_with_null_ids_and_repeats_are_dropped_with_their_passage(spark):
     docs = spark.createDataFrame([(None, passage), (1, passage), (1, passage), (1, "clean"), (None, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
     assert sorted(r.text for r in decontaminate.without_leaks(docs, bench).collect()) == ["clean", "clean"]
+
+
+def test_prints_of_different_keys_are_compared(spark):
+    """Fingerprints within three bits join neighbourhoods whatever the least hashes are."""
+    rows = [(1, 0b0), (2, 0b111), (3, 0b111), (4, (1 << 40) - 1), (5, (1 << 40) - 1 ^ 0b11), (6, 0b1111 << 50)]
+    links = similar_dups.print_links(spark.createDataFrame(rows, "digest bigint, fp bigint")).collect()
+    root = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
