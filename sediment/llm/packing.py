@@ -24,10 +24,21 @@ def uint_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, end: int, tokenizer: str | None = None) -> DataFrame:
+def id_bytes(arrays: list[np.ndarray]) -> pa.Array:
+    """Token ids as a binary column of little-endian 32-bit integers."""
+    ends = np.cumsum([0, *map(len, arrays)]) * 4
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype("<u4", copy=False))]
+    return pa.Array.from_buffers(pa.binary(), len(arrays), buffers)
+
+
+def tokenised(
+    docs: DataFrame, id_col: str, text_col: str, end: int, tokenizer: str | None = None, as_bytes: bool = False
+) -> DataFrame:
     """``id, part, before, n_tokens, tokens``: ids of each row in the order of the task that read it.
 
-    ``part`` is the task's number, ``before`` the ids before the row in this task.
+    ``part`` is the task's number, ``before`` the ids before the row in this task. ``tokens`` are an array of
+    integers or, ``as_bytes``, the bytes of these, which Spark stores as they are.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "part", "before", "n_tokens", "tokens"]
@@ -42,11 +53,11 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, end: int, tokenizer:
                 before += int(sizes.sum())
                 parts = pa.array(np.full(len(ids), part, np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), parts, pa.array(starts), pa.array(sizes), uint_lists(ids)], names
+                    [piece.column(0), parts, pa.array(starts), pa.array(sizes), (id_bytes if as_bytes else uint_lists)(ids)], names
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"id {kind}, part int, before bigint, n_tokens bigint, tokens array<int>")
+    return rows.mapInArrow(encode, f"id {kind}, part int, before bigint, n_tokens bigint, tokens {'binary' if as_bytes else 'array<int>'}")
 
 
 def part_starts(table: DataFrame) -> DataFrame:
@@ -76,7 +87,7 @@ def pack(
     tasks' totals then give every document its place. Rows that repeat are packed as often as they
     occur. An empty table gives no row. Only the two named columns are read.
     """
-    table = stored(tokenised(docs, id_col, text_col, end, tokenizer), "tokens")
+    table = stored(tokenised(docs, id_col, text_col, end, tokenizer, as_bytes=True), "tokens")
     # One row for each task of the first pass, as many as the driver keeps in its own list of tasks.
     placed = table.join(F.broadcast(part_starts(table)), "part")
     rows = placed.select("id", (F.col("part_start") + F.col("before")).alias("at"), "tokens")
@@ -86,9 +97,10 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begins = batch.column(1).to_numpy()
-            lists = batch.column(2)
-            ends = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values).astype("<u4", copy=False)
+            tokens = batch.column(2).cast(pa.large_binary())
+            _, offsets, data = tokens.buffers()
+            ends = np.frombuffer(offsets, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1] // 4
+            flat = np.frombuffer(data, "<u4", count=int(ends[-1]))
             sizes = np.diff(ends).astype(np.int64)
             first, last = begins // length, (begins + sizes - 1) // length
             times = last - first + 1

@@ -107,3 +107,10 @@ def test_file_layout_and_selective_reads(spark, folder):
     assert any(name == "before" and "DELTA_BINARY_PACKED" in kinds for name, kinds, _ in seen)
     plan = token_files.read(spark, folder, tokens=False).where("id = 7")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,7)" in plan and "tokens:array" not in plan
+
+
+def test_packing_stores_ids_as_bytes(spark):
+    rows = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "doc_id long, text string")
+    found = packing.tokenised(rows, "doc_id", "text", packing.END, as_bytes=True).collect()
+    assert all(isinstance(r.tokens, (bytes, bytearray)) and len(r.tokens) == 4 * r.n_tokens for r in found)
+    assert all(int.from_bytes(r.tokens[-4:], "little") == packing.END for r in found)
