@@ -77,18 +77,30 @@ def stream_equals_batch(spark: SparkSession, folder: str) -> DataFrame:
 SLICES = 3
 
 
-def event_log(spark: SparkSession, folder: str) -> str:
-    """Events in files that come one after the other in time, as a topic delivers them."""
+def slice_files(rows: int) -> int:
+    """Files of each slice of a log of so many rows: about ``FILE_ROWS`` in a file, one at least."""
+    return max(1, -(-rows // (SLICES * FILE_ROWS)))
+
+
+def event_log(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """Events in slices that come one after the other in time, as a topic delivers them, and files of a slice.
+
+    All slices have the same number of files, so a stream that takes so many at a time takes one slice.
+    """
     events, path = inputs.table(spark, folder, "events"), scratch_path(spark, "event-log")
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    first, last, rows = events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = slice_files(rows)
     if first is None:
         events.write.parquet(path)
-        return path
+        return path, files
     bounds = [first + (last - first) * k / SLICES for k in range(1, SLICES)]
     number = sum((F.when(F.col("ts") >= F.lit(b).cast(events.schema["ts"].dataType), 1).otherwise(0) for b in bounds), F.lit(0))
     for k in range(SLICES):
-        events.where(number == k).repartition(1).write.mode("append").parquet(path)
-    return path
+        events.where(number == k).repartition(files).write.mode("append").parquet(path)
+        # A slice of few rows has fewer files than asked for: files without rows make up for them.
+        for _ in range((k + 1) * files - len(spark.read.parquet(path).inputFiles())):
+            events.limit(0).write.mode("append").parquet(path)
+    return path, files
 
 
 def _past_the_end(spark: SparkSession, folder: str, log: str) -> None:
@@ -99,9 +111,9 @@ def _past_the_end(spark: SparkSession, folder: str, log: str) -> None:
     mark.withColumns({"event_id": F.lit(-1).cast("bigint"), "ts": later}).write.mode("append").parquet(log)
 
 
-def _click_stream(spark: SparkSession, folder: str, log: str) -> DataFrame:
+def _click_stream(spark: SparkSession, folder: str, log: str, files: int) -> DataFrame:
     reader = spark.readStream.schema(inputs.table(spark, folder, "events").schema)
-    source = reader.option("maxFilesPerTrigger", "1").option("maxFileAge", ANY_AGE).parquet(log)
+    source = reader.option("maxFilesPerTrigger", str(files)).option("maxFileAge", ANY_AGE).parquet(log)
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     made = messages.click_messages(source, "event_id", seconds)
     return made.withColumn("visited_at", F.timestamp_seconds("vtime"))
@@ -120,9 +132,9 @@ def stream_hourly_clicks(spark: SparkSession, folder: str) -> DataFrame:
 
     Clicks are up to 90 minutes late, so none is lost while the log comes in the order of time.
     """
-    log = event_log(spark, folder)
+    log, files = event_log(spark, folder)
     _past_the_end(spark, folder, log)
-    hours = ingest.hourly_counts(_click_stream(spark, folder, log), "visited_at", ["site"])
+    hours = ingest.hourly_counts(_click_stream(spark, folder, log, files), "visited_at", ["site"])
     kept = _collect_stream(spark, hours, scratch_path(spark, "hourly"))
     return kept.select(times.timestamp_text(F.col("hour")).alias("hour"), "site", "visits")
 
@@ -135,10 +147,11 @@ def stream_late_clicks(spark: SparkSession, folder: str) -> DataFrame:
     """
     log, root = scratch_path(spark, "mixed-log"), scratch_path(spark, "late")
     events = inputs.table(spark, folder, "events")
-    events.repartition(SLICES, F.xxhash64("event_id")).write.parquet(log)
+    files = slice_files(events.count())
+    events.repartition(SLICES * files, F.xxhash64("event_id")).write.parquet(log)
     kept = None
     for run in (1, 2):
-        clicks = _click_stream(spark, folder, log).select("event_id", "site", "visited_at")
+        clicks = _click_stream(spark, folder, log, files).select("event_id", "site", "visited_at")
         found = stateful.counts_and_late_rows(clicks, "visited_at", ["site"])
         kept = _collect_stream(spark, found, root)
         if run == 1:
@@ -149,8 +162,8 @@ def stream_late_clicks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_first_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """The click stream unioned with itself; the repeats are dropped. Keys are remembered for two days."""
-    log = event_log(spark, folder)
-    copies = [_click_stream(spark, folder, log).withColumn("copy", F.lit(n)) for n in (1, 2)]
+    log, files = event_log(spark, folder)
+    copies = [_click_stream(spark, folder, log, files).withColumn("copy", F.lit(n)) for n in (1, 2)]
     once = ingest.first_arrivals(
         copies[0].unionByName(copies[1]), ["event_id"], "visited_at", "2 days", spread=["event_id", "copy"]
     )

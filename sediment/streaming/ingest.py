@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,6 +21,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from sediment.operators import dedup, layout
 from sediment.sources.day_table import DayTable
 from sediment.sources.decode import load_counters, split_good_bad
+from sediment.streaming.stateful import keep_state_in_rocksdb
 
 # Columns of the dead-letter table.
 DEAD_LETTER_SCHEMA = (
@@ -196,19 +200,44 @@ def one_stream(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def fewer_copies(rows: DataFrame, key: Sequence[str], at: str) -> DataFrame:
+    """At most two rows of a key from each block of rows that a task handles: the first and the latest.
+
+    The latest is there because the first may be too late to count; so no key and no time is lost.
+    """
+    names, key = rows.columns, list(key)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def firsts(of: pa.Table) -> np.ndarray:
+            nth = of.append_column("_nth", pa.array(np.arange(len(of))))
+            return nth.group_by(key, use_threads=False).aggregate([("_nth", "min")]).column("_nth_min").to_numpy()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys, times = table.select(key), table.column(names.index(at))
+            first = firsts(keys)
+            if len(first) < len(table):
+                latest_first = pc.array_sort_indices(times.combine_chunks(), order="descending").to_numpy().astype(np.int64)
+                latest = latest_first[firsts(keys.take(pa.array(latest_first)))]
+                batch = batch.take(pa.array(np.unique(np.concatenate([first, latest]))))
+            yield batch
+
+    return rows.mapInArrow(reduce, rows.schema)
+
+
 def first_arrivals(
     rows: DataFrame, key: Sequence[str], at: str, delay: str = "7 days", spread: Sequence[str] = (), salts: int = 16
 ) -> DataFrame:
     """Drop repeats within the watermark. Keeps the first copy, where an upsert keeps the last.
 
     ``spread`` names columns that differ between copies of a key (partition and offset). The copies
-    are then first reduced in ``salts`` groups, so that a key with very many copies does not send
-    them all to one task.
+    are then first reduced where they are read, block by block, so that a key with very many copies
+    does not send them all to one task. This keeps no state, so ``salts``, groups of copies with a
+    state of their own, is not used any more. The keys of the watermark's time are kept by RocksDB
+    outside the heap.
     """
-    marked = rows.withWatermark(at, delay)
-    if spread:
-        salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-        marked = marked.withColumn("_salt", salt).dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    keep_state_in_rocksdb(rows.sparkSession)
+    marked = (fewer_copies(rows, key, at) if spread else rows).withWatermark(at, delay)
     return marked.dropDuplicatesWithinWatermark(list(key))
 
 

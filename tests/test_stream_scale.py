@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from sediment.plans import streams
 from sediment.sources import message_log, messages
-from sediment.streaming import load, stateful
+from sediment.streaming import ingest, load, stateful
 
 
 def changes_of(spark, folder, rows, **more):
@@ -87,3 +87,51 @@ def test_the_stored_log_has_more_files_when_it_has_more_rows(spark, folder, monk
     assert len(sizes) > 4 and max(sizes) < 2 * 6000 * 8 / 7 / len(sizes)
     once = log.select("key", F.input_file_name().alias("file")).distinct()
     assert once.count() == once.select("key").distinct().count() == 6000
+
+
+def test_slices_of_the_event_log_have_files_as_their_rows_need_and_are_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    n, few = 6000, 3
+    events_of(spark, folder, n)
+    gap = spark.read.parquet(f"{folder}/events.parquet").where(f"event_id < {few}").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 HOURS"))
+    gap.withColumn("event_id", F.col("event_id") + n).write.mode("append").parquet(f"{folder}/events.parquet")
+    log, files = streams.event_log(spark, folder)
+    stream = streams._click_stream(spark, folder, log, files)
+    query = stream.writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
+    query.awaitTermination()
+    assert files > 1
+    # 6,000 seconds in the first slice, none in the second, three rows at the end: files without rows keep them apart.
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [n, few]
+    assert len(spark.read.parquet(log).inputFiles()) == 3 * files
+    rows = spark.read.parquet(log).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in rows) < n / 2
+
+
+def test_copies_are_reduced_where_they_are_read(spark, folder):
+    start = dt.datetime(2024, 1, 10)
+    rows = [(k % 7 if k % 8 else None, start + dt.timedelta(seconds=k * 37 % 500) if k % 5 else None, k) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "k long, at timestamp, n long").coalesce(1)
+    kept = ingest.fewer_copies(frame, ["k"], "at").collect()
+    first = {}
+    for k, _, n in rows:
+        first.setdefault(k, n)
+    assert set(first.values()) <= {r["n"] for r in kept} and len(kept) <= 16
+    for key in first:
+        assert max(r["at"] for r in kept if r["k"] == key and r["at"]) == max(at for k, at, _ in rows if k == key and at)
+
+
+def test_first_arrivals_keep_one_state_row_for_a_key_with_many_copies(spark, folder):
+    start = dt.datetime(2024, 1, 10)
+    schema = "k long, at timestamp, n long"
+    late = start - dt.timedelta(days=9)
+    batches = [[(1, start, n) for n in range(500)], [(1, start, 500)], [(2, late, 0), (3, late, 1), (3, start, 2), (1, start, 3), (None, start, 4), (None, start, 5)]]
+    for some in batches:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in")
+    once = ingest.first_arrivals(source, ["k"], "at", "2 days", spread=["n"])
+    writer = once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    # Key 2 came too late; the copy of key 3 that was in time counts, though one too late came before it.
+    assert values(spark.read.parquet(f"{folder}/out").select("k", "at"), "k") == [(None, start), (1, start), (3, start)]
+    assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress) == 3
