@@ -9,10 +9,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # Processors are sent by value, so executors need not have the package.
@@ -20,6 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR_MS = 3_600_000
+#: Rows and bytes of rows that a task packs at once.
+PACK_ROWS, PACK_BYTES = 200_000, 32 << 20
+#: Rows of packs that are handed out at once, about.
+OUT_ROWS = 10_000
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
@@ -30,11 +38,12 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
 class HourCounter(StatefulProcessor):
     """Counts the rows of an hour until the watermark has passed it, then hands the count out and forgets it.
 
-    Rows of an hour that has ended are handed out one by one instead of being lost.
+    Rows come as packs of one hour each, with their number. Packs of an hour that has ended are handed
+    out as they are instead of being lost.
     """
 
-    def __init__(self, names: Sequence[str], row_fields: Sequence[str]):
-        self.names, self.row_fields = list(names), list(row_fields)
+    def __init__(self, names: Sequence[str]):
+        self.names = list(names)
 
     def _row(self, *values) -> Row:
         return Row(**dict(zip(self.names, values, strict=True)))
@@ -47,9 +56,9 @@ class HourCounter(StatefulProcessor):
         end = (int(key[0]) + 1) * HOUR_MS
         if end <= timerValues.getCurrentWatermarkInMs():
             for row in rows:
-                yield self._row(*key, "late", 1, *[row[f] for f in self.row_fields])
+                yield self._row(*key, "late", row["_n"], bytes(row["_pack"]))
             return
-        new = sum(1 for _ in rows)
+        new = sum(row["_n"] for row in rows)
         if self.count.exists():
             new += self.count.get()[0]
         else:
@@ -59,12 +68,84 @@ class HourCounter(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         n = self.count.get()[0]
         self.count.clear()
-        yield self._row(*key, "final", n, *[None] * len(self.row_fields))
+        yield self._row(*key, "final", n, None)
 
     def close(self) -> None:
         pass
 
 
+def packed(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``keys, _n, _pack``: rows of a key that a task has at hand as one value, in Arrow's format.
+
+    A task holds ``PACK_ROWS`` rows at a time, or fewer if they have more than ``PACK_BYTES``.
+    """
+    most_rows, most_bytes, keys, columns = PACK_ROWS, PACK_BYTES, list(keys), list(columns)
+    kinds = T.StructType([rows.schema[k] for k in keys])
+    schema = to_arrow_schema(T.StructType([rows.schema[c] for c in columns]))
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        numbers = np.zeros(len(table), np.int64)  # equal for rows of a key
+        for column in table.columns[: len(keys)]:
+            codes = column.combine_chunks().dictionary_encode(null_encoding="encode")
+            numbers = numbers * len(codes.dictionary) + codes.indices.to_numpy()
+            numbers = np.unique(numbers, return_inverse=True)[1]
+        order = np.argsort(numbers, kind="stable")
+        table, numbers = table.take(pa.array(order)), numbers[order]
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        ends = np.append(starts[1:], len(numbers))
+        body = table.select(range(len(keys), table.num_columns)).rename_columns(columns).cast(schema)
+        body = body.combine_chunks().to_batches()[0]
+        packs = [body.slice(a, b - a).serialize().to_pybytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        found = table.select(range(len(keys))).take(pa.array(starts)).combine_chunks().to_batches()[0]
+        more = [pa.array(ends - starts, pa.int64()), pa.array(packs, pa.binary())]
+        return pa.RecordBatch.from_arrays([*found.columns, *more], [*keys, "_n", "_pack"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n, size = n + batch.num_rows, size + batch.nbytes
+            if n >= most_rows or size >= most_bytes:
+                yield of(held)
+                held, n, size = [], 0, 0
+        if held:
+            yield of(held)
+
+    # Rows of a key meet in one task first, so that packs are large.
+    dealt = rows.repartition(*keys).select(*keys, *[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)])
+    return dealt.mapInArrow(pack, T.StructType([*kinds.fields, T.StructField("_n", T.LongType()), T.StructField("_pack", T.BinaryType())]))
+
+
+def unpacked(found: DataFrame, keys: Sequence[str], fields: Sequence[T.StructField]) -> DataFrame:
+    """``keys, kind, visits`` and the rows of packs, one by one; nulls where there is no pack."""
+    given = [found.schema[c] for c in (*keys, "kind", "visits")]
+    schema = to_arrow_schema(T.StructType(list(fields)))
+    out = T.StructType([*given, *[T.StructField(f"row_{f.name}", f.dataType) for f in fields]])
+    lead = len(given)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(lead).is_null()
+            counts = batch.filter(whole)
+            if counts.num_rows:
+                yield pa.RecordBatch.from_arrays([*counts.columns[:lead], *[pa.nulls(counts.num_rows, f.type) for f in schema]], out.names)
+            late, held, which, n = batch.filter(pc.invert(whole)), [], [], 0
+            for k in range(late.num_rows):
+                held.append(pa.ipc.read_record_batch(pa.py_buffer(late.column(lead)[k].as_py()), schema))
+                which.append(k)
+                n += held[-1].num_rows
+                if n >= OUT_ROWS or k == late.num_rows - 1:
+                    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    of = pa.array(np.repeat(which, [h.num_rows for h in held]))
+                    keys_of = [column.take(of) for column in late.columns[: lead - 1]]
+                    yield pa.RecordBatch.from_arrays([*keys_of, pa.array(np.ones(n, np.int64)), *rows.columns], out.names)
+                    held, which, n = [], [], 0
+
+    return found.select(*[f.name for f in given], "_pack").mapInArrow(unpack, out)
+
+
 def counts_and_late_rows(
     rows: DataFrame, at: str, by: Sequence[str] = (), delay: str = "90 minutes", spread: str | None = None, salts: int = 16
 ) -> DataFrame:
@@ -74,21 +155,21 @@ def counts_and_late_rows(
     the end of the hour; its state is dropped then. A row that comes for such an hour is a ``late`` row
     with its own columns. With ``spread``, a column that differs between rows, an hour is counted in
     ``salts`` parts, so that one with very many rows is not one task's work: add the counts up. A row
-    without a time is late at once: it belongs to no hour. Write the result in ``append`` mode.
+    without a time is late at once: it belongs to no hour. Write the result in ``append`` mode. All rows
+    of an hour in a batch are late or none is, so they pass the counter as packs (``packed``).
     """
     keep_state_in_rocksdb(rows.sparkSession)
     hour = F.coalesce(F.floor(F.unix_seconds(at) / 3600), F.lit(-(2**40))).cast("bigint")
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int") if spread else F.lit(0)
     # The watermark's own column is dropped again: with it, Spark would drop late rows before they are seen.
     marked = rows.withColumn("_mark", F.col(at)).withWatermark("_mark", delay).drop("_mark")
-    keys = {"_hour": hour, "_salt": salt}
+    keys = ["_hour", *by, "_salt"]
+    packs = packed(marked.withColumns({"_hour": hour, "_salt": salt}), keys, rows.columns)
     fields = [T.StructField("_hour", T.LongType()), *[rows.schema[c] for c in by], T.StructField("_salt", T.IntegerType())]
-    fields += [T.StructField("kind", T.StringType()), T.StructField("visits", T.LongType())]
-    fields += [T.StructField(f"row_{f.name}", f.dataType) for f in rows.schema.fields]
-    counter = HourCounter([f.name for f in fields], rows.columns)
-    found = marked.withColumns(keys).groupBy("_hour", *by, "_salt").transformWithState(
-        counter, T.StructType(fields), "append", "eventTime"
-    )
+    fields += [T.StructField("kind", T.StringType()), T.StructField("visits", T.LongType()), T.StructField("_pack", T.BinaryType())]
+    counter = HourCounter([f.name for f in fields])
+    found = packs.groupBy(*keys).transformWithState(counter, T.StructType(fields), "append", "eventTime")
+    found = unpacked(found, keys, rows.schema.fields)
     hours = F.when(F.col("_hour") > -(2**40), F.timestamp_seconds(F.col("_hour") * 3600)).alias("hour")
     return found.select(hours, *by, "kind", "visits", *[F.col(f"row_{c}") for c in rows.columns])
 

@@ -135,3 +135,21 @@ def test_first_arrivals_keep_one_state_row_for_a_key_with_many_copies(spark, fol
     # Key 2 came too late; the copy of key 3 that was in time counts, though one too late came before it.
     assert values(spark.read.parquet(f"{folder}/out").select("k", "at"), "k") == [(None, start), (1, start), (3, start)]
     assert max(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress) == 3
+
+
+def test_rows_of_an_hour_pass_the_counter_as_one_pack(spark, folder):
+    start = dt.datetime(2024, 1, 10, 0, 0, 0, 1)
+    rows = [(k if k % 11 else None, f"s{k % 3}" if k % 7 else None, start + dt.timedelta(minutes=k) if k % 5 else None, [k, None], k / 4) for k in range(900)]
+    frame = spark.createDataFrame(rows, "id long, site string, at timestamp, more array<long>, x double")
+    keyed = frame.withColumn("_hour", F.hour("at").cast("long"))
+    packs = stateful.packed(keyed, ["_hour", "site"], frame.columns)
+    assert packs.count() == keyed.select("_hour", "site").distinct().count() < 110
+    assert packs.agg(F.sum("_n")).first()[0] == len(rows)
+    late = packs.select("_hour", "site", F.lit("late").alias("kind"), F.col("_n").alias("visits"), "_pack")
+    final = late.limit(1).select("_hour", "site", F.lit("final"), "visits", F.lit(None).cast("binary"))
+    out = stateful.unpacked(late.union(final), ["_hour", "site"], frame.schema.fields)
+    got = [tuple(r) for r in out.where("kind = 'late'").collect()]
+    hours = [(at.hour if at else None, site) for _, site, at, _, _ in rows]
+    assert sorted(got, key=repr) == sorted([(*h, "late", 1, *r) for h, r in zip(hours, rows, strict=True)], key=repr)
+    (whole,) = out.where("kind = 'final'").collect()
+    assert whole["visits"] > 1 and list(whole)[4:] == [None] * 5
