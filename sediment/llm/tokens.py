@@ -2,8 +2,10 @@
 
 Texts are cut at ASCII white space. The tokenizers this is for drop white space and never let a
 token cross it, so a text's ids are its words' ids in a row. Words are remembered in the worker,
-``MOST_WORDS`` at a time. Words with Latin letters and simple marks only are encoded many to a call,
-because a call for each is slow; their ids are told apart by the marks of word ends.
+``MOST_WORDS`` at a time. Words of ASCII and Latin-1 letters, and those with one mark at the end, go in
+lower case straight to the tokenizer's model, if the steps before it do no more to them. Other words with
+Latin letters and simple marks only are encoded many to a call, because a call for each is slow; their
+ids are told apart by the marks of word ends.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: What one token can't cross in a word of ASCII and Latin-1 letters, digits and marks, lower-cased.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 MARKS = b".,;:!?|"
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -50,6 +54,7 @@ class Words(dict):
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         marks = {c: self._encode([chr(c)])[0] for c in MARKS}
         self.marks = {c: ids[0] for c, ids in marks.items() if len(ids) == 1}
+        self.straight = self._leaves_letters()
         self.fresh: list[bytes] = []
         self.reset()
 
@@ -68,12 +73,48 @@ class Words(dict):
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _leaves_letters(self) -> bool:
+        """Whether a word of letters comes to the model whole, in lower case, and leaves it as its ids.
+
+        ``spelt`` is then how the model's vocabulary spells each letter.
+        """
+        tokenizer, added = self.tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or tokenizer.post_processor is not None:
+            return False
+        if tokenizer.truncation or tokenizer.padding or any(t.content.isalpha() for t in added):
+            return False
+        self.spelt = {}
+        for letter in LETTERS:
+            pieces = tokenizer.pre_tokenizer.pre_tokenize_str(letter)
+            if len(pieces) != 1:
+                return False
+            self.spelt[ord(letter)] = pieces[0][0]
+        for word in (*LETTERS, *(a + b for a in LETTERS for b in LETTERS), LETTERS, LETTERS[::-1]):
+            upper = "".join(c if c in "ßÿ" else c.upper() for c in word)  # those two have none in Latin-1
+            if any(tokenizer.normalizer.normalize_str(w) != word for w in (word, upper)):
+                return False
+            if [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(word)] != [word.translate(self.spelt)]:
+                return False
+        return True
+
+    def _of_letters(self, words: list[int], texts: list[str], tails: list[int]) -> tuple:
+        """``(words, ids of all of them, sizes)`` of words of letters, each perhaps with the id of a mark after it."""
+        tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for text, tail in zip(texts, tails, strict=True):
+            ids = [token.id for token in tokenize(text)]
+            if tail >= 0:
+                ids.append(tail)
+            flat += ids
+            sizes.append(len(ids))
+        return words, np.array(flat, np.uint32), np.array(sizes, np.int64)
+
     def learn(self) -> None:
         """Encode the words seen since the last call."""
         if not self.fresh:
             return
         known = len(self.starts)
         plain, pieces, other, like, bases, tails = [], [], [], [], [], []
+        letters, texts, ends = [], [], []
         for number, word in enumerate(self.fresh, known):
             if word.isalpha():  # ASCII letters
                 low = word.lower()
@@ -82,27 +123,43 @@ class Words(dict):
                     like.append(number)
                     bases.append(base)
                     tails.append(-1)
+                elif self.straight:
+                    letters.append(number)
+                    texts.append(low.decode())
+                    ends.append(-1)
                 else:
                     plain.append(number)
                     pieces.append(1)
                 continue
             if (tail := self.marks.get(word[-1], -1)) >= 0 and word[:-1].isalpha():
-                base = self.get(word[:-1].lower(), -1)
+                low = word[:-1].lower()
+                base = self.get(low, -1)
                 if base >= 0:
                     like.append(number)
                     bases.append(base)
                     tails.append(tail)
+                elif self.straight:
+                    letters.append(number)
+                    texts.append(low.decode())
+                    ends.append(tail)
                 else:
                     plain.append(number)
                     pieces.append(2)
                 continue
             text = word.decode()
+            body = text[:-1] if tail >= 0 else text
+            if self.straight and LATIN.fullmatch(body):
+                letters.append(number)
+                texts.append(body.lower().translate(self.spelt))
+                ends.append(tail)
+                continue
             if PLAIN.fullmatch(text) and "<|" not in text:
                 plain.append(number)
                 pieces.append(len(PIECE.findall(text.lower())))
             else:
                 other.append(number)
-        self._place(known, [*self._joined(plain, pieces, known), (other, self._encode([self.fresh[k - known].decode() for k in other]))])
+        found = [*self._joined(plain, pieces, known), self._of_letters(letters, texts, ends)]
+        self._place(known, [*found, (other, self._encode([self.fresh[k - known].decode() for k in other]))])
         self._extend(np.array(like, np.int64), np.array(bases, np.int64), np.array(tails, np.int64))
         self.fresh.clear()
 

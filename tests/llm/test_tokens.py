@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sediment.llm import packing, token_files
+from sediment.llm import packing, token_files, tokens
 from sediment.llm.tokens import Encoder, default_tokenizer
 
 SMALL = "/root/testdata/sf0.001"
@@ -114,3 +114,29 @@ def test_packing_stores_ids_as_bytes(spark):
     found = packing.tokenised(rows, "doc_id", "text", packing.END, as_bytes=True).collect()
     assert all(isinstance(r.tokens, (bytes, bytearray)) and len(r.tokens) == 4 * r.n_tokens for r in found)
     assert all(int.from_bytes(r.tokens[-4:], "little") == packing.END for r in found)
+
+
+def test_words_of_letters_go_to_the_model(monkeypatch):
+    words = tokens.Words(tokens.default_tokenizer())
+    assert words.straight
+    monkeypatch.setattr(words, "_encode", None)
+    texts = [b"Hello", b"hello,", b"s", b"re", b"ll", b"Q", b"iNTERNATIONALISATION", b"zzzqqqxxw!", b"a" * 3000, *(w.encode() for w in ("ÀÉÎõü", "straße.", "ÿþÞ", "Œuvre"[1:] + "é,", "çÇ|", "é"))]
+    for text in texts:
+        words[text]
+    monkeypatch.setattr(words, "_joined", lambda *found: [])
+    monkeypatch.setattr(words, "_encode", lambda found: [] if not found else 1 / 0)  # for other words only
+    words.learn()
+    for text in texts:
+        k = words[text]
+        got = words.flat[words.starts[k] : words.starts[k] + words.sizes[k]].tolist()
+        assert got == words.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_letters_that_are_changed_before_the_model_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    changed = Tokenizer.from_file(tokens.default_tokenizer())
+    changed.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("qu", "kw")])
+    changed.save(str(tmp_path / "changed.json"))
+    words = tokens.Words(str(tmp_path / "changed.json"))
+    assert not words.straight
